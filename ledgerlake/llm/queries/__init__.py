@@ -22,6 +22,26 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crc_of(pack(table(spark, sf_dir, "documents"), tokenizer()))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.classifier import classify
+
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op4_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.rules import judge
+
+    judged, _ = judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.simhash import components
+
+    found = components(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlake.llm.substring import remove_repeats, removed_words
 
@@ -35,6 +55,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return digest(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer(), decoded="decoded"))
 
 
+QUERIES |= {"op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_simhash": op5_simhash}
 QUERIES |= {"op1_packing": op1_packing, "op3_substring_dedup": op3_substring_dedup, "op10_bpe": op10_bpe}
 
 ORACLES["op3_substring_dedup"] = """

@@ -122,6 +122,23 @@ def with_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = 2_500_00
     return docs.withColumn("chunk", F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")]), F.lit(chunks))), chunks, total
 
 
+def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Of each of n nodes the smallest node it is linked to, by rounds of smallest labels and their labels."""
+    label = np.arange(n)
+    while True:
+        before = label
+        label = label.copy()
+        low = np.minimum(label[left], label[right])
+        np.minimum.at(label, left, low)
+        np.minimum.at(label, right, low)
+        np.minimum.at(label, before[left], low)
+        np.minimum.at(label, before[right], low)
+        while (label[label] != label).any():
+            label = label[label]
+        if (label == before).all():
+            return label
+
+
 def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
     """(node, component) of every node of the links (src, dst): the smallest node it can reach.
 
