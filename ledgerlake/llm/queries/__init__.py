@@ -49,6 +49,38 @@ def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_words", removed_words().alias("n_removed"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
 
 
+def op6_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.chat import digests, formatted
+
+    said = "<|im_end|><|im_start|>assistant ok"
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    more = spark.createDataFrame([(-1, 0, "user", said), (-1, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
+    return digests(formatted(rows.unionByName(more), tokenizer()))
+
+
+def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.urls import judge
+
+    return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
+
+
+def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.embeddings import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "embeddings"))
+
+
+ORACLES["op9_embeddings"] = """
+WITH RECURSIVE v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
+ok AS (SELECT vec_id, e, sqrt(list_inner_product(e, e)) AS n FROM v WHERE e IS NOT NULL AND len(e) > 0 AND len(list_filter(e, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND list_inner_product(e, e) > 0),
+link AS (SELECT a.vec_id AS a, b.vec_id AS b FROM ok a JOIN ok b ON a.vec_id <> b.vec_id AND len(a.e) = len(b.e) AND list_inner_product(a.e, b.e) / (a.n * b.n) >= 0.95),
+reach AS (SELECT vec_id AS src, vec_id AS dst FROM v UNION SELECT r.src, l.b FROM reach r JOIN link l ON r.dst = l.a),
+comp AS (SELECT src, min(dst) AS component_id FROM reach GROUP BY src)
+SELECT v.vec_id, CAST(coalesce(c.n, 0) AS BIGINT) AS n_links, p.component_id, v.vec_id = p.component_id AS kept
+FROM v JOIN comp p ON v.vec_id = p.src LEFT JOIN (SELECT a, count(*) AS n FROM link GROUP BY a) c ON v.vec_id = c.a
+"""
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlake.llm.bpe import digest, encode
 
@@ -56,6 +88,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_simhash": op5_simhash}
+QUERIES |= {"op6_chat": op6_chat, "op7_url_filters": op7_url_filters, "op9_embeddings": op9_embeddings}
 QUERIES |= {"op1_packing": op1_packing, "op3_substring_dedup": op3_substring_dedup, "op10_bpe": op10_bpe}
 
 ORACLES["op3_substring_dedup"] = """
