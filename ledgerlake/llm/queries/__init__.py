@@ -64,6 +64,12 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages")).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.maxent import score
+
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from ledgerlake.llm.embeddings import near_duplicates
 
@@ -88,7 +94,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES |= {"op2_quality_classifier": op2_quality_classifier, "op4_quality_rules": op4_quality_rules, "op5_simhash": op5_simhash}
-QUERIES |= {"op6_chat": op6_chat, "op7_url_filters": op7_url_filters, "op9_embeddings": op9_embeddings}
+QUERIES |= {"op6_chat": op6_chat, "op7_url_filters": op7_url_filters, "op8_lm_scoring": op8_lm_scoring, "op9_embeddings": op9_embeddings}
 QUERIES |= {"op1_packing": op1_packing, "op3_substring_dedup": op3_substring_dedup, "op10_bpe": op10_bpe}
 
 ORACLES["op3_substring_dedup"] = """
