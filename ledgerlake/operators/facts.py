@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-from datetime import date
-
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlake.operators.filters import fact_filters
@@ -29,7 +27,7 @@ def with_conflicts(facts: DataFrame, keys: tuple[str, ...] = OBSERVATION, value:
 
 def latest_filings(facts: DataFrame, keys: tuple[str, ...] = OBSERVATION) -> DataFrame:
     """One row an observation: the last filed, then the larger accession, then the larger id; by one aggregation."""
-    newest = F.struct(F.coalesce("filed_date", F.lit(date.min)).alias("f"), F.coalesce("accession_number", F.lit("")).alias("a"), F.col("fact_id").alias("i"))
+    newest = F.struct(F.coalesce("filed_date", F.lit("0001-01-01").cast("date")).alias("f"), F.coalesce("accession_number", F.lit("")).alias("a"), F.col("fact_id").alias("i"))
     others = [c for c in facts.columns if c not in keys]
     best = facts.groupBy(*keys).agg(F.max_by(F.struct(*others), newest).alias("_best"))
     return best.select(*[k for k in keys], "_best.*").select(*facts.columns)

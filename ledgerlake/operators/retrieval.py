@@ -82,8 +82,8 @@ def retrieve(chunks: DataFrame, request: RetrievalRequest, query_vector: list[fl
     if rerank is not None:
         ranked = rerank(ranked)
     body = pool.join(F.broadcast(ranked), "chunk_id")  # 1,000 rows at most
-    slim = body.select(F.col("chunk_id").cast("string").alias("_key"), "score", "document_id", F.col("period").cast("string").alias("period"), shingles("text").alias("_sh"), F.sha2(F.col("text").cast("binary"), 256).alias("_h"))
-    chosen = slim.groupBy(F.lit(1)).applyInPandas(lambda pdf: _select(pdf, request), "_key string, score double, final_rank long")
+    slim = body.select(F.lit(1).alias("_g"), F.col("chunk_id").cast("string").alias("_key"), "score", "document_id", F.col("period").cast("string").alias("period"), shingles("text").alias("_sh"), F.sha2(F.col("text").cast("binary"), 256).alias("_h"))
+    chosen = slim.groupBy("_g").applyInPandas(lambda pdf: _select(pdf.drop(columns="_g"), request), "_key string, score double, final_rank long")
     return chosen.select(F.col("_key").alias("chunk_id"), "score", "final_rank")
 
 
