@@ -47,19 +47,19 @@ def _select(pdf: pd.DataFrame, request: RetrievalRequest) -> pd.DataFrame:
     kept: list[tuple[str, set]] = []
     taken, later = [], []
     documents, periods = Counter(), Counter()
-    for row in pdf.sort_values(["score", "_key"], ascending=[False, True]).itertuples(index=False):
-        mine = set(row._sh)
-        copy = any(row._h == h or (not mine and not s) or (mine and s and len(mine & s) / len(mine | s) >= request.near_duplicate) for h, s in kept)
+    for row in pdf.sort_values(["score", "ckey"], ascending=[False, True]).itertuples(index=False):
+        mine = set(row.sh)
+        copy = any(row.h == h or (not mine and not s) or (mine and s and len(mine & s) / len(mine | s) >= request.near_duplicate) for h, s in kept)
         if copy:
             continue
-        kept.append((row._h, mine))
+        kept.append((row.h, mine))
         if documents[row.document_id] < request.per_document and (row.period is None or periods[row.period] < request.per_period):
             documents[row.document_id] += 1
             periods[row.period] += row.period is not None
             taken.append(row)
         else:
             later.append(row)
-    out = pd.DataFrame([*taken, *later], columns=pdf.columns)[["_key", "score"]].head(request.top_k)
+    out = pd.DataFrame([*taken, *later], columns=pdf.columns)[["ckey", "score"]].head(request.top_k)
     out["final_rank"] = range(1, len(out) + 1)
     return out
 
@@ -82,9 +82,9 @@ def retrieve(chunks: DataFrame, request: RetrievalRequest, query_vector: list[fl
     if rerank is not None:
         ranked = rerank(ranked)
     body = pool.join(F.broadcast(ranked), "chunk_id")  # 1,000 rows at most
-    slim = body.select(F.lit(1).alias("_g"), F.col("chunk_id").cast("string").alias("_key"), "score", "document_id", F.col("period").cast("string").alias("period"), shingles("text").alias("_sh"), F.sha2(F.col("text").cast("binary"), 256).alias("_h"))
-    chosen = slim.groupBy("_g").applyInPandas(lambda pdf: _select(pdf.drop(columns="_g"), request), "_key string, score double, final_rank long")
-    return chosen.select(F.col("_key").alias("chunk_id"), "score", "final_rank")
+    slim = body.select(F.lit(1).alias("_g"), F.col("chunk_id").cast("string").alias("ckey"), "score", "document_id", F.col("period").cast("string").alias("period"), shingles("text").alias("sh"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    chosen = slim.groupBy("_g").applyInPandas(lambda pdf: _select(pdf.drop(columns="_g"), request), "ckey string, score double, final_rank long")
+    return chosen.select(F.col("ckey").alias("chunk_id"), "score", "final_rank")
 
 
 # The order in which kinds of evidence fill a context.
