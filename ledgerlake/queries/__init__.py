@@ -1,3 +1,3 @@
 """Importing this package registers every query of the reference's own operators."""
 
-from ledgerlake.queries import charts, claims, entities, facts, flagship, series, texts  # noqa: F401
+from ledgerlake.queries import charts, claims, entities, facts, flagship, series, stores, texts  # noqa: F401
