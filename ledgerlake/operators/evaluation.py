@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from ledgerlake.functions.text import ratio
 
@@ -50,3 +50,44 @@ def required_and_prohibited(cases: DataFrame) -> DataFrame:
 def joined_results(golden: DataFrame, observed: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(cases with their results where there are any, results without a case)."""
     return golden.join(observed, "case_id", "left"), observed.join(golden, "case_id", "left_anti").orderBy("case_id")
+
+
+def executed_steps(tools: str, trajectory: str) -> Column:
+    """The tools that ran and the nodes that were not skipped, each once; trajectory: array of (node, status)."""
+    nodes = F.transform(F.filter(trajectory, lambda s: F.coalesce(s["status"], F.lit("")) != "skipped"), lambda s: s["node"])
+    return F.array_union(F.coalesce(tools, F.array().cast("array<string>")), F.coalesce(nodes, F.array().cast("array<string>")))
+
+
+def matched_companies(expected: DataFrame, observed: DataFrame) -> DataFrame:
+    """(case_id, position, observed_position) of expected companies and the observed one that each is taken for.
+
+    Both have case_id, position, mention, ticker, status, source. Mention or ticker must be equal but for case; the same
+    status and source is preferred, then the first observed. Null where none fits. Joined by key, never by case alone.
+    """
+    keys = F.array_distinct(F.array_compact(F.array(F.lower("mention"), F.lower("ticker"))))
+    left = expected.withColumn("key", F.explode(keys)).select("case_id", "position", "key", "status", "source")
+    right = observed.select("case_id", F.col("position").alias("observed_position"), F.col("status").alias("_s"), F.col("source").alias("_o"), F.explode(keys).alias("key"))
+    alike = F.col("status").eqNullSafe(F.col("_s")) & F.col("source").eqNullSafe(F.col("_o"))
+    best = left.join(right, ["case_id", "key"]).groupBy("case_id", "position").agg(F.min(F.struct((~alike).alias("unlike"), "observed_position")).alias("b"))
+    return expected.select("case_id", "position").join(best, ["case_id", "position"], "left").select("case_id", "position", F.col("b.observed_position").alias("observed_position"))
+
+
+def observed_runs(branches: DataFrame) -> DataFrame:
+    """One row a case of its branches (case_id, operation, attempts, tool): the operation if there is just one, tools, retries."""
+    return branches.groupBy("case_id").agg(
+        F.when(F.count_distinct("operation") == 1, F.min("operation")).alias("operation"),
+        F.array_sort(F.collect_set("tool")).alias("tools"),
+        F.sum(F.greatest(F.lit(0), F.coalesce("attempts", F.lit(0)) - 1)).cast("long").alias("retries"),
+    )
+
+
+def golden_faults(cases: DataFrame) -> DataFrame:
+    """(case_id, fault): repeated_id, tools_overlap, no_category; cases: case_id, category, required, prohibited."""
+    repeated = cases.groupBy("case_id").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("case_id", F.lit("repeated_id").alias("fault"))
+    overlap = cases.filter(F.arrays_overlap("required", "prohibited")).select("case_id", F.lit("tools_overlap").alias("fault"))
+    blank = cases.filter(F.coalesce(F.trim("category"), F.lit("")) == "").select("case_id", F.lit("no_category").alias("fault"))
+    return repeated.unionByName(overlap).unionByName(blank).distinct()
+
+
+def golden_summary(cases: DataFrame) -> DataFrame:
+    return cases.groupBy("category").agg(F.count(F.lit(1)).alias("cases"))
