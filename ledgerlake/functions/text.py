@@ -188,3 +188,64 @@ def rate(part: Column, whole: Column, digits: int = 4) -> Column:
 def ratio(part: Column, whole: Column, digits: int = 6) -> Column:
     """A share with 1 for an empty whole."""
     return F.when(whole == 0, 1.0).otherwise(F.bround(part / F.greatest(whole, F.lit(1)), digits))
+
+
+def event_key(prefix: str, *parts: str | Column) -> Column:
+    """A stable key of an event: the prefix, a colon, and the hash of its parts."""
+    return F.concat(F.lit(f"{prefix}:"), joined_hash(*parts))
+
+
+def year_before(day: Column) -> Column:
+    """The same day a year earlier; 29 February gives the 28th."""
+    return F.add_months(day, -12)
+
+
+def without_trailing_date(label: str | Column) -> Column:
+    """The label without a last word that is a valid ISO date; a label that is nothing else stays."""
+    text = strip(label)
+    last = F.regexp_extract(text, r"\s(\d{4}-\d{2}-\d{2})$", 1)
+    return F.when(F.try_to_date(last).isNotNull(), strip(F.regexp_replace(text, r"\s\S+$", ""))).otherwise(text)
+
+
+# What a series' label ends with by operation.
+OPERATION_MARKS = {"year_over_year_growth": "YoY", "quarter_over_quarter_growth": "QoQ", "cagr": "CAGR", "rolling_average": "rolling average", "normalized_index": "index"}
+
+
+def series_label(label: Column, operation: Column) -> Column:
+    """The label with its operation's mark, unless it already holds it in any case."""
+    mark = F.coalesce(*[F.when(operation == name, mark) for name, mark in OPERATION_MARKS.items()], F.lit(""))
+    return F.when((mark == "") | F.contains(F.lower(label), F.lower(mark)), label).otherwise(F.concat_ws(" ", label, mark))
+
+
+def normalised_cik(cik: str | Column) -> Column:
+    """Ten digits; null for what is no number of at most ten digits."""
+    digits = strip(cik)
+    return F.when(digits.rlike(r"^\d{1,10}$"), F.lpad(digits, 10, "0"))
+
+
+def normalised_ticker(ticker: str | Column) -> Column:
+    """Upper case without a leading dollar sign or any space."""
+    return F.upper(F.regexp_replace(F.regexp_replace(_col(ticker), r"\s+", ""), r"^\$", ""))
+
+
+def names_mention(name: Column, mention: Column) -> Column:
+    """Whether a folded name begins with a folded mention of at least four characters, or of several words."""
+    long_enough = (F.length(mention) >= 4) | mention.contains(" ")
+    return F.coalesce(long_enough & ((name == mention) | name.startswith(mention)), F.lit(False))
+
+
+def number_display(text: str | Column) -> Column:
+    """The text with numbers before USD, percent or % as `display_value` shows them; each is rewritten in its place.
+
+    Numbers may have thousands separators and decimals. A piece is a run of other text and one number with its unit.
+    """
+    number = r"-?\d[\d,]*(?:\.\d+)?"
+    unit = r"(?:\s?USD\b|\s?percent\b|\s?%)"
+    parts = F.regexp_extract_all(_col(text), F.lit(rf"(?s)(?:(?!(?<![\w.,-]){number}{unit}).)+|{number}{unit}"), 0)
+
+    def shown(piece: Column) -> Column:
+        value = F.replace(F.regexp_extract(piece, rf"^({number}){unit}$", 1), F.lit(","), F.lit("")).try_cast("double")
+        kind = F.when(piece.endswith("USD"), "USD").otherwise("percent")
+        return F.when(value.isNull(), piece).otherwise(display_value(value, kind))
+
+    return F.array_join(F.transform(parts, shown), "")

@@ -20,11 +20,12 @@ def whole_files(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.text(path, wholetext=True).withColumnRenamed("value", "payload")
 
 
-def ticker_map(payloads: DataFrame) -> DataFrame:
-    """(ticker, cik, title): upper case, ten digits; a later row of one ticker wins."""
-    rows = payloads.select(F.explode(F.from_json("payload", "map<string,struct<cik_str:string,ticker:string,title:string>>")).alias("k", "v"))
-    plain = rows.select(F.col("k").cast("long").alias("pos"), F.upper("v.ticker").alias("ticker"), F.lpad("v.cik_str", 10, "0").alias("cik"), F.col("v.title").alias("title"))
-    return plain.groupBy("ticker").agg(F.max_by(F.struct("cik", "title"), "pos").alias("r")).select("ticker", "r.*")
+def ticker_map(payloads: DataFrame, keys: list[str] | None = None) -> DataFrame:
+    """(keys, ticker, cik, title): upper case, ten digits; a later row of one ticker wins within the keys."""
+    keys = keys or []
+    rows = payloads.select(*keys, F.explode(F.from_json("payload", "map<string,struct<cik_str:string,ticker:string,title:string>>")).alias("k", "v"))
+    plain = rows.select(*keys, F.col("k").cast("long").alias("pos"), F.upper("v.ticker").alias("ticker"), F.lpad("v.cik_str", 10, "0").alias("cik"), F.col("v.title").alias("title"))
+    return plain.groupBy(*keys, "ticker").agg(F.max_by(F.struct("cik", "title"), "pos").alias("r")).select(*keys, "ticker", "r.*")
 
 
 def recent_filings(payloads: DataFrame, forms: tuple[str, ...], per_form: int) -> DataFrame:
