@@ -55,14 +55,15 @@ def texts(batch: pa.RecordBatch, column: str) -> list[str]:
     return [x or "" for x in batch.column(batch.schema.get_field_index(column)).to_pylist()]
 
 
-#: Two primes below 2**31 and a base for each: a hash has 62 bits.
+#: Two primes below 2**31 and a base for each: a hash has 62 bits. The third deals hashes into buckets on its own bits.
 PRIMES = ((2_147_483_647, 1_103_515_245), (2_147_483_629, 1_664_525_013))
+DEALING = (2_147_483_587, 22_695_477)
 _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(k: int, n: int, inverse: bool = False) -> np.ndarray:
     """base ** 0 .. base ** (n - 1) modulo the k-th prime, or their inverses."""
-    prime, base = PRIMES[k]
+    prime, base = (*PRIMES, DEALING)[k]
     base = pow(base, -1, prime) if inverse else base
     have = _powers.get((k, inverse), np.ones(1, np.int64))
     while len(have) < n:
@@ -71,10 +72,10 @@ def powers(k: int, n: int, inverse: bool = False) -> np.ndarray:
     return have[:n]
 
 
-def window_hashes(documents: list[list[bytes]], size: int, block: int = 1_000_000) -> tuple[np.ndarray, np.ndarray]:
+def window_hashes(documents: list[list[bytes]], size: int, block: int = 1_000_000, dealt: bool = False) -> tuple[np.ndarray, ...]:
     """Rabin-Karp hashes of every run of `size` words of each list, in order, and how many each list has.
 
-    A window's hash is that of its bytes with one space between words, taken from prefix sums modulo two primes. A
+    With `dealt` a third array has each window's remainder by the dealing prime. A window's hash is that of its bytes with one space between words, taken from prefix sums modulo two primes. A
     list whose words have over `block` bytes is cut into runs that overlap by size - 1 words, so memory stays bounded.
     """
     runs: list[tuple[bytes, int]] = []
@@ -86,6 +87,7 @@ def window_hashes(documents: list[list[bytes]], size: int, block: int = 1_000_00
             own = words[a : a + step + size - 1]
             runs.append((b" ".join(own), len(own)))
     out: list[np.ndarray] = []
+    deal: list[np.ndarray] = []
     k = 0
     while k < len(runs):
         stop, n = k, 0
@@ -101,13 +103,17 @@ def window_hashes(documents: list[list[bytes]], size: int, block: int = 1_000_00
         start = np.repeat(firsts - np.cumsum(have) + have, have) + np.arange(have.sum())
         s, e = begins[start], ends[start + size - 1]
         halves = []
-        for which, (prime, _) in enumerate(PRIMES):
+        for which, (prime, _) in enumerate((*PRIMES, DEALING) if dealt else PRIMES):
             total = np.concatenate([[0], np.cumsum((raw.astype(np.int64) + 1) * powers(which, len(raw)))])
             halves.append((total[e] - total[s]) % prime * powers(which, len(raw), inverse=True)[s] % prime)
+        deal.extend(x.astype(np.uint32) for x in halves[2:])
         out.append(halves[0].astype(np.uint64) << np.uint64(31) | halves[1].astype(np.uint64))
         k = stop
     counts = np.array([max(0, len(words) - size + 1) for words in documents], np.int64)
-    return np.concatenate(out) if out else np.zeros(0, np.uint64), counts
+    hashes = np.concatenate(out) if out else np.zeros(0, np.uint64)
+    if not dealt:
+        return hashes, counts
+    return hashes, counts, np.concatenate(deal) if deal else np.zeros(0, np.uint32)
 
 
 def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:

@@ -62,6 +62,8 @@ def test_window_hashes_over_blocks():
         want = [tuple(d[i : i + 5]) for d in docs for i in range(len(d) - 4)]
         assert counts.tolist() == [max(0, len(d) - 4) for d in docs] and len(hashes) == len(want)
         assert len(set(zip(hashes.tolist(), want))) == len(set(want)) == len(set(hashes.tolist()))
+        again, _, dealt = window_hashes(docs, 5, block, dealt=True)
+        assert (again == hashes).all() and len(set(zip(dealt.tolist(), want))) == len(set(want)) == len(set(dealt.tolist()))
 
 
 def test_substring_equals_brute_force(spark, sf):
