@@ -105,18 +105,6 @@ def newest_facts(facts: DataFrame, keys: list[str], most: int = 12) -> DataFrame
     return one.orderBy(F.desc("period_end"), "fact_id").limit(most)
 
 
-def expired_sessions(sessions: DataFrame, now, most: int) -> DataFrame:
-    """Sessions past their time whose lease, if any, has run out: oldest first."""
-    free = F.col("lease_until").isNull() | (F.col("lease_until") <= F.lit(now))
-    return sessions.filter((F.col("expires_at") <= F.lit(now)) & free).orderBy("expires_at", "session_id").limit(most)
-
-
-def claimable_run(runs: DataFrame, now) -> DataFrame:
-    """The oldest run that is queued, or running under a lease that has run out; at most one row."""
-    free = (F.col("status") == "queued") | ((F.col("status") == "running") & (F.col("lease_until") < F.lit(now)))
-    return runs.filter(free).orderBy("created_at", "run_id").limit(1)
-
-
 def fact_evidence(facts: DataFrame) -> DataFrame:
     """Facts as evidence for a context: label, content, period and rough tokens."""
     told = F.concat_ws(" ", F.col("company_name"), F.concat("metric", F.lit(":")), decimal_text(F.col("value")), F.col("unit"), F.concat(F.lit("("), "period_type", F.lit(" ending "), F.col("period_end").cast("string"), F.lit(")")))

@@ -10,6 +10,7 @@ from ledgerlake.catalogue import query
 from ledgerlake.operators import lineage as L
 from ledgerlake.queries.facts import ROWS, companies, facts, tickers
 from ledgerlake.session import table
+from ledgerlake.streaming.events import claimable, expired_sessions
 
 
 @query("j1_chunk_lineage", """SELECT l_orderkey AS section_id, l_linenumber, o_custkey AS version_id, c_nationkey AS document_id, r_name AS company_name FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey AND r_regionkey < 3""")
@@ -129,18 +130,18 @@ def t6(spark, sf):
     return L.newest_facts(rows, ["o_custkey", "o_orderstatus"])
 
 
-@query("t7_expired_sessions", "SELECT event_id AS session_id FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND (event_id % 3 = 0 OR ts + INTERVAL 1 DAY <= TIMESTAMP '2024-01-20 00:00:00') ORDER BY ts, event_id LIMIT 100")
+@query("t7_expired_sessions", "SELECT event_id AS session_id FROM events WHERE ts <= TIMESTAMP '2024-01-20 00:00:00' AND (event_id % 3 = 0 OR ts + INTERVAL 1 DAY < TIMESTAMP '2024-01-20 00:00:00') ORDER BY ts, event_id LIMIT 100")
 def t7(spark, sf):
     ts = F.col("ts")
     rows = table(spark, sf, "events").select(F.col("event_id").alias("session_id"), ts.alias("expires_at"), F.when(F.col("event_id") % 3 != 0, ts + F.expr("interval 1 day")).alias("lease_until"))
-    return L.expired_sessions(rows, datetime(2024, 1, 20), 100).select("session_id")
+    return expired_sessions(rows, datetime(2024, 1, 20), 100).select("session_id")
 
 
 @query("t8_claimable_run", "SELECT event_id AS run_id FROM events WHERE event_id % 11 = 3 OR (event_id % 11 = 4 AND ts + INTERVAL 1 HOUR < TIMESTAMP '2024-01-10 00:00:00') ORDER BY ts, event_id LIMIT 1")
 def t8(spark, sf):
     k = F.col("event_id") % 11
     rows = table(spark, sf, "events").select(F.col("event_id").alias("run_id"), F.when(k == 3, "queued").when(k == 4, "running").otherwise("done").alias("status"), F.col("ts").alias("created_at"), (F.col("ts") + F.expr("interval 1 hour")).alias("lease_until"))
-    return L.claimable_run(rows, datetime(2024, 1, 10)).select("run_id")
+    return claimable(rows, datetime(2024, 1, 10)).select("run_id").limit(1)
 
 
 @query("j13_macro_used", """WITH m AS (SELECT DISTINCT event_type AS series_id, CAST(ts AS DATE) AS observed_at FROM events WHERE day(ts) % 3 = 0), d AS (SELECT DISTINCT CAST(ts AS DATE) AS day FROM events WHERE day(ts) IN (2, 4, 5, 17, 25))

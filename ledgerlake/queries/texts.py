@@ -146,7 +146,7 @@ def a11(spark, sf):
     return citation_metrics(good.filter("claim_id % 3 <> 0"), good.filter("claim_id % 5 <> 0"))
 
 
-@query("st3_rate_limit", """WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, epoch(ts)::BIGINT // 3600 ORDER BY ts, event_id) AS n FROM events) SELECT event_id, n <= 2 AS accepted FROM r""")
+@query("st3_rate_limit", """WITH r AS (SELECT event_id, user_id, ts, row_number() OVER (PARTITION BY user_id, floor(epoch(ts))::BIGINT // 3600 ORDER BY ts, event_id) AS n FROM events) SELECT event_id, n <= 2 AS accepted FROM r""")
 def st3(spark, sf):
     from ledgerlake.streaming.events import rate_limited
 

@@ -7,6 +7,8 @@ from collections.abc import Iterator
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
+from ledgerlake.session import shared_folder
+
 
 def page(log: DataFrame, ident: str, cursor: int, most: int = 100) -> DataFrame:
     """The next events after a cursor."""
@@ -70,3 +72,13 @@ def transitions(states: DataFrame, key: str, order: str, status: str) -> DataFra
     """One event for each change of state of a key."""
     before = F.lag(status).over(W.partitionBy(key).orderBy(order))
     return states.withColumn("before", before).filter(~F.col(status).eqNullSafe(F.col("before")))
+
+
+def drained(stream: DataFrame, seconds: int = 600) -> DataFrame:
+    """All that a stream yields of what is there now, written as a table with its checkpoint in the shared folder."""
+    path = shared_folder(stream.sparkSession)
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").outputMode("append").trigger(availableNow=True).start()
+    if not run.awaitTermination(seconds):
+        run.stop()
+        raise TimeoutError(f"the stream took over {seconds} seconds")
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
