@@ -145,22 +145,41 @@ def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:
             return label
 
 
-def connected_components(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the links (src, dst): the smallest node it can reach.
 
-    Each round takes the smallest label among neighbours and then the label of that label, so labels travel twice as
-    far each round. Labels are written to the shared folder each round; a node with very many links is
-    aggregated before its rows are shuffled, and only joins that Spark can split see it whole.
+    Each round hooks every node onto its smallest neighbour, follows the hooks to their ends, and goes on with the
+    links between ends alone. An end that is left has taken in all its neighbours of two rounds before, so at least
+    half of the nodes go every two rounds, in any order of ids, and rounds end when no link is left. Then each round's
+    ends are looked up in those of the rounds after it. A node with very many links is aggregated before its rows are
+    shuffled, and only joins that Spark can split see it whole.
     """
     both = edges.filter("src <> dst").select("src", "dst").unionByName(edges.filter("src <> dst").select(F.col("dst").alias("src"), F.col("src").alias("dst"))).dropDuplicates()
-    both = stored(both, "links")
-    labels = stored(both.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m")).select("node", F.least("node", "_m").alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels, F.col("src") == F.col("node")).groupBy(F.col("dst").alias("node")).agg(F.min("component").alias("_m"))
-        hooked = labels.join(near, "node", "left").select("node", F.least("component", F.coalesce("_m", "component")).alias("_l"), F.col("component").alias("_was"))
-        roots = labels.select(F.col("node").alias("_root"), F.col("component").alias("_up"))
-        after = stored(hooked.join(roots, F.col("_l") == F.col("_root"), "left").select("node", F.least("_l", F.coalesce("_up", "_l")).alias("component"), "_was"), "labels")
-        labels = after.select("node", "component")
+    links = stored(both, "links")
+    rounds = []
+    while not rounds or not links.isEmpty():
+        ends = hook_ends(links.groupBy(F.col("src").alias("node")).agg(F.min("dst").alias("_m")).select("node", F.least("node", "_m").alias("component")))
+        rounds.append(ends)
+        a, b = (ends.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"_to_{x}")) for x in ("src", "dst"))
+        moved = links.join(a, F.col("src") == F.col("_src")).join(b, F.col("dst") == F.col("_dst")).filter("_to_src <> _to_dst")
+        links = stored(moved.select(F.col("_to_src").alias("src"), F.col("_to_dst").alias("dst")).dropDuplicates(), "links")
+    labels = rounds.pop()
+    while rounds:
+        labels = stored(looked_up(rounds.pop(), labels).select("node", "component"), "labels")
+    return labels
+
+
+def looked_up(labels: DataFrame, after: DataFrame) -> DataFrame:
+    """Each node's component replaced by that component's own in `after`, where it has one; before, as _was."""
+    own = after.select(F.col("node").alias("_end"), F.col("component").alias("_up"))
+    return labels.join(own, F.col("component") == F.col("_end"), "left").select("node", F.coalesce("_up", "component").alias("component"), F.col("component").alias("_was"))
+
+
+def hook_ends(hooks: DataFrame) -> DataFrame:
+    """(node, component) with each hook (node, component) followed to its end; steps double each time."""
+    hooks = stored(hooks, "labels")
+    while True:
+        after = stored(looked_up(hooks, hooks), "labels")
+        hooks = after.select("node", "component")
         if after.filter("component <> _was").isEmpty():
-            return labels
-    raise RuntimeError("links were not resolved in the rounds allowed")
+            return hooks

@@ -99,6 +99,15 @@ def test_components_equal_union_find(spark):
     assert all(label[x] == find(x) for x in parent)
 
 
+def test_components_of_long_chains(spark):
+    """Chains of more hops than any fixed number of rounds: in random order, and 1, n, n-1, .. 2, whose ends are both low."""
+    mixed = (5_000 + np.random.default_rng(11).permutation(2_000)).tolist()
+    adverse = [1, *range(1_500, 1, -1)]
+    links = [x for chain in (mixed, adverse) for x in zip(chain, chain[1:])]
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(links, "src long, dst long")).collect()}
+    assert got == {x: min(chain) for chain in (mixed, adverse) for x in chain}
+
+
 def brute_fingerprint(text):
     from xxhash import xxh64_intdigest
 
