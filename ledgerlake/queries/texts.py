@@ -93,6 +93,12 @@ def d8(spark, sf):
     return D.near_pairs(docs(spark, sf).filter("text is not null"), "doc_id", "text", 0.8).select("a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+@query("d8_text_classes", "SELECT doc_id, CASE WHEN text IS NULL THEN doc_id ELSE min(doc_id) OVER (PARTITION BY text) END AS class_id, CASE WHEN text IS NULL THEN 1 ELSE count(*) OVER (PARTITION BY text) END AS n_equal FROM documents")
+def d8_classes(spark, sf):
+    """The rows that d8_near_pairs names by one id: each document with the smallest id of its equal texts."""
+    return D.text_classes(docs(spark, sf), "doc_id", "text")
+
+
 @query("d8_greedy_decisions")
 def d8_greedy(spark, sf):
     rows = docs(spark, sf).withColumn("version", F.concat_ws("-", "source", "lang", (F.col("doc_id") % 64)))

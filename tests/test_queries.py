@@ -38,6 +38,18 @@ def test_query_equals_its_sql(spark, sf, oracle, name):
     assert sorted(str(tuple(plain(r[c]) for c in names)) for r in rows) == want
 
 
+def test_equal_texts_have_a_row_each(spark, sf):
+    """Copies without any other near text are found, though they make no pair."""
+    from ledgerlake.operators.documents import near_pairs, text_classes
+
+    same, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen"
+    docs = spark.createDataFrame([(4, same), (2, same), (9, same), (3, other), (7, None), (8, None)], "doc_id long, text string")
+    assert near_pairs(docs.filter("text is not null"), "doc_id", "text", 0.8).count() == 0
+    got = {r.doc_id: (r.class_id, r.n_equal) for r in text_classes(docs, "doc_id", "text").collect()}
+    assert got == {4: (2, 3), 2: (2, 3), 9: (2, 3), 3: (3, 1), 7: (7, 1), 8: (8, 1)}
+    assert catalogue.QUERIES["d8_text_classes"](spark, sf).count() == spark.read.parquet(f"{sf}/documents.parquet").count()
+
+
 def test_growth_of_a_shifted_calendar(spark):
     from ledgerlake.operators.series import year_over_year_dated
 
