@@ -356,6 +356,21 @@ def test_pipeline_stages(spark, sf):
     assert {r.doc_id for r in pieces} == {r.doc_id for r in docs.collect()}
 
 
+def test_pipeline_classifier_judges_each_row(spark, sf):
+    """A rejected text goes without a doc_id too, and alone where another text has the same doc_id."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").filter("text is not null").select(*corpus_pipeline.COLUMNS)
+    labels = spark.read.parquet(f"{sf}/labels.parquet")
+    named = {r.doc_id for r in labels.collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    judged = {r.doc_id: r.predicted for r in classify(docs, labels).collect()}
+    bad = min(k for k, p in judged.items() if not p)
+    good = min(k for k, p in judged.items() if p and k not in named)
+    more = [(None, texts[bad], "en", "s", 1), (None, texts[good], "en", "s", 1), (good, texts[bad], "en", "s", 1)]
+    got = corpus_pipeline.quality_classifier(spark, docs.unionByName(spark.createDataFrame(more, docs.schema)), sf).collect()
+    want = [(k, texts[k]) for k, p in judged.items() if p] + [(None, texts[good])]
+    assert sorted(((r.doc_id, r.text) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_odd_rows(spark, tmp_path):
     odd_docs(spark).write.parquet(f"{tmp_path}/documents.parquet")
     odd_labels(spark).write.parquet(f"{tmp_path}/labels.parquet")
