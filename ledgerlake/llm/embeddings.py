@@ -144,7 +144,9 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "ve
     spark = rows.sparkSession
     units = stored(prepared(rows, vector, ident), "units")
     classes = units.filter("digest is not null").groupBy("digest", "size").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
-    classes = stored(classes.filter("node is not null"), "classes")
+    # vectors without any id: nodes above all ids, so that they count and pass links on but name no component
+    nameless = units.agg(F.coalesce(F.max("vec_id"), F.lit(0)).alias("x")).first()["x"] + 1
+    classes = stored(classes.withColumn("node", F.coalesce("node", F.lit(nameless) + F.pmod(F.xxhash64("digest"), F.lit(1 << 61)))), "classes")
     epsilon = float(np.sqrt(2 - 2 * cosine))
     links = edges = None
     for size in [r["size"] for r in classes.select("size").distinct().collect()]:
@@ -159,7 +161,7 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "ve
         classes.select("digest", "node", "copies").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left")
         .join(connected_components(edges).withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
         .select(F.col("digest").alias("_digest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("_n"), F.coalesce("component", "node").alias("_component"))
-    )
+    ).withColumn("_component", F.when(F.col("_component") < nameless, F.col("_component")))
     out = units.select("vec_id", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
     component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))

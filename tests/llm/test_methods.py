@@ -329,6 +329,15 @@ def test_embeddings_equal_brute_force(spark, run_rows):
     assert near_duplicates(df.filter("false")).count() == 0
 
 
+def test_embeddings_without_ids_count(spark):
+    """Vectors whose rows all lack an id are links of others and have links; they name no component."""
+    turned = lambda a: [float(np.cos(a)), float(np.sin(a))]  # noqa: E731  0.3 apart is alike, 0.6 is not
+    rows = [(5, turned(0.0)), (None, turned(0.3)), (7, turned(0.6)), (None, turned(2.0)), (None, turned(2.0)), (None, turned(2.2)), (9, turned(4.0))]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    want = [(5, 1, 5, True), (None, 2, 5, False), (7, 1, 5, False), (None, 2, None, False), (None, 2, None, False), (None, 2, None, False), (9, 0, 9, True)]
+    assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
