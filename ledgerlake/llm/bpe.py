@@ -6,8 +6,12 @@ in one flat array. A round looks neighbouring pairs up by binary search in the s
 + right id), finds each word's pair of lowest rank, and merges all its occurrences from the left; only pairs beside a
 merge are looked up again. Words without a known pair leave the rounds. The table of pieces is bounded.
 
-Null text: empty, no ids, decoded as the empty text. Special tokens inside a text become their own ids, as the library
-has it by default. Rows and columns besides the text pass unchanged.
+A long text is encoded in runs that end where a piece certainly begins, so memory doesn't follow its length.
+
+Null or empty text: no ids, decoded as the empty text. Special tokens inside a text become their own ids, as the library
+has it by default. Rows, repeated ones too, and
+columns besides the text pass unchanged; a column with the name asked for the ids or the decoded text is replaced. An
+empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -15,12 +19,13 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerlake.llm.shared import PRIMES, powers, slices, texts
+from ledgerlake.llm.shared import BLOCK, byte_hashes, slices, texts
 
 NONE = np.iinfo(np.int32).max
 
@@ -44,6 +49,7 @@ def _byte_classes() -> np.ndarray:
 #: letters); TAIL follows the byte LEAD in letters (all but the signs for times and divided by).
 SOLID, ALNUM, PUNCT, TAIL, LEAD, SPACE, LINE, ALPHA = (1 << k for k in range(8))
 CLASSES = _byte_classes()
+SPACE_SOLID = re.compile(b" [\x21-\x7e\xc3-\xcb]")
 
 
 class Bpe:
@@ -58,6 +64,7 @@ class Bpe:
         vocab, merges = spec["model"]["vocab"], spec["model"]["merges"]
         self.special = {t["content"].encode(): t["id"] for t in spec["added_tokens"]}
         self.find_special = re.compile(b"|".join(map(re.escape, self.special))) if self.special else None
+        self.longest = max(map(len, self.special), default=0)
         self.split = regex.compile(self.PATTERN)
         symbols = byte_symbols()
         of_symbol = {c: b for b, c in symbols.items()}
@@ -190,12 +197,56 @@ class Bpe:
                     new[b : b + 1] = True
         return np.flatnonzero(new)
 
+    def parts(self, text: bytes) -> Iterator[bytes]:
+        """A text in runs of about BLOCK bytes, cut where a piece certainly begins: at a space before a solid character.
+
+        A special token that holds such a place isn't cut. A run without one stays whole.
+        """
+        start = 0
+        while len(text) - start > 2 * BLOCK:
+            at = start + BLOCK
+            while True:
+                hit = SPACE_SOLID.search(text, at)
+                at = hit.start() if hit else len(text)
+                around = self.find_special.finditer(text, max(start, at - self.longest), at + self.longest) if self.find_special else ()
+                if not any(x.start() < at < x.end() for x in around):
+                    break
+                at += 1
+            if at >= len(text):
+                break
+            yield text[start:at]
+            start = at
+        yield text[start:]
+
     def encode_batch(self, batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids of the texts in a row, and the number of ids of each text."""
-        coded = [text.encode() for text in batch]
+        """All ids of the texts in a row, and the number of ids of each text; a step handles about BLOCK bytes or one run."""
+        ids, counts = [np.zeros(0, self.dtype)], np.zeros(len(batch), np.int64)
+        held: list[bytes] = []
+        owner: list[int] = []
+        size = 0
+        for k, text in enumerate(batch):
+            for part in self.parts(text.encode()):
+                if held and size + len(part) > 2 * BLOCK:
+                    size = self._flush(held, owner, ids, counts)
+                held.append(part)
+                owner.append(k)
+                size += len(part)
+        self._flush(held, owner, ids, counts)
+        return np.concatenate(ids), counts
+
+    def _flush(self, held: list[bytes], owner: list[int], ids: list[np.ndarray], counts: np.ndarray) -> int:
+        found, n = self.encode_block(held)
+        ids.append(found)
+        np.add.at(counts, owner, n)
+        held.clear()
+        owner.clear()
+        return 0
+
+    def encode_block(self, coded: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids of the runs of bytes in a row, and the number of ids of each run."""
         whole = b"".join(coded)
         if not whole:
-            return np.zeros(0, self.dtype), np.zeros(len(batch), np.int64)
+            return np.zeros(0, self.dtype), np.zeros(len(coded), np.int64)
         if len(self.lengths) > self.MOST_PIECES:
             self.reset()
         raw = np.frombuffer(whole, np.uint8)
@@ -203,10 +254,7 @@ class Bpe:
         kind = CLASSES[raw]
         starts = self.cuts(raw, kind, begins, whole)
         stops = np.append(starts[1:], len(raw))
-        halves = []
-        for which, (prime, _) in enumerate(PRIMES):
-            total = np.concatenate([[0], np.cumsum((raw.astype(np.int64) + 1) * powers(which, len(raw)))])
-            halves.append((total[stops] - total[starts]) % prime * powers(which, len(raw), inverse=True)[starts] % prime)
+        halves = byte_hashes(raw, starts, stops)
         distinct, first, inverse = np.unique(halves[0].astype(np.uint64) << np.uint64(31) | halves[1].astype(np.uint64), return_index=True, return_inverse=True)
         at = np.searchsorted(self.hashes, distinct)
         known = np.zeros(len(distinct), bool)
@@ -245,12 +293,22 @@ class Bpe:
             self.byte_lengths = np.array([len(b) for b in self.bytes_of], np.int64)
             self.flat_bytes = np.frombuffer(b"".join(self.bytes_of), np.uint8)
             self.byte_offsets = np.cumsum(self.byte_lengths) - self.byte_lengths
-        lengths = self.byte_lengths[ids]
-        ends = np.cumsum(lengths)
-        total = int(ends[-1]) if len(ends) else 0
-        raw = self.flat_bytes[np.repeat(self.byte_offsets[ids] - ends + lengths, lengths) + np.arange(total)].tobytes()
-        at = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return [raw[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+        raw, size = [], [np.zeros(1, np.int64)]
+        for k in range(0, len(ids), BLOCK):
+            own = ids[k : k + BLOCK]
+            lengths = self.byte_lengths[own]
+            ends = np.cumsum(lengths)
+            raw.append(self.flat_bytes[np.repeat(self.byte_offsets[own] - ends + lengths, lengths) + np.arange(int(ends[-1]))].tobytes())
+            size.append(ends + size[-1][-1])
+        whole = b"".join(raw)
+        at = np.concatenate(size)[np.concatenate([[0], np.cumsum(counts)])]
+        return [whole[a:b].decode("utf-8", "replace") for a, b in zip(at[:-1], at[1:], strict=True)]
+
+
+@lru_cache(maxsize=1)
+def loaded(path: str) -> Bpe:
+    """The tokenizer of a file, read once a Python worker."""
+    return Bpe(path)
 
 
 def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decoded: str | None = None) -> DataFrame:
@@ -259,9 +317,9 @@ def encode(df: DataFrame, path: str, text: str = "text", ids: str = "ids", decod
     keep = [f.name for f in df.schema.fields if f.name not in (ids, decoded)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = loaded(path)
         for batch in batches:
-            for part in slices(batch, text, 1_000_000):
+            for part in slices(batch, text):
                 flat, counts = bpe.encode_batch(texts(part, text))
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(counts)]), pa.int32()), pa.array(flat.astype(np.int32), pa.int32()))
                 more = [lists] + ([pa.array(bpe.decode_batch(flat, counts), pa.string())] if decoded else [])
@@ -276,7 +334,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
     schema = T.StructType([*[f for f in df.schema.fields if f.name != text], T.StructField(text, T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(path)
+        bpe = loaded(path)
         for batch in batches:
             lists = [x or [] for x in batch.column(batch.schema.get_field_index(ids)).to_pylist()]
             flat = np.array([i for x in lists for i in x], np.int64)

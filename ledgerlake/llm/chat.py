@@ -23,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ledgerlake.llm.bpe import Bpe
+from ledgerlake.llm.bpe import loaded
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -87,7 +87,7 @@ def formatted(rows: DataFrame, tokenizer: str, budget: int = 2048, history: int
     """One row a window: its text, the numbers of its turns, and its loss spans (code points of the text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        bpe = Bpe(tokenizer)
+        bpe = loaded(tokenizer)
         held: list[tuple] = []
         key = None
 

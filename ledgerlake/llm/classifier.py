@@ -1,10 +1,12 @@
 """Quality classifier: a regularised quadratic discriminant over transformed document statistics.
 
 Class means and covariances come from sums over all training rows. A covariance is shrunk towards the pooled diagonal,
-its Cholesky factor is taken once, and a text's score is the logistic function of the difference of the classes' log
-densities (Mahalanobis distances by triangular solves, log determinants, log priors).
+its Cholesky factor and that factor's inverse are taken once, and a text's score is the logistic function of the
+difference of the classes' log densities (Mahalanobis distances by the cached inverses, log determinants, log priors).
 
-Null or empty text: the statistics of no words, scored like any other. Labels that are null or neither 0 nor 1 are
+Null or empty text: the statistics of no words, scored like any other. A text of any length is one list of words in
+memory. Rows with equal texts have equal scores, and an empty table gives no rows. Columns not named in `keep` are
+ignored; features, score, held_out and predicted are columns of the result. Labels that are null or neither 0 nor 1 are
 left out; repeated label rows count once, with the lower quality. If a class has no row, every score is the share of
 class 1 among the labels, or 0.5 without labels. A null doc_id counts as held out.
 """
@@ -79,13 +81,13 @@ class Discriminant:
         pooled = (squares.sum(0) - sum(np.outer(s, s) / n for s, n in zip(sums, counts, strict=True))) / counts.sum()
         target = np.diag(np.maximum(np.diag(pooled), ridge))
         self.means = sums / counts[:, None]
-        self.factors, self.constants = [], []
+        self.inverses, self.constants = [], []
         for k in (0, 1):
             own = squares[k] / counts[k] - np.outer(self.means[k], self.means[k])
             # few rows of a class: more of the pooled diagonal
             weight = shrink + (1 - shrink) * size / (size + counts[k])
             factor = np.linalg.cholesky((1 - weight) * own + weight * target + ridge * np.eye(size))
-            self.factors.append(factor)
+            self.inverses.append(np.linalg.inv(factor))
             self.constants.append(np.log(counts[k] / counts.sum()) - np.log(np.diag(factor)).sum())
 
     def scores(self, x: np.ndarray) -> np.ndarray:
@@ -94,7 +96,7 @@ class Discriminant:
             return np.full(len(x), self.prior)
         density = []
         for k in (0, 1):
-            z = np.linalg.solve(self.factors[k], (x - self.means[k]).T)
+            z = self.inverses[k] @ (x - self.means[k]).T
             density.append(self.constants[k] - 0.5 * (z * z).sum(0))
         return 1 / (1 + np.exp(-np.clip(density[1] - density[0], -700, 700)))
 

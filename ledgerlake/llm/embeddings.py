@@ -7,8 +7,9 @@ when the boxes around their projections are further apart than epsilon, which pr
 never lengthen distances). What is left is compared exactly, by a matrix product in double precision.
 
 Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing: n_links 0 and themselves as
-component. Vectors of other lengths are never compared with each other. Repeated rows are links of each other; a null
-vec_id counts as a row but names no component.
+component. Vectors of other lengths are never compared with each other. Repeated rows are links of each other; rows that
+repeat a vec_id with another vector are rows of their own, and each has its own links. A null vec_id counts as a row
+but names no component. An empty table gives no rows; columns besides the two named are ignored.
 """
 
 from __future__ import annotations
@@ -68,10 +69,9 @@ def principal(units: DataFrame, size: int, leading: int) -> np.ndarray:
                 total += x.T @ x
         yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "x"])
 
-    sums = units.filter(F.col("size") == size).select("unit").mapInArrow(moments, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).collect()
+    sums = units.filter(F.col("size") == size).select("unit").mapInArrow(moments, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
     total = np.zeros((size + 1) ** 2)
-    for row in sums:
-        total[row["k"]] = row["x"]
+    total[np.asarray(sums.column("k"), np.int64)] = np.asarray(sums.column("x"), float)
     total = total.reshape(size + 1, size + 1)
     n = max(1.0, total[-1, -1])
     mean = total[-1, :-1] / n
@@ -140,34 +140,36 @@ def join(left: Run, right: Run, cosine: float, far: float) -> tuple[np.ndarray,
 
 
 def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "vec_id", cosine: float = 0.95, run_rows: int = 8192, leading: int = 8) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row."""
-    spark = rows.sparkSession
+    """(vec_id, n_links, component_id, kept) of every row, for a cosine above 0 and up to 0.99999."""
+    if not 0 < cosine <= 0.99999:
+        raise ValueError("cosine must lie above 0 and at 0.99999 at most")
     units = stored(prepared(rows, vector, ident), "units")
-    classes = units.filter("digest is not null").groupBy("digest", "size").agg(F.min("vec_id").alias("node"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
-    # vectors without any id: nodes above all ids, so that they count and pass links on but name no component
-    nameless = units.agg(F.coalesce(F.max("vec_id"), F.lit(0)).alias("x")).first()["x"] + 1
-    classes = stored(classes.withColumn("node", F.coalesce("node", F.lit(nameless) + F.pmod(F.xxhash64("digest"), F.lit(1 << 61)))), "classes")
+    equal = units.filter("digest is not null").groupBy("digest", "size").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
+    # equal vectors are one node; numbers are given once and written down
+    classes = stored(equal.withColumn("node", F.monotonically_increasing_id()), "classes")
     epsilon = float(np.sqrt(2 - 2 * cosine))
     links = edges = None
     for size in [r["size"] for r in classes.select("size").distinct().collect()]:
         own = classes.filter(F.col("size") == size)
-        found = stored(_size_links(spark, own, size, cosine, epsilon, run_rows, min(leading, size)), "links")
+        found = stored(_size_links(own, size, cosine, epsilon, run_rows, min(leading, size)), "links")
         part = found.groupBy("node").agg(F.sum("links").alias("links"))
         star = found.filter("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst"))
         links, edges = (part, star) if links is None else (links.unionByName(part), edges.unionByName(star))
     if links is None:
-        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.lit(True).alias("kept"))
-    named = (
-        classes.select("digest", "node", "copies").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left")
+        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    rooted = (
+        classes.select("digest", F.col("size").alias("_size"), "node", "copies", "least").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left")
         .join(connected_components(edges).withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
-        .select(F.col("digest").alias("_digest"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("_n"), F.coalesce("component", "node").alias("_component"))
-    ).withColumn("_component", F.when(F.col("_component") < nameless, F.col("_component")))
-    out = units.select("vec_id", "digest").join(named, F.col("digest") == F.col("_digest"), "left")
+        .select(F.col("digest").alias("_digest"), "_size", "least", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).cast("long").alias("_n"), F.coalesce("component", "node").alias("_root"))
+    )
+    names = rooted.groupBy(F.col("_root").alias("_r")).agg(F.min("least").alias("_component"))
+    named = rooted.join(names, F.col("_root") == F.col("_r"))
+    out = units.select("vec_id", "digest", "size").join(named, (F.col("digest") == F.col("_digest")) & (F.col("size") == F.col("_size")), "left")
     component = F.coalesce("_component", "vec_id")
     return out.select("vec_id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def _size_links(spark, classes: DataFrame, size: int, cosine: float, epsilon: float, run_rows: int, leading: int) -> DataFrame:
+def _size_links(classes: DataFrame, size: int, cosine: float, epsilon: float, run_rows: int, leading: int) -> DataFrame:
     """(node, links, root) rows of all runs' joins, for vectors of one length."""
     axes = principal(classes, size, leading)
     far = (epsilon + 1e-9) ** 2

@@ -21,7 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
-from ledgerlake.llm.bpe import Bpe
+from ledgerlake.llm.bpe import loaded
 from ledgerlake.llm.shared import slices, stored, texts
 
 WINDOW = 2048
@@ -32,7 +32,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
     """(doc_id, source, n_tokens, ids, wide, row_hash); ids are unsigned little-endian, 2 bytes each, or 4 where `wide`."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = Bpe(tokenizer)
+        encoder = loaded(tokenizer)
         end = np.array([end_id], encoder.dtype).tobytes()
         for batch in batches:
             for part in slices(batch, "text"):
@@ -44,7 +44,7 @@ def tokenised(docs: DataFrame, tokenizer: str, end_id: int = 1) -> DataFrame:
                     names=["doc_id", "source", "row_hash", "n_tokens", "ids", "wide"],
                 )
 
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("source"), F.xxhash64("doc_id", "text").alias("row_hash"), "text")
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("source").cast("string"), F.lit("\0null")).alias("source"), F.xxhash64("doc_id", "text", F.spark_partition_id()).alias("row_hash"), "text")
     return rows.mapInArrow(encode, "doc_id long, source string, row_hash long, n_tokens long, ids binary, wide boolean")
 
 

@@ -14,14 +14,18 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 #: A run of bytes that are no ASCII white space; bytes.split() cuts at the same bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
 #: Bytes of text that one step in Python handles at a time.
-SLICE_BYTES = 2_000_000
+SLICE_BYTES = 500_000
+#: Words or bytes that one step of hashing handles at a time; the tables of powers are as long.
+BLOCK = 250_000
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors see: spark.checkpoint.dir, or a folder of our own where it is unset (tests)."""
+    """The folder that all executors see: spark.checkpoint.dir, or on one machine (tests) a folder of our own."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder:
         return folder
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     context = spark.sparkContext._jsc.sc()
     if context.getCheckpointDir().isEmpty():
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ledgerlake-"))
@@ -62,17 +66,37 @@ _powers: dict[tuple[int, bool], np.ndarray] = {}
 
 
 def powers(k: int, n: int, inverse: bool = False) -> np.ndarray:
-    """base ** 0 .. base ** (n - 1) modulo the k-th prime, or their inverses."""
+    """base ** 0 .. base ** (n - 1) modulo the k-th prime, or their inverses; tables of up to BLOCK are kept."""
     prime, base = (*PRIMES, DEALING)[k]
     base = pow(base, -1, prime) if inverse else base
     have = _powers.get((k, inverse), np.ones(1, np.int64))
     while len(have) < n:
         have = np.concatenate([have, have * pow(base, len(have), prime) % prime])
-    _powers[k, inverse] = have
+    _powers[k, inverse] = have[: BLOCK + 1].copy() if len(have) > BLOCK + 1 else have
     return have[:n]
 
 
-def window_hashes(documents: list[list[bytes]], size: int, block: int = 1_000_000, dealt: bool = False) -> tuple[np.ndarray, ...]:
+def byte_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: tuple[int, ...] = (0, 1)) -> list[np.ndarray]:
+    """Rabin-Karp remainders of the byte runs [begin, end) of raw, which must ascend and not overlap, by each prime asked for.
+
+    Prefix sums restart every BLOCK bytes or so, at the end of a run, so that no table grows with the input.
+    """
+    out = [np.zeros(len(begins), np.int64) for _ in which]
+    k = 0
+    while k < len(begins):
+        first = int(begins[k])
+        stop = max(k + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
+        part = raw[first : int(ends[stop - 1])].astype(np.int64) + 1
+        a, b = begins[k:stop] - first, ends[k:stop] - first
+        for into, prime_at in zip(out, which, strict=True):
+            prime = (*PRIMES, DEALING)[prime_at][0]
+            total = np.concatenate([[0], np.cumsum(part * powers(prime_at, len(part)))])
+            into[k:stop] = (total[b] - total[a]) % prime * powers(prime_at, len(part), inverse=True)[a] % prime
+        k = stop
+    return out
+
+
+def window_hashes(documents: list[list[bytes]], size: int, block: int = BLOCK, dealt: bool = False) -> tuple[np.ndarray, ...]:
     """Rabin-Karp hashes of every run of `size` words of each list, in order, and how many each list has.
 
     With `dealt` a third array has each window's remainder by the dealing prime. A window's hash is that of its bytes with one space between words, taken from prefix sums modulo two primes. A

@@ -8,8 +8,10 @@ compared. Many anchors share one task; within it each anchor's links are reduced
 of near copies costs a row a member. An anchor that holds more than `hot` fingerprints is dealt again by anchors of
 the Hamming code of length 15 in the two quarters of the other half, one of which differs in at most one bit.
 
-Null or empty text: fingerprint zero, linked like any other. Copies have one fingerprint and are compared once. A null
-doc_id gets the component of its fingerprint's smallest doc_id, null if there is none, and passes no links on.
+Null or empty text: fingerprint zero, linked like any other. Copies have one fingerprint and are compared once; rows
+that repeat a doc_id with another text are rows of their own. A null doc_id is linked and passes links on, but names no
+component: a group without any doc_id has the component null. A text of any length is read whole; its words are hashed
+in runs of bounded size. An empty table gives no rows. Columns besides doc_id, the text and `keep` are ignored.
 """
 
 from __future__ import annotations
@@ -18,50 +20,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ledgerlake.llm.shared import connected_components, local_components, slices, stored, texts
 
 
-def fingerprints_of(batch: list[str], size: int = 3, seed: int = 42) -> np.ndarray:
-    """The 64-bit fingerprints of some texts."""
+def fingerprints_of(batch: list[str], size: int = 3, seed: int = 42, block: int = 100_000) -> np.ndarray:
+    """The 64-bit fingerprints of some texts; shingles are hashed and added up in runs of about `block`."""
     from xxhash import xxh64_intdigest
 
-    hashes: list[int] = []
+    ones = np.zeros((len(batch), 64), np.int64)
     counts = np.zeros(len(batch), np.int64)
+    hashes: list[int] = []
+    owner: list[tuple[int, int]] = []
+
+    def add() -> None:
+        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        which, n = np.array(owner, np.int64).T
+        np.add.at(ones, which, np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64))
+        hashes.clear()
+        owner.clear()
+
     for k, text in enumerate(batch):
         words = text.encode().lower().split()  # bytes: only A-Z change, and only ASCII white space cuts
-        if not words:
-            continue
-        if len(words) <= size:
-            hashes.append(xxh64_intdigest(b" ".join(words), seed))
-            counts[k] = 1
-            continue
+        counts[k] = max(1, len(words) - size + 1) if words else 0
         joined = b" ".join(words)
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
-        begins = (ends - np.fromiter(map(len, words), np.int64, len(words)) - 1).tolist()
-        stops = (ends[size - 1 :] - 1).tolist()
-        hashes.extend([xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins, stops, strict=False)])
-        counts[k] = len(stops)
-    out = np.zeros(len(batch), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-        at = np.cumsum(counts[full]) - counts[full]
-        ones = np.add.reduceat(bits, at, axis=0, dtype=np.int64)
-        out[full] = np.packbits(2 * ones > counts[full][:, None], axis=1, bitorder="little").view(np.uint64).ravel()
-    return out
-
-
-def with_fingerprints(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp): fp has the fingerprint's bits as a signed number."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
+        ends = np.cumsum(lengths)
+        begins, stops = ends - lengths, ends[min(size, len(words)) - 1 :] - 1 if words else ends
+        for i in range(0, int(counts[k]), block):
+            own = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins[i : i + block].tolist(), stops[i : i + block].tolist(), strict=False)]
+            hashes.extend(own)
+            owner.append((k, len(own)))
+            if len(hashes) >= block:
+                add()
+    if hashes:
+        add()
+    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+
+
+def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep columns, fp): fp has the fingerprint's bits as a signed number."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.col(text).cast("string").alias("_text"))
+    schema = T.StructType([*rows.drop("_text").schema.fields, T.StructField("fp", T.LongType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(fingerprints_of(texts(part, "_text")).view(np.int64), pa.int64())], names=["doc_id", "fp"])
+                own = pa.array(fingerprints_of(texts(part, "_text")).view(np.int64), pa.int64())
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], own], names=[f.name for f in schema.fields])
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(text).cast("string").alias("_text")).mapInArrow(run, "doc_id long, fp long")
+    return rows.mapInArrow(run, schema)
 
 
 def _masks(length: int) -> list[np.ndarray]:
@@ -105,16 +114,14 @@ def finer_keys(fps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return np.concatenate(which), np.concatenate(out)
 
 
-def links_within(keys: np.ndarray, fps: np.ndarray, distance: int, hot: int | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Spanning links (as positions) between rows of one key at most `distance` bits apart; rows of keys too large."""
+def links_within(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (as positions) between rows of one key at most `distance` bits apart."""
     order = np.lexsort((fps, keys))
     keys, fps = keys[order], fps[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
-    large = sizes > (hot or len(keys) + 1)
     left, right = [], []
-    narrow = np.repeat((sizes <= 64) & (sizes > 1), sizes)
-    rows = np.flatnonzero(narrow)
+    rows = np.flatnonzero(np.repeat((sizes <= 64) & (sizes > 1), sizes))
     for d in range(1, int(sizes[(sizes <= 64)].max(initial=1))):
         a = rows[rows + d < len(keys)]
         a = a[keys[a] == keys[a + d]]
@@ -123,7 +130,7 @@ def links_within(keys: np.ndarray, fps: np.ndarray, distance: int, hot: int | No
         a = a[np.bitwise_count(fps[a] ^ fps[a + d]) <= distance]
         left.append(a)
         right.append(a + d)
-    for start, size in zip(starts[(sizes > 64) & ~large].tolist(), sizes[(sizes > 64) & ~large].tolist(), strict=True):
+    for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
         own = fps[start : start + size]
         label = np.arange(size)
         for i in range(0, size, 1024):
@@ -136,69 +143,93 @@ def links_within(keys: np.ndarray, fps: np.ndarray, distance: int, hot: int | No
         left.append(start + label[far])
         right.append(start + far)
     none = np.zeros(0, np.int64)
-    hot_rows = np.flatnonzero(np.repeat(large, sizes))
-    return order[np.concatenate(left)] if left else none, order[np.concatenate(right)] if right else none, order[hot_rows]
+    return order[np.concatenate(left)] if left else none, order[np.concatenate(right)] if right else none
+
+
+def _unsigned(column: pa.Array) -> np.ndarray:
+    return np.asarray(column).astype(np.int64).view(np.uint64)
 
 
-def near_links(nodes: DataFrame, distance: int = 3, hot: int = 30_000) -> DataFrame:
-    """Links (src, dst) between the nodes of fingerprints at most three bits apart, enough to connect all that are."""
+def _keyed(fps: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64))], names=["fp", "key"])
+
+
+def _spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 20_000):
+            fps = _unsigned(batch.column(0).slice(k, 20_000))
+            which, keys = keys_of(fps)
+            yield _keyed(fps[which], keys)
+
+
+def _deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 20_000):
+            fps, keys = (_unsigned(batch.column(i).slice(k, 20_000)) for i in (0, 1))
+            which, finer = finer_keys(fps, keys)
+            yield _keyed(fps[which], finer)
+
+
+def near_links(fingerprints: DataFrame, distance: int = 3, hot: int = 30_000, bucket_rows: int = 500_000) -> DataFrame:
+    """Links (src, dst) between distinct fingerprints (column fp) at most three bits apart, enough to connect all that are.
+
+    Anchors are counted, added up before they move, and only those of at most `hot` fingerprints are gathered. The
+    others are dealt again by finer anchors and counted again; what is still too large is dealt by hash into blocks of
+    about `hot` / 2, and every two blocks meet in a group of their own.
+    """
     if distance > 3:
         raise ValueError("two halves with one bit each cover three differing bits at most")
-    spark = nodes.sparkSession
-    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), nodes.count() * 31 // 500_000 + 1)
+    spark = fingerprints.sparkSession
+
+    def compare(table: pa.Table) -> pa.Table:
+        fps, keys = (_unsigned(table.column(c)) for c in ("fp", "key"))
+        a, b = links_within(keys, fps, distance)
+        # one star a component of this task's links
+        ids, inverse = np.unique(np.concatenate([fps[a], fps[b]]).view(np.int64), return_inverse=True)
+        label = local_components(len(ids), inverse[: len(a)], inverse[len(a) :])
+        far = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"src": ids[label[far]], "dst": ids[far]})
+
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def compared(rows: DataFrame, expected: int) -> DataFrame:
+        buckets = max(least, expected // bucket_rows + 1)
+        dealt = rows.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(buckets)))
+        return dealt.groupBy("bucket").applyInArrow(compare, "src long, dst long")
+
+    rows = fingerprints.select("fp").mapInArrow(_spread, "fp long, key long")
+    parts = []
+    for finer in (True, False):
+        counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+        crowded = stored(counts.filter(F.col("n") > hot).select(F.col("key").alias("_key"), "n"), "crowded")
+        same = F.col("key") == F.col("_key")
+        expected = counts.agg(F.sum("n")).first()[0] or 0
+        if crowded.isEmpty():
+            return _together([*parts, compared(rows, expected)])
+        parts.append(compared(rows.join(crowded, same, "left_anti"), expected))
+        rows = rows.join(crowded, same).select("fp", "key", "n")
+        if finer:
+            rows = rows.select("fp", "key").mapInArrow(_deal_again, "fp long, key long")
+    blocks = F.ceil(F.col("n") * 2 / hot).cast("long")
+    own = F.pmod(F.xxhash64("fp"), blocks)
+    meeting = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    paired = meeting.select("fp", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key"))
+    return _together([*parts, compared(paired, paired.count())])
+
+
+def _together(parts: list[DataFrame]) -> DataFrame:
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
 
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                part = batch.slice(k, 20_000)
-                fps = np.asarray(part.column(1)).astype(np.int64).view(np.uint64)
-                which, keys = keys_of(fps)
-                yield _rows(np.asarray(part.column(0))[which], fps[which], keys)
 
-    def deal_again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for k in range(0, batch.num_rows, 20_000):
-                part = batch.slice(k, 20_000)
-                fps, keys = (np.asarray(part.column(i)).astype(np.int64).view(np.uint64) for i in (1, 2))
-                which, finer = finer_keys(fps, keys)
-                yield _rows(np.asarray(part.column(0))[which], fps[which], finer)
-
-    def _rows(node: np.ndarray, fps: np.ndarray, keys: np.ndarray) -> pa.RecordBatch:
-        bucket = (keys * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % buckets
-        return pa.RecordBatch.from_arrays([pa.array(node), pa.array(fps.view(np.int64)), pa.array(keys.view(np.int64)), pa.array(bucket)], names=["node", "fp", "key", "bucket"])
-
-    def compare(most: int | None):
-        def run(table: pa.Table) -> pa.Table:
-            node = np.asarray(table.column("node"))
-            fps, keys = (np.asarray(table.column(c)).astype(np.int64).view(np.uint64) for c in ("fp", "key"))
-            a, b, over = links_within(keys, fps, distance, most)
-            # one star a component of this task's links
-            ids, inverse = np.unique(np.concatenate([node[a], node[b]]), return_inverse=True)
-            label = local_components(len(ids), inverse[: len(a)], inverse[len(a) :])
-            far = np.flatnonzero(label != np.arange(len(ids)))
-            none, some = np.zeros(len(far), np.int64), np.zeros(len(over), np.int64)
-            return pa.table({
-                "src": np.concatenate([ids[label[far]], node[over]]), "dst": np.concatenate([ids[far], node[over]]),
-                "fp": np.concatenate([none, fps[over].view(np.int64)]), "key": np.concatenate([none, keys[over].view(np.int64)]), "over": np.concatenate([none, some + 1]).astype(bool),
-            })
-
-        return run
-
-    kind = "node long, fp long, key long, bucket long"
-    out = "src long, dst long, fp long, key long, over boolean"
-    found = stored(nodes.select("node", "fp").mapInArrow(spread, kind).groupBy("bucket").applyInArrow(compare(hot), out), "pairs")
-    links = found.filter("not over").select("src", "dst")
-    crowded = found.filter("over")
-    if not crowded.isEmpty():
-        again = crowded.select(F.col("src").alias("node"), "fp", "key").mapInArrow(deal_again, kind)
-        links = links.unionByName(again.groupBy("bucket").applyInArrow(compare(None), out).select("src", "dst"))
-    return links
-
-
-def components(docs: DataFrame, text: str = "text") -> DataFrame:
-    """(doc_id, fp, component_id) of every document."""
-    marked = stored(with_fingerprints(docs, text), "fingerprints")
-    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("node")), "nodes")
-    found = connected_components(near_links(nodes.filter("node is not null")))
-    named = nodes.join(found.withColumnRenamed("node", "_n"), F.col("node") == F.col("_n"), "left").select(F.col("fp").alias("_fp"), F.coalesce("component", "node").alias("component_id"))
-    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", "fp", "component_id")
+def components(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep columns, fp, root, component_id) of every row; root: a fingerprint that names the group."""
+    marked = stored(with_fingerprints(docs, text, keep), "fingerprints")
+    nodes = stored(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
+    found = connected_components(near_links(nodes)).select(F.col("node").alias("_n"), "component")
+    rooted = nodes.join(found, F.col("fp") == F.col("_n"), "left").select("fp", "least", F.coalesce("component", "fp").alias("root"))
+    names = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, F.col("root") == F.col("_r")).select(F.col("fp").alias("_fp"), "root", "component_id")
+    return marked.join(named, F.col("fp") == F.col("_fp")).select("doc_id", *keep, "fp", "root", "component_id")
