@@ -5,11 +5,14 @@ from __future__ import annotations
 import tempfile
 import uuid
 from collections.abc import Iterator
+from dataclasses import dataclass
+from math import ceil
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, functions as F, types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: A run of bytes that are no ASCII white space; bytes.split() cuts at the same bytes.
 WORD = "[^\\x20\\x09-\\x0D]+"
@@ -83,7 +86,7 @@ def byte_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: tu
     """
     out = [np.zeros(len(begins), np.int64) for _ in which]
     k = 0
-    while k < len(begins):
+    while k < len(begins):  # an empty run may begin where the bytes end
         first = int(begins[k])
         stop = max(k + 1, int(np.searchsorted(ends, first + BLOCK, side="right")))
         part = raw[first : int(ends[stop - 1])].astype(np.int64) + 1
@@ -91,7 +94,7 @@ def byte_hashes(raw: np.ndarray, begins: np.ndarray, ends: np.ndarray, which: tu
         for into, prime_at in zip(out, which, strict=True):
             prime = (*PRIMES, DEALING)[prime_at][0]
             total = np.concatenate([[0], np.cumsum(part * powers(prime_at, len(part)))])
-            into[k:stop] = (total[b] - total[a]) % prime * powers(prime_at, len(part), inverse=True)[a] % prime
+            into[k:stop] = (total[b] - total[a]) % prime * powers(prime_at, len(part) + 1, inverse=True)[a] % prime
         k = stop
     return out
 
@@ -140,16 +143,146 @@ def window_hashes(documents: list[list[bytes]], size: int, block: int = BLOCK, d
     return hashes, counts, np.concatenate(deal) if deal else np.zeros(0, np.uint32)
 
 
-def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
-    """Which of so many buckets each 64-bit key belongs to."""
-    return ((keys * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(33)).astype(np.int64) % buckets
-
-
 def with_chunks(docs: DataFrame, text: str = "text", chunk_bytes: int = 2_500_000) -> tuple[DataFrame, int, int]:
-    """The rows with a column chunk, dealt by hash into chunks of about `chunk_bytes` of text; chunks; bytes in all."""
+    """The rows with a column chunk, dealt by hash into chunks of about `chunk_bytes` of text; chunks; bytes in all.
+
+    The hash takes in the number of the partition a row comes from, so a row that is repeated all over the input is
+    dealt over many chunks, and a partition that is read again deals its rows as before.
+    """
     total = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
     chunks = max(1, round(total / chunk_bytes))
-    return docs.withColumn("chunk", F.pmod(F.xxhash64(*[c for c, kind in docs.dtypes if not kind.startswith("map")]), F.lit(chunks))), chunks, total
+    return docs.withColumn("chunk", F.pmod(F.xxhash64(F.spark_partition_id(), *[c for c, kind in docs.dtypes if not kind.startswith("map")]), F.lit(chunks))), chunks, total
+
+
+@dataclass(frozen=True)
+class Deal:
+    """How 64-bit keys of many chunks meet: in `slots` * `finer` buckets, by their 31-bit dealing numbers.
+
+    With one level a chunk sends a blob to each bucket. With two it sends one to each slot of its group of chunks, and
+    there the group's distinct keys go on to the slot's buckets. A group has as many chunks as a slot has buckets, so
+    at either level rows are `most` a chunk at most, and they grow with the input.
+    """
+
+    slots: int
+    finer: int = 1
+    group: int = 1
+
+    @classmethod
+    def of(cls, keys: int, least: int, bucket_keys: int = 2_000_000, most: int = 1024) -> Deal:
+        """Buckets of about `bucket_keys` keys, `least` at least."""
+        buckets = max(least, keys // bucket_keys + 1)
+        if buckets <= max(most, least):
+            return cls(buckets)
+        return cls(most, ceil(buckets / most), ceil(buckets / most))
+
+    def order(self, dealt: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """For keys in ascending order: positions by bucket, where each slot begins, and the bucket in the slot."""
+        bucket = dealt.astype(np.uint64) * np.uint64(self.slots * self.finer) >> np.uint64(31)
+        order = np.argsort(bucket, kind="stable")
+        ranked = bucket[order].astype(np.int64)
+        return order, np.searchsorted(ranked, np.arange(self.slots + 1) * self.finer), (ranked % self.finer).astype(np.uint16)
+
+    def blobs(self, chunk: int, keys: np.ndarray, dealt: np.ndarray, numbers: np.ndarray | None = None) -> pa.Table:
+        """What a chunk sends: a row for each slot that any of its ascending keys belongs to."""
+        order, cut, finer = self.order(dealt)
+        full = np.flatnonzero(np.diff(cut))
+        part = lambda x: pa.array([x[cut[k] : cut[k + 1]].tobytes() for k in full.tolist()], pa.binary())
+        none = pa.nulls(len(full), pa.binary())
+        return pa.table({
+            "node": pa.array(full + (chunk // self.group * self.slots if self.finer > 1 else 0), pa.int64()), "part": pa.array([chunk] * len(full), pa.int64()),
+            "keys": part(keys[order]), "finer": part(finer) if self.finer > 1 else none, "numbers": none if numbers is None else part(numbers[order].astype(np.uint32)),
+        })
+
+
+SENT = "node long, part long, keys binary, finer binary, numbers binary"
+ANSWERS = "part long, node long, answer binary"
+
+
+def _joined(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Keys, buckets in the slot, numbers (1 where none are sent), and where each row of a node begins."""
+    keys = np.concatenate([np.frombuffer(x, np.uint64) for x in table.column("keys").to_pylist()])
+    finer = np.concatenate([np.zeros(0, np.uint16), *[np.frombuffer(x, np.uint16) for x in table.column("finer").to_pylist() if x is not None]])
+    numbers = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(x, np.uint32).astype(np.int64) for x in table.column("numbers").to_pylist() if x is not None]])
+    at = np.cumsum([0, *[len(x) // 8 for x in table.column("keys").to_pylist()]])
+    return keys, finer if len(finer) else np.zeros(len(keys), np.uint16), numbers if len(numbers) else np.ones(len(keys), np.int64), at
+
+
+def _distinct(keys: np.ndarray, finer: np.ndarray, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Distinct (bucket, key) in order, their sums, and the place of each entry among them."""
+    order = np.lexsort((keys, finer)) if finer.any() else np.argsort(keys, kind="stable")
+    ranked, near = keys[order], finer[order]
+    new = np.ones(len(keys), bool)
+    new[1:] = (ranked[1:] != ranked[:-1]) | (near[1:] != near[:-1])
+    first = np.flatnonzero(new)
+    inverse = np.empty(len(keys), np.int64)
+    inverse[order] = np.cumsum(new) - 1
+    return ranked[first], near[first], np.add.reduceat(numbers[order], first) if len(first) else numbers, inverse
+
+
+def met(sent: DataFrame, deal: Deal, answer, extra=None, kind: str = "") -> DataFrame:
+    """Adds the numbers of equal keys over all chunks, and answers every blob that was sent.
+
+    answer(sums) gives the bytes for one blob, or None for no answer. extra(keys, sums) gives one row of further columns
+    (of the kind given) for each bucket. Rows: part (chunk), node, answer, and the further columns, which are null in
+    answers.
+    """
+    names = [x.split()[0] for x in kind.split(", ")] if kind else []
+    schema = ANSWERS + (f", {kind}" if kind else "")
+    more = [f.dataType for f in T._parse_datatype_string(kind).fields] if kind else []
+    arrow = [to_arrow_type(x) for x in more]
+
+    def replying(tell):
+        def reply(key: tuple, table: pa.Table) -> pa.Table:
+            keys, finer, numbers, at = _joined(table)
+            distinct, _, sums, inverse = _distinct(keys, finer, numbers)
+            blobs = [tell(sums[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+            told = [k for k, x in enumerate(blobs) if x is not None]
+            parts = table.column("part").to_pylist()
+            row = [extra(distinct, sums)] if extra else []
+            columns = {
+                "part": pa.array([parts[k] for k in told] + [None] * len(row), pa.int64()), "node": pa.array([key[0].as_py()] * (len(told) + len(row)), pa.int64()),
+                "answer": pa.array([blobs[k] for k in told] + [None] * len(row), pa.binary()),
+            }
+            return pa.table(columns | {name: pa.array([None] * len(told) + [r[name] for r in row], t) for name, t in zip(names, arrow, strict=True)})
+
+        return reply
+
+    if deal.finer == 1:
+        return sent.groupBy("node").applyInArrow(replying(answer), schema)
+
+    def send_on(key: tuple, table: pa.Table) -> pa.Table:
+        keys, finer, numbers, _ = _joined(table)
+        distinct, near, sums, _ = _distinct(keys, finer, numbers)
+        cut = np.searchsorted(near, np.arange(deal.finer + 1))
+        full = np.flatnonzero(np.diff(cut)).tolist()
+        node = key[0].as_py()
+        none = pa.nulls(len(full), pa.binary())
+        return pa.table({
+            "node": pa.array([node % deal.slots * deal.finer + k for k in full], pa.int64()), "part": pa.array([node] * len(full), pa.int64()),
+            "keys": pa.array([distinct[cut[k] : cut[k + 1]].tobytes() for k in full], pa.binary()), "finer": none,
+            "numbers": pa.array([np.minimum(sums[cut[k] : cut[k + 1]], 2**32 - 1).astype(np.uint32).tobytes() for k in full], pa.binary()),
+        })
+
+    def hand_back(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
+        keys, finer, numbers, at = _joined(left) if left.num_rows else (np.zeros(0, np.uint64), np.zeros(0, np.uint16), np.zeros(0, np.int64), np.zeros(1, np.int64))
+        _, near, sums, inverse = _distinct(keys, finer, numbers)
+        cut = np.searchsorted(near, np.arange(deal.finer + 1))
+        for node, blob in zip(right.column("node").to_pylist(), right.column("answer").to_pylist(), strict=True):
+            own = slice(cut[node % deal.finer], cut[node % deal.finer + 1])
+            sums[own] = np.frombuffer(blob, np.int64)
+        blobs = [answer(sums[inverse[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        told = [k for k, x in enumerate(blobs) if x is not None]
+        parts = left.column("part").to_pylist()
+        return pa.table({"part": pa.array([parts[k] for k in told], pa.int64()), "node": pa.array([key[0].as_py() % deal.slots] * len(told), pa.int64()), "answer": pa.array([blobs[k] for k in told], pa.binary())})
+
+    sent = stored(sent, "sent")
+    # between the levels, sums are told in full
+    found = stored(sent.groupBy("node").applyInArrow(send_on, SENT).groupBy("node").applyInArrow(replying(np.ndarray.tobytes), schema), "sums")
+    up = found.filter("answer is not null").select(F.col("part").alias("_node"), "node", "answer")
+    out = sent.groupBy("node").cogroup(up.groupBy("_node")).applyInArrow(hand_back, ANSWERS)
+    if not kind:
+        return out
+    return out.select("*", *[F.lit(None).cast(t).alias(n) for n, t in zip(names, more, strict=True)]).unionByName(found.filter("answer is null"))
 
 
 def local_components(n: int, left: np.ndarray, right: np.ndarray) -> np.ndarray:

@@ -1,15 +1,19 @@
 """Substring dedup by Rabin-Karp hashes of every fixed-length window of words.
 
-Documents are dealt by hash into chunks. A chunk sends each bucket of the hash space its distinct window hashes, once
+Documents are dealt by hash into chunks. A chunk sends its distinct window hashes to the buckets of the hash space, once
 each, so a passage that is everywhere costs one entry a chunk. A bucket counts the chunks that sent a hash and answers
 each with one bit an entry. The chunk, which knows what repeats within itself, then covers the words of repeated
-windows and merges them into maximal intervals. Hashes have 62 bits, and are dealt into buckets by a third prime, whose
-bits come on top: windows are compared by 62 bits and the logarithm of the buckets, which grow with the input. Of a
-hundred million windows in 200 buckets two differ and count as one with a probability below 1e-5; at 100 TB, in
-eight million buckets, a handful of the 1e13 windows do.
+windows and merges them into maximal intervals. Beyond some thousand buckets hashes travel in two levels, by groups of
+chunks, so that what a chunk sends never falls apart into a row a hash. Hashes have 62 bits, and are dealt into buckets
+by a third prime, whose bits come on top: windows are compared by 62 bits and the logarithm of the buckets, which grow
+with the input. Of a hundred million windows in 200 buckets two differ and count as one with a probability below 1e-5;
+at 100 TB, in eight million buckets, a handful of the 1e13 windows do.
 
 Null or empty text: no words, nothing removed, the empty text kept. Repeated rows: each is a document, so all their
-windows repeat. Texts shorter than a window keep all words. An empty table gives no rows.
+windows repeat; rows that tie in all columns are dealt over chunks by the partition they come from. Texts shorter than
+a window keep all words. A text of any length is read whole, in one chunk, and hashed in runs of bounded size. Columns
+besides the text and `keep` are ignored, and those of `keep` pass unchanged under any name but n_words, spans and kept.
+An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -20,19 +24,22 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerlake.llm.shared import window_hashes, with_chunks
+from ledgerlake.llm.shared import SENT, Deal, met, window_hashes, with_chunks
 
 SIZE = 35
 
 
-def _hashed(table: pa.Table, size: int, buckets: int) -> tuple:
+def _hashed(table: pa.Table, size: int) -> tuple:
     words = [(x or "").encode().split() for x in table.column("_text").to_pylist()]
     hashes, counts, dealt = window_hashes(words, size, dealt=True)
     distinct, first, inverse, times = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
-    bucket = dealt[first].astype(np.int64) % buckets
-    order = np.argsort(bucket, kind="stable")
-    cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-    return words, counts, distinct, inverse, times, order, cut
+    return words, counts, distinct, dealt[first], inverse, times
+
+
+def _shared(sums: np.ndarray) -> bytes | None:
+    """One bit an entry: whether any other chunk sent it."""
+    more = sums > 1
+    return np.packbits(more).tobytes() if more.any() else None
 
 
 def covered(repeated: np.ndarray, n_words: int, size: int) -> np.ndarray:
@@ -44,43 +51,26 @@ def covered(repeated: np.ndarray, n_words: int, size: int) -> np.ndarray:
     return np.cumsum(edge[:-1]) > 0
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, bucket_bytes: int = 16_000_000) -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ("doc_id",), size: int = SIZE, deal: Deal | None = None) -> DataFrame:
     """(keep columns, n_words, spans, kept): intervals of words removed, stop excluded, and the words left, joined by a space."""
     rows, _, total = with_chunks(docs.select(*[F.col(c).alias(f"_k_{c}") for c in keep], F.col(text).cast("string").alias("_text")), "_text")
-    buckets = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), total * 8 // 6 // bucket_bytes + 1)
+    # about a window every six bytes
+    dealing = deal or Deal.of(total // 6, int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
 
     def send(key: tuple, table: pa.Table) -> pa.Table:
-        _, _, distinct, _, _, order, cut = _hashed(table, size, buckets)
-        full = [b for b in range(buckets) if cut[b + 1] > cut[b]]
-        blobs = [distinct[order[cut[b] : cut[b + 1]]].tobytes() for b in full]
-        return pa.table({"bucket": pa.array(full, pa.int64()), "chunk": pa.array([key[0].as_py()] * len(full), pa.int64()), "hashes": pa.array(blobs, pa.binary())})
-
-    def count(key: tuple, table: pa.Table) -> pa.Table:
-        blobs = [np.frombuffer(x, np.uint64) for x in table.column("hashes").to_pylist()]
-        everything = np.concatenate(blobs)
-        order = np.argsort(everything, kind="stable")
-        ranked = everything[order]
-        same = np.zeros(len(ranked) + 1, bool)
-        same[1:-1] = ranked[1:] == ranked[:-1]
-        shared = np.empty(len(ranked), bool)
-        shared[order] = same[1:] | same[:-1]
-        at = np.cumsum([0, *map(len, blobs)])
-        chunks, out = [], []
-        for chunk, a, b in zip(table.column("chunk").to_pylist(), at[:-1], at[1:], strict=True):
-            if shared[a:b].any():
-                chunks.append(chunk)
-                out.append(np.packbits(shared[a:b]).tobytes())
-        return pa.table({"chunk": pa.array(chunks, pa.int64()), "bucket": pa.array([key[0].as_py()] * len(out), pa.int64()), "marks": pa.array(out, pa.binary())})
+        _, _, distinct, dealt, _, _ = _hashed(table, size)
+        return dealing.blobs(key[0].as_py(), distinct, dealt)
 
     kinds = [T.StructField(c, docs.schema[c].dataType) for c in keep]
     span = T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("stop", T.LongType())]))
     schema = T.StructType([*kinds, T.StructField("n_words", T.LongType()), T.StructField("spans", span), T.StructField("kept", T.StringType())])
 
     def remove(key: tuple, left: pa.Table, right: pa.Table) -> pa.Table:
-        words, counts, _, inverse, times, order, cut = _hashed(left, size, buckets)
+        words, counts, _, dealt, inverse, times = _hashed(left, size)
+        order, cut, _ = dealing.order(dealt)
         repeated = times > 1
-        for bucket, marks in zip(right.column("bucket").to_pylist(), right.column("marks").to_pylist(), strict=True):
-            own = order[cut[bucket] : cut[bucket + 1]]
+        for slot, marks in zip(right.column("node").to_pylist(), right.column("answer").to_pylist(), strict=True):
+            own = order[cut[slot] : cut[slot + 1]]
             repeated[own] |= np.unpackbits(np.frombuffer(marks, np.uint8), count=len(own)).astype(bool)
         flags = repeated[inverse]
         at = np.concatenate([[0], np.cumsum(counts)])
@@ -99,9 +89,9 @@ def remove_repeats(docs: DataFrame, text: str = "text", keep: tuple[str, ...] =
         span_kind = pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())]))
         return pa.Table.from_arrays([*columns, pa.array(map(len, words), pa.int64()), pa.array(spans, span_kind), pa.array(kept, pa.string())], names=[f.name for f in schema.fields])
 
-    sent = rows.groupBy("chunk").applyInArrow(send, "bucket long, chunk long, hashes binary")
-    marks = sent.groupBy("bucket").applyInArrow(count, "chunk long, bucket long, marks binary")
-    return rows.groupBy("chunk").cogroup(marks.groupBy("chunk")).applyInArrow(remove, schema)
+    sent = rows.groupBy("chunk").applyInArrow(send, SENT)
+    marks = met(sent, dealing, _shared)
+    return rows.groupBy("chunk").cogroup(marks.groupBy("part")).applyInArrow(remove, schema)
 
 
 def removed_words(spans: str = "spans"):

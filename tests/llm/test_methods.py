@@ -13,9 +13,10 @@ from ledgerlake.llm import queries as Q
 from ledgerlake.llm.chat import digests, escape, formatted, spans, unescape
 from ledgerlake.llm.classifier import classify
 from ledgerlake.llm.embeddings import near_duplicates
+from ledgerlake.llm import maxent
 from ledgerlake.llm.maxent import score
 from ledgerlake.llm.rules import judge as judge_rules
-from ledgerlake.llm.shared import connected_components, local_components, window_hashes
+from ledgerlake.llm.shared import Deal, connected_components, local_components, window_hashes
 from ledgerlake.llm.simhash import anchors, components, fingerprints_of, links_within, near_links
 from ledgerlake.llm.substring import remove_repeats
 from ledgerlake.llm.urls import judge as judge_urls
@@ -79,6 +80,30 @@ def test_substring_odd_rows(spark):
     assert remove_repeats(df.filter("false")).count() == 0
 
 
+def test_substring_in_two_levels(spark, sf):
+    """Any way to deal the hashes gives the same rows."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").repartition(3)
+    want = {r.doc_id: r.kept for r in remove_repeats(docs).collect()}
+    for deal in (Deal(5), Deal(3, 4, 1), Deal(4, 3, 2)):
+        assert {r.doc_id: r.kept for r in remove_repeats(docs, deal=deal).collect()} == want
+
+
+def test_rows_sent_grow_with_the_input():
+    """Rows between chunks and buckets, at both levels, for 1, 4, and 16 times an input of two levels."""
+    rng = np.random.default_rng(6)
+    per_chunk = 400_000
+    keys, dealt = np.sort(rng.integers(0, 1 << 62, per_chunk, dtype=np.uint64)), rng.integers(0, (1 << 31) - 61, per_chunk)
+
+    def sent(chunks):
+        deal = Deal.of(chunks * per_chunk, 200)
+        assert deal.finer > 1
+        per_node = min(deal.finer, deal.group * per_chunk // deal.slots)
+        return chunks * deal.blobs(0, keys, dealt).num_rows + chunks / deal.group * deal.slots * per_node
+
+    one, four, sixteen = (sent(x) for x in (1_000_000, 4_000_000, 16_000_000))
+    assert four <= 4.4 * one and sixteen <= 4.4 * four
+
+
 def test_components_equal_union_find(spark):
     rng = np.random.default_rng(2)
     links = [(int(a), int(b)) for a, b in rng.integers(0, 400, (260, 2))] + [(k, k + 1) for k in range(1000, 1060)]
@@ -156,19 +181,20 @@ def test_simhash_odd_rows(spark):
     assert components(odd_docs(spark).filter("false")).count() == 0
 
 
-@pytest.mark.parametrize("hot", [30_000, 40])
+@pytest.mark.parametrize("hot", [30_000, 40, 4])
 def test_simhash_links_lose_none(spark, hot):
     rng = np.random.default_rng(5)
     centres = rng.integers(0, 1 << 63, 20, dtype=np.uint64)
     flips = [sum({1 << int(b) for b in rng.integers(0, 64, rng.integers(0, 4))}) for _ in range(1200)]
     fps = np.unique(np.array([int(centres[k % 20]) ^ flip for k, flip in enumerate(flips)], np.uint64))
-    nodes = spark.createDataFrame([(k, int(f)) for k, f in enumerate(fps.view(np.int64).tolist())], "node long, fp long")
+    signed = fps.view(np.int64).tolist()
+    nodes = spark.createDataFrame([(int(f),) for f in signed], "fp long")
     got = {r.node: r.component for r in connected_components(near_links(nodes, hot=hot)).collect()}
     i, j = np.nonzero(np.bitwise_count(fps[:, None] ^ fps[None, :]) <= 3)
     label = local_components(len(fps), i, j)
-    assert [got.get(k, k) for k in range(len(fps))] == label.tolist()
-    a, b, over = links_within(np.zeros(len(fps), np.uint64), fps, 3, None)
-    assert (local_components(len(fps), a, b) == label).all() and not len(over)
+    assert [got.get(f, f) for f in signed] == [min(signed[j] for j in np.flatnonzero(label == k)) for k in label]
+    a, b = links_within(np.zeros(len(fps), np.uint64), fps, 3)
+    assert (local_components(len(fps), a, b) == label).all()
 
 
 def brute_rules(text):
@@ -293,6 +319,89 @@ def test_lm_scoring(spark):
     assert sum(r.score for r in held) > sum(r.base_score for r in held) and all(r.score < 0 for r in rows)
 
 
+def brute_lm(tokens, paths, weights, counts):
+    """log10 of the model's probability of one text, a token at a time in plain Python, from the fitted parameters."""
+    m64 = (1 << 64) - 1
+    mix, stir = int(maxent.MIX), int(maxent.STIR)
+    keys = [int(maxent.END_KEY) if t is None else int(maxent.keys_of(np.frombuffer(t, np.uint8), np.array([0]), np.array([len(t)]))[0]) for t in tokens]
+    ranks = {int(k): int(r) for k, r in zip(paths.keys, paths.ranks)}
+    half, nodes = maxent.half(paths.levels), maxent.n_nodes(paths.levels)
+    hashed = [(k ^ k >> 29) * stir & m64 for k in keys]
+    shift = 64 - (len(weights) - nodes).bit_length() + 1
+    total = 0.0
+    for i, (key, token) in enumerate(zip(keys, tokens)):
+        leaf = ranks.get(key)
+        if leaf is None:
+            leaf = half + ((key & 15) << (4 * paths.levels - 5) | (key >> 4) * stir % (1 << 64) >> 64 - (4 * paths.levels - 5))
+            total += log10((counts[token] + 0.1) / (paths.tokens[leaf - half] + 0.1 * (paths.types[leaf - half] + 1)))
+        before = [hashed[i - k] if i >= k else 1 for k in (1, 2, 3)]
+        contexts = [(x + k + 1) * mix & m64 for k, x in enumerate(before)] + [before[0] * mix + before[1] * stir & m64]
+        for level in range(paths.levels):
+            node = (16**level - 1) // 15 + (leaf >> 4 * (paths.levels - level))
+            salt = (node + 1) * mix & m64
+            z = weights[node].astype(float) + sum(weights[nodes + ((c ^ salt) * stir % (1 << 64) >> shift)].astype(float) for c in contexts)
+            total += (z[leaf >> 4 * (paths.levels - level - 1) & 15] - np.log(np.exp(z).sum())) / np.log(10)
+    return total
+
+
+@pytest.mark.parametrize("chunk_bytes", [1_500_000, 40_000])
+def test_lm_score_equals_brute_force(spark, sf, chunk_bytes):
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    tokens = {r.doc_id: [*(r.text or "").encode().lower().split(), None] for r in docs.collect()}
+    c = Counter(x for k, t in tokens.items() if zlib.crc32(str(k).encode()) % 10 for x in t)
+    _, _, _, paths, weights = maxent.fitted(docs, chunk_bytes=chunk_bytes)
+    assert weights.any() and paths.total == sum(c.values()) and paths.n_types == len(c)
+    probabilities = maxent.exponentials(weights, np.random.default_rng(0).integers(0, len(weights), (5, 100)))
+    assert np.allclose(probabilities[0].sum(1), probabilities[1], rtol=1e-5)
+    for deal in (None, Deal(3, 4, 1 << 20)):
+        rows = score(docs, chunk_bytes=chunk_bytes, deal=deal).collect()
+        assert {r.doc_id: (r.n_tokens, r.n_known) for r in rows} == {k: (len(t), sum(c[x] > 0 for x in t)) for k, t in tokens.items()}
+    by_id = {r.doc_id: r for r in score(docs, chunk_bytes=chunk_bytes).collect()}
+    # the weights depend on the order of tasks' sums in their last bits alone
+    for k in sorted(tokens)[:40]:
+        assert abs(by_id[k].score - brute_lm(tokens[k], paths, weights, c)) < 1e-3 * len(tokens[k])
+
+
+def test_lm_paths_share_all_probability():
+    """Over all words of a vocabulary and one unseen, a context's probabilities sum to one."""
+    rng = np.random.default_rng(8)
+    keys = np.unique(rng.integers(1, 1 << 62, 3000, dtype=np.uint64))
+    counts = rng.integers(1, 50, len(keys))
+    levels = 2
+    top = np.argsort(-counts, kind="stable")[: maxent.half(levels)]
+    leaves = maxent.leaf_of(keys, levels) - maxent.half(levels)
+    paths = maxent.Paths(levels, keys[top], counts[top], np.bincount(leaves, counts, maxent.half(levels)), np.bincount(leaves, minlength=maxent.half(levels)), int(counts.sum()), len(keys))
+    weights = rng.normal(size=(maxent.n_rows(levels), maxent.WIDTH)).astype(np.float32)
+    own = paths.leaves(keys)
+    rows, digits = maxent.examples_of(keys, own, np.arange(len(keys)), np.ones(len(keys), np.int64), levels)
+    e, total = maxent.exponentials(weights, rows)
+    logs = np.log10(e[np.arange(len(digits)), digits] / total).reshape(levels, -1).sum(0) + paths.inside(keys, own, counts)
+    # every last class keeps 0.1 of a word for one that was never seen; classes without any word are all for such words
+    classes = np.arange(2 * maxent.half(levels))
+    path_keys = np.zeros(len(classes), np.uint64)
+    rows, digits = maxent.examples_of(path_keys, classes, np.arange(len(classes)), np.ones(len(classes), np.int64), levels)
+    e, total = maxent.exponentials(weights, rows)
+    of_class = (e[np.arange(len(digits)), digits] / total).reshape(levels, -1).prod(0)
+    unseen = of_class[maxent.half(levels) :] * 0.1 / (paths.tokens + 0.1 * (paths.types + 1))
+    assert abs((10**logs).sum() + unseen.sum() - 1) < 1e-4
+
+
+def test_lm_pieces_of_long_texts(spark):
+    rng = np.random.default_rng(9)
+    words = [f"w{k}" for k in rng.zipf(1.5, 30_000) % 500]
+    rows = [(1, " ".join(words)), (2, " ".join(words[:50])), (None, " ".join(words)), (13, "x" * 200_000)]
+    got = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string"), chunk_bytes=20_000).collect()}
+    assert got[1].n_tokens == got[None].n_tokens == 30_001 and got[2].n_tokens == 51 and got[13].n_tokens == 2
+    whole = {r.doc_id: r for r in score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k in got:
+        assert got[k].n_known == whole[k].n_known and abs(got[k].base_score - whole[k].base_score) < 1e-6 * abs(whole[k].base_score)
+    text = b"aa bb ccc  dd\nee ff " * 30
+    for most in (1, 5, 64, 10_000):
+        parts = list(maxent.pieces_of(text, most))
+        assert [w for x, skip in parts for w in x.split()[skip:]] == text.split()
+        assert all(x.split()[:skip] == [w for y, n in parts[:k] for w in y.split()[n:]][-skip:] for k, (x, skip) in enumerate(parts) if skip)
+
+
 def test_lm_odd_rows(spark):
     rows = score(odd_docs(spark)).collect()
     assert len(rows) == len(ODD) + 1 and all(np.isfinite(r.score) and np.isfinite(r.base_score) for r in rows)
