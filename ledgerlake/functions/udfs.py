@@ -5,7 +5,9 @@ from __future__ import annotations
 import hashlib
 import re
 import unicodedata
+from bisect import bisect_left, bisect_right
 from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import functions as F, types as T
@@ -30,29 +32,32 @@ _ITEM = re.compile(NEXT_ITEM, re.IGNORECASE)
 _PATTERNS = {key: re.compile(pattern, re.IGNORECASE) for key, (_, pattern) in SECTIONS.items()}
 
 
-class _Text(HTMLParser):
-    def __init__(self, hide: bool):
+class _Events(HTMLParser):
+    """Text nodes as they stand, and 1 or -1 where a hidden element begins or ends."""
+
+    def __init__(self, html: str):
         super().__init__()
-        self.hide, self.depth, self.found = hide, 0, []
+        self.events: list[str | int] = []
+        self.handle_data = self.events.append
+        self.feed(html)
 
     def handle_starttag(self, tag, attrs):
-        self.depth += self.hide and tag in HIDDEN
+        self.events += [1] * (tag in HIDDEN)
 
     def handle_endtag(self, tag):
-        self.depth = max(0, self.depth - (self.hide and tag in HIDDEN))
-
-    def handle_data(self, data):
-        if not self.depth and (own := data.strip()):
-            self.found.append(own)
+        self.events += [-1] * (tag in HIDDEN)
 
 
 def text_of_html(html: str | None, hide: bool = True) -> str | None:
     """Stripped text nodes, one a line, without those of scripts and styles if `hide`."""
     if html is None:
         return None
-    parser = _Text(hide)
-    parser.feed(html)
-    return "\n".join(parser.found)
+    events = _Events(html).events
+    steps = [e if hide and isinstance(e, int) else 0 for e in events]
+    # how many hidden elements are open: an end without a beginning closes none
+    depths = accumulate(steps, lambda depth, step: max(0, depth + step))
+    texts = (e.strip() for e, depth in zip(events, depths, strict=True) if isinstance(e, str) and not depth)
+    return "\n".join(filter(None, texts))
 
 
 @F.pandas_udf(T.StringType())
@@ -89,32 +94,29 @@ def decode_document(content: pd.Series, content_type: pd.Series) -> pd.Series:
 def sections_of(text: str) -> list[dict]:
     """Each section's first place with a body of 500 characters before the next item, else its last place.
 
-    Sections end where the next one or the next item begins.
+    Sections end where the next one or the next item begins: at the next mark of both, merged in order.
     """
-    places = {}
+    items = [m.start() for m in _ITEM.finditer(text)] + [len(text)]
+    places: dict[int, str] = {}
     for key, pattern in _PATTERNS.items():
-        starts = [m.span() for m in pattern.finditer(text)]
-        if starts:
-            body = lambda span: ((m := _ITEM.search(text, span[1])) and m.start() or len(text)) - span[0]
-            places[key] = next((s[0] for s in starts if body(s) >= LEAST_BODY), starts[-1][0])
-    ranked = sorted(places, key=places.get)
+        spans = [m.span() for m in pattern.finditer(text)]
+        full = (a for a, b in spans if items[bisect_left(items, b)] - a >= LEAST_BODY)
+        places |= {a: key for a in [next(full, spans[-1][0])]} if spans else {}
+    marks = sorted({*items, *places})
     out = []
-    for k, key in enumerate(ranked):
-        start = places[key]
-        stop = places[ranked[k + 1]] if k + 1 < len(ranked) else len(text)
-        item = _ITEM.search(text, start + 1, stop)
-        stop = item.start() if item else stop
-        if own := text[start:stop].strip():
-            out.append({"section_key": key, "title": SECTIONS[key][0], "start": start, "stop": stop, "text_hash": hashlib.sha256(own.encode()).hexdigest()})
+    for start in sorted(places):
+        stop = marks[bisect_right(marks, start)] if start < len(text) else start
+        own = text[start:stop].strip()
+        out.append({"section_key": places[start], "title": SECTIONS[places[start]][0], "start": start, "stop": stop, "text_hash": hashlib.sha256(own.encode()).hexdigest()})
     return out
 
 
 _SECTION = T.ArrayType(T.StructType([T.StructField("section_key", T.StringType()), T.StructField("title", T.StringType()), T.StructField("start", T.LongType()), T.StructField("stop", T.LongType()), T.StructField("text_hash", T.StringType())]))
 
 
-@F.udf(_SECTION, useArrow=True)
-def detect_sections(text):
-    return None if text is None else sections_of(re.sub(r"[ \t\r\f\v]+", " ", text))
+@F.pandas_udf(_SECTION)
+def detect_sections(text: pd.Series) -> pd.Series:
+    return text.map(lambda x: None if x is None else sections_of(re.sub(r"[ \t\r\f\v]+", " ", x)))
 
 
 def folded(label: str | None) -> str | None:

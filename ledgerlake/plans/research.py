@@ -8,6 +8,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field, replace
+from datetime import date
 from graphlib import CycleError, TopologicalSorter
 
 from ledgerlake.plans.requests import Budget, RetrievalFilters
@@ -51,12 +52,22 @@ class Branch:
 class Plan:
     branches: tuple[Branch, ...]
     route: str = ""
+    reasons: tuple[str, ...] = ()
 
     def order(self) -> list[str]:
         """The branches in an order in which each follows what it reads."""
         return list(TopologicalSorter({b.branch_id: b.depends_on for b in self.branches}).static_order())
 
 
+def operation_of(branch: Branch) -> str:
+    """A calculation's operation without the ending that some plans give growth."""
+    return branch.options.get("operation", "").removesuffix("_growth")
+
+
+def year_earlier(day: date) -> date:
+    return day.replace(year=day.year - 1, day=28) if (day.month, day.day) == (2, 29) else day.replace(year=day.year - 1)
+
+
 def route_of(plan: Plan) -> str:
     """What a plan's branches amount to."""
     kinds = {b.kind for b in plan.branches}
