@@ -10,7 +10,8 @@ A turn is `<|im_start|>role\ntext<|im_end|>\n`. Inside texts and roles one backs
 in roles backslashes and line ends are escaped, so control strings can't be forged and reading back is exact.
 
 Null text or role: empty. Rows with equal turn numbers are ordered by role and text; null turn numbers come first. A
-null conv_id is a conversation. An empty table gives no rows.
+null conv_id is a conversation. A text of any length is one turn, whole, in a window of its own if it exceeds the
+budget. Columns besides conv_id, turn, role and text are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -24,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ledgerlake.llm.bpe import loaded
+from ledgerlake.llm.shared import SLICE_BYTES
 
 START, END = "<|im_start|>", "<|im_end|>"
 TURN = re.compile(r"<\|im_start\|>(.*?)\n(.*?)<\|im_end\|>\n", re.DOTALL)
@@ -88,21 +90,14 @@ def formatted(rows: DataFrame, tokenizer: str, budget: int = 2048, history: int
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(tokenizer)
-        held: list[tuple] = []
-        key = None
+        names = ["conv_id", "segment", "first", "text", "turns", "loss", "tokens"]
+        kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.int64()]
 
-        def windows(group: list[tuple]) -> list[tuple]:
-            # the turn after the last own one belongs to the next segment alone
-            if not any(r[6] for r in group):
-                return []
+        def windows(group: list[tuple], shown: list[tuple], head: str, counts: np.ndarray) -> list[tuple]:
             start = next(k for k, r in enumerate(group) if r[6])
-            system = group[start][5] if group[start][5] and group[start][5]["role"] == "system" else None
-            shown = [render(r[3], r[4]) for r in group]
-            head = render(system["role"], system["text"])[0] if system else ""
-            _, counts = bpe.encode_batch([head, *[s[0] for s in shown]])
             fixed, tokens = int(counts[0]), counts[1:].tolist()
             out = []
-            skip = 1 if system and group[0][2] == 0 else 0  # the system turn itself stands in the head
+            skip = 1 if head and group[0][2] == 0 else 0  # the system turn itself stands in the head
             for begin, first, stop in spans(tokens[skip:], fixed, budget, history, max(0, start - skip)):
                 begin, first, stop = begin + skip, first + skip, stop + skip
                 parts, turns, loss = [head] if head else [], [0] if head else [], []
@@ -120,26 +115,36 @@ def formatted(rows: DataFrame, tokenizer: str, budget: int = 2048, history: int
                 out.append((group[0][0], group[0][1], 0, head, [0], [], fixed))
             return out
 
-        def emit(found: list[tuple]) -> pa.RecordBatch:
-            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.list_(pa.int64()), pa.list_(pa.struct([("start", pa.int64()), ("stop", pa.int64())])), pa.int64()]
-            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=["conv_id", "segment", "first", "text", "turns", "loss", "tokens"])
+        def formatted_groups(groups: list[list[tuple]]) -> pa.RecordBatch:
+            """The windows of several segments, whose texts are encoded together."""
+            told = []
+            for group in groups:
+                system = next(r for r in group if r[6])[5]
+                system = system if system and system["role"] == "system" else None
+                told.append((group, [render(r[3], r[4]) for r in group], render(system["role"], system["text"])[0] if system else ""))
+            _, counts = bpe.encode_batch([x for _, shown, head in told for x in (head, *(s[0] for s in shown))])
+            found, at = [], 0
+            for group, shown, head in told:
+                found += windows(group, shown, head, counts[at : at + len(shown) + 1])
+                at += len(shown) + 1
+            return pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(zip(*found, strict=True), kinds, strict=True)], names=names)
 
+        groups: list[list[tuple]] = []
+        held: list[tuple] = []
+        size = 0
         for batch in batches:
-            found: list[tuple] = []
-            columns = [batch.column(i).to_pylist() for i in range(7)]
-            for row in zip(*columns, strict=True):
-                if row[:2] != key and held:
-                    found += windows(held)
+            for row in zip(*[batch.column(i).to_pylist() for i in range(7)], strict=True):
+                if held and row[:2] != held[0][:2]:
+                    # the turn after the last own one belongs to the next segment alone
+                    groups += [held] if any(r[6] for r in held) else []
                     held = []
-                key = row[:2]
+                    if size > SLICE_BYTES:
+                        yield from [formatted_groups(groups)] if groups else []
+                        groups, size = [], 0
                 held.append(row)
-                if len(found) > 200:
-                    yield emit(found)
-                    found = []
-            if found:
-                yield emit(found)
-        if held and (last := windows(held)):
-            yield emit(last)
+                size += len(row[4]) + 64
+        groups += [held] if any(r[6] for r in held) else []
+        yield from [formatted_groups(groups)] if groups else []
 
     turns = numbered(rows, segment, history)
     return turns.repartition("conv_id", "segment").sortWithinPartitions("conv_id", "segment", "idx").mapInArrow(run, WINDOWS)

@@ -7,7 +7,10 @@ every window adds share * window to each source's deficit; queues are served in
 piece, and what is left is carried to the next window. The ids that a pack leaves over form sequences whose lengths
 are powers of two, so no padding is needed.
 
-Null or empty text: the end id alone. Null source: a queue of its own. Repeated rows are packed each for itself.
+Null or empty text: the end id alone. Null source: a queue of its own. Null doc_id: packed like any other. Repeated rows
+are packed each for itself, and dealt by the partition that they come from too, so that no pack gets them all. A text of
+any length is encoded in runs of bounded size and lies whole in one pack, in as many windows as it fills. Documents that
+tie in their source and hash stand in the order of doc_id; of queues that are owed the same the first by name borrows.
 Columns besides doc_id, text and source are ignored. An empty table gives no rows.
 """
 

@@ -5,9 +5,12 @@ condition at a time by the information gained on two thirds of the labelled rows
 and the rows it covers leave. Every count is one aggregation over all labelled rows, binned at quantiles, so the
 driver sees counts a bin and no rows. The list becomes one ordered conditional expression.
 
-Null or empty text: no words, so it fails the base rules. Repeated label rows count once, with the lower quality;
-labels that are null or neither 0 nor 1 are left out. Without labels of both kinds no rule is learned and all that
-passes the base rules is kept. An empty table gives no rows.
+Null or empty text: no words, so it fails the base rules. Texts of any length are judged whole. Repeated label rows
+count once, with the lower quality; repeated documents are judged each and learned from each. Labels that are null or
+neither 0 nor 1 are left out, and a document with a null doc_id has none. Of conditions that gain the same the first by
+feature and threshold is taken. Without labels of both kinds no rule is learned and all that passes the base rules is
+kept. An empty table gives no rows. Columns of the input that have the name of a statistic (n_words to base_failed, and
+FEATURES) or _s are replaced by it; `kept` is a column of the result.
 """
 
 from __future__ import annotations

@@ -1,14 +1,17 @@
 """URL filters: rules by host and path, and a character language-model ratio for the rest.
 
-Two variable-order Markov models of bytes, one of URLs that rules allow and one of those they block, are counted over
-all such URLs. Each order backs off to the one below (its counts and `strength` times the shorter context's
-probability). Counts lie in hashed tables of fixed size, so the models' size doesn't grow with the data. A URL's score
-is the difference of its log likelihoods over its length; the threshold is the one that separates held-out URLs of
-both kinds best, from a histogram of fixed size.
+Two variable-order Markov models of bytes, one of URLs that rules allow and one of those they block, are counted exactly
+over all such URLs: every context of up to four bytes with the byte that follows it, as one number. Each order backs
+off to the one below: p(byte | context) = (n(context, byte) + strength * p(byte | shorter context)) / (n(context) +
+strength), so the bytes after any context sum to one. The model grows with the URLs up to MOST entries, some 50 MB, for
+it is broadcast; beyond that the rarest contexts' bytes are left to the shorter contexts, and n(context) counts only
+what is kept. A URL's score is the difference of its log likelihoods over its length; the threshold is the one that
+separates held-out URLs of both kinds best, from a histogram of fixed size.
 
 Null url or one without "://": host and path empty, no rule, and judged by the model from the bytes there are. If one
-kind of URL is missing, what no rule fits is allowed. Repeated rows are judged and counted each. Longer URLs are
-judged whole.
+kind of URL is missing, what no rule fits is allowed. Repeated rows are judged and counted each. Longer URLs are judged
+whole, in memory that follows the longest one. Of thresholds that tie the middle one is taken. An empty table gives no
+rows. Columns not named in `keep` are ignored; host, path, rule, ratio and verdict are columns of the result.
 """
 
 from __future__ import annotations
@@ -19,12 +22,14 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from ledgerlake.llm.shared import slices, texts
+from ledgerlake.llm.shared import slices, stored, texts
 
 #: (verdict, host and path) of each rule.
 RULES = (("allow", "org/"), ("block", "example.org/es/"), ("block", "example.org/en/1"), ("allow", "com/fr/"), ("block", "com/de/"))
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-ORDERS, BITS = 5, 16
+#: Contexts have 0 to ORDERS - 1 bytes.
+ORDERS = 5
+MOST = 2_000_000
 
 
 def host_of(url: Column) -> Column:
@@ -45,80 +50,104 @@ def rule_of(host: Column, path: Column, rules: tuple = RULES) -> Column:
     return out
 
 
-def contexts(batch: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Slots of (context and byte) and of (context) for each order and byte, and how many bytes each URL has.
+def keys_of(batch: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """For each order and byte: order, context and byte as one number; and how many bytes each URL has.
 
     A URL's bytes are preceded by start marks and followed by an end mark, which counts as a byte.
     """
     coded = [b"\x02" * ORDERS + x.encode() + b"\x03" for x in batch]
-    raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.uint64)
+    raw = np.frombuffer(b"".join(coded), np.uint8).astype(np.int64)
     lengths = np.array([len(x) for x in coded], np.int64)
-    at = np.flatnonzero(np.ones(len(raw), bool))
-    begin = np.repeat(np.cumsum(lengths) - lengths, lengths)
-    at = at[at - begin >= ORDERS]
-    joint, alone = [], []
-    state = np.zeros(len(at), np.uint64)
+    place = np.arange(len(raw)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    at = np.flatnonzero(place >= ORDERS)
+    out = np.empty((ORDERS, len(at)), np.int64)
+    context = np.zeros(len(at), np.int64)
     for order in range(ORDERS):
         if order:
-            state = state * np.uint64(0x100000001B3) + raw[at - order] + np.uint64(1)
-        mixed = (state + np.uint64(order * 7919 + 1)) * np.uint64(0x9E3779B97F4A7C15)
-        alone.append(((mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64))
-        both = (mixed + raw[at] + np.uint64(1)) * np.uint64(0x94D049BB133111EB)
-        joint.append(((both ^ both >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BITS)).astype(np.int64))
-    return np.stack(joint), np.stack(alone), lengths - ORDERS
+            context |= raw[at - order] << 8 * (order - 1)
+        out[order] = order << 40 | context << 8 | raw[at]
+    return out, lengths - ORDERS
 
 
 class Markov:
-    """Counts of both classes: tables[class, 0 or 1, order, slot]."""
-
-    def __init__(self, tables: np.ndarray, strength: float = 2.0):
-        self.tables, self.strength = tables, strength
+    """Both classes' counts of (order, context, byte), by ascending key; row 1 of the counts is of allowed URLs."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, strength: float = 2.0):
+        order = np.argsort(keys)
+        self.keys, self.counts, self.strength = keys[order], counts[:, order].astype(float), strength
+        contexts = self.keys >> 8
+        first = np.flatnonzero(np.concatenate([[True], contexts[1:] != contexts[:-1]])) if len(keys) else np.zeros(0, np.int64)
+        self.contexts = contexts[first]
+        self.sums = np.add.reduceat(self.counts, first, axis=1) if len(first) else np.zeros((2, 0))
+
+    def probabilities(self, keys: np.ndarray) -> np.ndarray:
+        """p(byte | context) under both classes, for keys of each order of the same bytes."""
+        p = np.full((2, keys.shape[1]), 1 / 256)
+        for own in keys:
+            distinct, place = np.unique(own, return_inverse=True)
+            joint = _looked_up(self.keys, self.counts, distinct)
+            alone = _looked_up(self.contexts, self.sums, distinct >> 8)
+            p = (joint[:, place] + self.strength * p) / (alone[:, place] + self.strength)
+        return p
 
     def log_ratio(self, batch: list[str]) -> np.ndarray:
         """(log P(url | allowed) - log P(url | blocked)) / bytes."""
-        joint, alone, lengths = contexts(batch)
-        total = []
-        for side in (1, 0):
-            p = np.full(joint.shape[1], 1 / 256)
-            for order in range(ORDERS):
-                p = (self.tables[side, 0, order, joint[order]] + self.strength * p) / (self.tables[side, 1, order, alone[order]] + self.strength)
-            total.append(np.log(np.maximum(p, 1e-300)))
-        each = total[0] - total[1]
-        return np.add.reduceat(each, np.cumsum(lengths) - lengths) / lengths if len(lengths) else np.zeros(0)
+        keys, lengths = keys_of(batch)
+        if not len(lengths):
+            return np.zeros(0)
+        logs = np.log(self.probabilities(keys))
+        return np.add.reduceat(logs[1] - logs[0], np.cumsum(lengths) - lengths) / lengths
+
+
+def _looked_up(keys: np.ndarray, values: np.ndarray, asked: np.ndarray) -> np.ndarray:
+    """Values of the keys asked for; 0 for those that aren't there."""
+    if not len(keys):
+        return np.zeros((2, len(asked)))
+    at = np.minimum(np.searchsorted(keys, asked), len(keys) - 1)
+    return np.where(keys[at] == asked, values[:, at], 0.0)
 
 
-def count(labelled: DataFrame) -> np.ndarray:
-    """Tables of (allowed boolean, url string) rows; a task adds up what it reads before anything moves."""
-    size = 2 * 2 * ORDERS << BITS
+def counted(labelled: DataFrame) -> DataFrame:
+    """(key, allowed, blocked) of (allowed boolean, url string) rows, added up before they move; stored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, 2, ORDERS, 1 << BITS), np.int64)
         for batch in batches:
-            for part in slices(batch, "url", 500_000):
-                allowed = np.asarray(part.column(0).to_pylist(), bool)
-                joint, alone, lengths = contexts(texts(part, "url"))
-                side = np.repeat(allowed.astype(np.int64), lengths)
-                for order in range(ORDERS):
-                    np.add.at(total, (side, 0, order, joint[order]), 1)
-                    np.add.at(total, (side, 1, order, alone[order]), 1)
-        flat = total.ravel()
-        some = np.flatnonzero(flat)
-        yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(flat[some])], names=["slot", "n"])
-
-    sums = labelled.mapInArrow(run, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    out = np.zeros(size, np.float64)
-    out[np.asarray(sums.column("slot"), np.int64)] = np.asarray(sums.column("n"), float)
-    return out.reshape(2, 2, ORDERS, 1 << BITS)
+            for part in slices(batch, "url"):
+                keys, lengths = keys_of(texts(part, "url"))
+                side = np.repeat(np.asarray(part.column(0).to_pylist(), bool), lengths)
+                for own in keys:
+                    distinct, place = np.unique(own, return_inverse=True)
+                    allowed = np.bincount(place[side], minlength=len(distinct))
+                    blocked = np.bincount(place[~side], minlength=len(distinct))
+                    yield pa.RecordBatch.from_arrays([pa.array(distinct), pa.array(allowed), pa.array(blocked)], names=["key", "allowed", "blocked"])
+
+    found = labelled.select("allowed", "url").mapInArrow(run, "key long, allowed long, blocked long")
+    return stored(found.groupBy("key").agg(F.sum("allowed").alias("allowed"), F.sum("blocked").alias("blocked")), "contexts")
+
+
+def fitted(counts: DataFrame, most: int = MOST) -> Markov:
+    """The model of the most frequent entries, `most` at most; counts of single bytes are always kept."""
+    n = F.col("allowed") + F.col("blocked")
+    # exact counts up to 1024, then powers of two, so the histogram has a bounded number of rows
+    level = F.when(n <= 1024, n).otherwise(F.pow(F.lit(2.0), F.floor(F.log2(n))).cast("long"))
+    least, kept = 0, 0
+    for row in sorted(counts.filter(F.col("key") >= 1 << 40).groupBy(level.alias("n")).agg(F.count(F.lit(1)).alias("entries")).collect(), reverse=True):
+        kept += row["entries"]
+        if kept > most:
+            least = row["n"] + 1
+            break
+    table = counts.filter((F.col("key") < 1 << 40) | (level >= least)).toArrow()
+    return Markov(np.asarray(table.column("key"), np.int64), np.stack([np.asarray(table.column(c), np.int64) for c in ("blocked", "allowed")]))
 
 
 def with_ratio(rows: DataFrame, model: Markov, url: str = "url", name: str = "ratio") -> DataFrame:
     keep = [f for f in rows.schema.fields if f.name != name]
     schema = T.StructType([*keep, T.StructField(name, T.DoubleType())])
-    shared = rows.sparkSession.sparkContext.broadcast(model)  # of fixed size: 2 * 2 * 5 * 65,536 numbers
+    shared = rows.sparkSession.sparkContext.broadcast(model)  # bounded: MOST entries
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for part in slices(batch, url, 500_000):
+            for part in slices(batch, url):
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shared.value.log_ratio(texts(part, url)), pa.float64())], names=[f.name for f in schema.fields])
 
     return rows.select(*[f.name for f in keep]).mapInArrow(run, schema)
@@ -139,15 +168,14 @@ def calibrated(held: DataFrame, model: Markov, bins: int = 400, span: float = 4.
     return float(best[len(best) // 2] * 2 * span / bins - span)  # the middle of the best thresholds
 
 
-def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",)) -> DataFrame:
+def judge(pages: DataFrame, rules: tuple = RULES, url: str = "url", keep: tuple[str, ...] = ("page_id",), most: int = MOST) -> DataFrame:
     """(keep columns, host, path, rule, ratio, verdict) of every row."""
     rows = pages.select(*keep, F.col(url).cast("string").alias("url"))
     rows = rows.withColumns({"host": host_of(F.col("url")), "path": path_of(F.col("url"))}).withColumn("_rule", rule_of(F.col("host"), F.col("path"), rules))
     labelled = rows.filter("_rule is not null").select((F.col("_rule.verdict") == "allow").alias("allowed"), "url")
     fold = F.pmod(F.xxhash64("url"), F.lit(5))
-    tables = count(labelled.filter(fold != 0))
-    model = Markov(tables)
-    ready = bool(tables[0].any() and tables[1].any())
+    model = fitted(counted(labelled.filter(fold != 0)), most)
+    ready = bool((model.counts.sum(1) > 0).all())
     threshold = calibrated(labelled.filter(fold == 0), model) if ready else float("-inf")
     scored = with_ratio(rows.withColumn("url", F.coalesce("url", F.lit(""))), model)
     verdict = F.coalesce(F.col("_rule.verdict"), F.when(F.col("ratio") >= threshold, "allow").otherwise("block"))

@@ -13,7 +13,7 @@ from ledgerlake.llm import queries as Q
 from ledgerlake.llm.chat import digests, escape, formatted, spans, unescape
 from ledgerlake.llm.classifier import classify
 from ledgerlake.llm.embeddings import near_duplicates
-from ledgerlake.llm import maxent
+from ledgerlake.llm import classifier, maxent, urls
 from ledgerlake.llm.maxent import score
 from ledgerlake.llm.rules import judge as judge_rules
 from ledgerlake.llm.shared import Deal, connected_components, local_components, window_hashes
@@ -304,6 +304,79 @@ def test_url_model_tells_classes_apart(spark):
     assert sum(got[1000 + k] == ("allow" if k % 2 else "block") for k in range(100)) > 90
 
 
+def brute_ratio(url, allowed, blocked, strength=2.0):
+    """Mean log ratio of a URL's bytes under models counted from two lists of URLs, byte by byte."""
+    total = 0.0
+    for sign, urls in ((1, allowed), (-1, blocked)):
+        joint, alone = Counter(), Counter()
+        for u in urls:
+            raw = b"\x02" * 5 + u.encode() + b"\x03"
+            for i in range(5, len(raw)):
+                for order in range(5):
+                    joint[raw[i - order : i + 1]] += 1
+                    alone[order, raw[i - order : i]] += 1
+        raw = b"\x02" * 5 + url.encode() + b"\x03"
+        for i in range(5, len(raw)):
+            p = 1 / 256
+            for order in range(5):
+                p = (joint[raw[i - order : i + 1]] + strength * p) / (alone[order, raw[i - order : i]] + strength)
+            total += sign * np.log(p)
+    return total / (len(url.encode()) + 1)
+
+
+def test_url_model_equals_brute_force(spark):
+    rng = np.random.default_rng(12)
+    make = lambda n: ["".join(rng.choice(list("abc/.é1"), rng.integers(0, 30))) for _ in range(n)]
+    allowed, blocked = make(60), make(50)
+    rows = spark.createDataFrame([(True, u) for u in allowed] + [(False, u) for u in blocked], "allowed boolean, url string")
+    counts = urls.counted(rows)
+    model = urls.fitted(counts)
+    asked = [*allowed[:10], *make(20), "", "zz"]
+    assert np.allclose(model.log_ratio(asked), [brute_ratio(u, allowed, blocked) for u in asked])
+    small = urls.fitted(counts, most=200)
+    assert 0 < len(small.keys) < len(model.keys)
+    for m in (model, small, urls.Markov(np.zeros(0, np.int64), np.zeros((2, 0)))):
+        for context in (b"\x02\x02\x02\x02", b"abca", b"//.1", b"zzzz"):
+            number = lambda order: sum(c << 8 * k for k, c in enumerate(reversed(context[4 - order :])))
+            keys = np.array([[order << 40 | number(order) << 8 | b for b in range(256)] for order in range(5)])
+            assert np.allclose(m.probabilities(keys).sum(1), 1)
+
+
+def brute_discriminant(rows, x, shrink=0.1, ridge=1e-3):
+    """P(class 1) from the definition: densities of shrunk covariances, with determinants and solved systems."""
+    data = {k: np.array([f for f, q in rows if q == k]) for k in (0, 1)}
+    n = sum(map(len, data.values()))
+    size = len(x)
+    pooled = sum(((d - d.mean(0)) ** 2).sum(0) for d in data.values()) / n
+    logs = []
+    for d in data.values():
+        weight = shrink + (1 - shrink) * size / (size + len(d))
+        cov = (1 - weight) * np.cov(d.T, bias=True) + weight * np.diag(np.maximum(pooled, ridge)) + ridge * np.eye(size)
+        off = x - d.mean(0)
+        logs.append(np.log(len(d) / n) - 0.5 * np.linalg.slogdet(cov)[1] - 0.5 * off @ np.linalg.solve(cov, off))
+    return 1 / (1 + np.exp(np.clip(logs[0] - logs[1], -700, 700)))
+
+
+def test_classifier_equals_brute_force(spark):
+    sf = "/root/testdata/sf0.01"
+    texts = {r.doc_id: r.text or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    labels = {r.doc_id: r.quality for r in spark.read.parquet(f"{sf}/labels.parquet").collect()}
+    train = [(np.array(classifier.statistics(texts[k])), q) for k, q in labels.items() if k in texts and zlib.crc32(str(k).encode()) % 5]
+    got = {r.doc_id: r.score for r in Q.op2_quality_classifier(spark, sf).collect()}
+    for k in sorted(texts)[:200]:
+        assert abs(got[k] - brute_discriminant(train, np.array(classifier.statistics(texts[k])))) < 1e-6
+
+
+def test_rules_are_the_learned_list(spark):
+    """Every verdict is that of the list, read as plain conditions over the same statistics."""
+    sf = "/root/testdata/sf0.01"
+    judged, rules = judge_rules(spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet"))
+    for r in judged.collect():
+        hit = any(all((r[c.feature] > c.threshold) == c.above for c in rule) for rule in rules)
+        assert r.kept == (not r.base_failed and not hit)
+    assert rules
+
+
 def test_lm_scoring(spark):
     sf = "/root/testdata/sf0.01"
     rows = Q.op8_lm_scoring(spark, sf).collect()
@@ -447,6 +520,25 @@ def test_embeddings_without_ids_count(spark):
     assert sorted((tuple(r) for r in got), key=str) == sorted(want, key=str)
 
 
+def test_embeddings_of_repeated_ids(spark):
+    """Rows that share an id but not the vector have each its own links."""
+    rng = np.random.default_rng(14)
+    a, b = rng.normal(size=8), rng.normal(size=8)
+    near = lambda v: (v + rng.normal(size=8) * 1e-3).tolist()
+    rows = [(1, a.tolist()), (1, b.tolist()), (3, near(a)), (4, near(b)), (5, near(b)), (None, near(a))]
+    got = near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert sorted(((r.vec_id or 0, r.n_links, r.component_id) for r in got)) == [(0, 2, 1), (1, 2, 1), (1, 2, 1), (3, 2, 1), (4, 2, 1), (5, 2, 1)]
+
+
+def test_pipeline_keeps_one_of_each_text(spark, sf):
+    """Rows that share a doc_id but not the text are linked and kept each for itself; copies stay once."""
+    a, b = (" ".join(f"{x}{k}" for k in range(60)) for x in "uv")
+    rows = [(3, a, "en", "s", 1), (5, a, "en", "s", 1), (5, b, "en", "s", 1), (5, b, "en", "t", 1), (None, b, "en", "s", 1), (None, "w " * 60, "en", "s", 1), (None, "w " * 60, "en", "s", 1), (8, None, None, None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    got = [(r.doc_id, r.text) for r in corpus_pipeline.simhash_dedup(spark, docs, sf).collect()]
+    assert sorted(got, key=str) == sorted([(3, a), (5, b), (None, "w " * 60), (8, None)], key=str)
+
+
 def test_pipeline_stages(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     texts = {r.doc_id: r.text for r in docs.collect()}
