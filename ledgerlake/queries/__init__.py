@@ -1,3 +1,3 @@
 """Importing this package registers every query of the reference's own operators."""
 
-from ledgerlake.queries import charts, claims, entities, evaluations, facts, flagship, lineage, payloads, sentences, series, stores, streams, texts  # noqa: F401
+from ledgerlake.queries import charts, claims, entities, evaluations, facts, flagship, lineage, payloads, plans, sentences, series, stores, streams, texts  # noqa: F401

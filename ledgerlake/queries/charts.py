@@ -8,7 +8,7 @@ from ledgerlake.catalogue import query
 from ledgerlake.operators import charts as G
 from ledgerlake.session import table
 
-P = """r AS (SELECT o_custkey % 20 AS chart_id, left(o_orderpriority, 1) AS series, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS observed_at, o_orderkey AS position, CASE WHEN o_orderkey % 9 > 0 THEN round(o_totalprice, 2) END AS value, 'u' || o_orderkey % 4 AS source_url FROM orders WHERE o_orderkey % 2 = 0),
+P = """r AS (SELECT o_custkey % 20 AS chart_id, left(o_orderpriority, 1) AS series, CAST(date_trunc('quarter', o_orderdate) AS DATE) AS observed_at, o_orderkey AS position, CASE WHEN o_orderkey % 9 > 0 THEN round(o_totalprice, 2) END AS value, 'u' || o_orderkey % 4 AS source_url FROM orders),
 l AS (SELECT chart_id, series, observed_at, max_by(value, position) AS value, max_by(source_url, position) AS u FROM r WHERE value IS NOT NULL GROUP BY ALL),
 w AS (SELECT chart_id, count(DISTINCT series) AS wanted FROM r GROUP BY chart_id),
 p AS (SELECT l.chart_id, observed_at, count(*) AS n, sum(value) AS total FROM l JOIN w ON w.chart_id = l.chart_id GROUP BY l.chart_id, observed_at, wanted HAVING count(*) = wanted)"""
@@ -16,7 +16,7 @@ p AS (SELECT l.chart_id, observed_at, count(*) AS n, sum(value) AS total FROM l
 
 def rows(spark, sf):
     key = F.col("o_orderkey")
-    return table(spark, sf, "orders").filter(key % 2 == 0).select(
+    return table(spark, sf, "orders").select(
         (F.col("o_custkey") % 20).alias("chart_id"), F.left("o_orderpriority", F.lit(1)).alias("series"), F.date_trunc("quarter", "o_orderdate").cast("date").alias("observed_at"),
         F.when(key % 9 > 0, F.round("o_totalprice", 2)).alias("value"), F.concat(F.lit("u"), key % 4).alias("source_url"), key.alias("position"), F.when((F.col("o_custkey") % 20 == 3) & (key % 8 == 0), "EUR").otherwise("USD").alias("unit"),
     )
@@ -40,7 +40,7 @@ def g1(spark, sf):
     return G.dataset_faults(series, points)
 
 
-@query("g3_mixed_units", "SELECT o_custkey % 20 AS chart_id, left(o_orderpriority, 1) AS series, count(DISTINCT CASE WHEN o_custkey % 20 = 3 AND o_orderkey % 8 = 0 THEN 'EUR' ELSE 'USD' END) AS n_units FROM orders WHERE o_orderkey % 2 = 0 GROUP BY ALL HAVING count(DISTINCT CASE WHEN o_custkey % 20 = 3 AND o_orderkey % 8 = 0 THEN 'EUR' ELSE 'USD' END) > 1")
+@query("g3_mixed_units", "SELECT o_custkey % 20 AS chart_id, left(o_orderpriority, 1) AS series, count(DISTINCT CASE WHEN o_custkey % 20 = 3 AND o_orderkey % 8 = 0 THEN 'EUR' ELSE 'USD' END) AS n_units FROM orders GROUP BY ALL HAVING count(DISTINCT CASE WHEN o_custkey % 20 = 3 AND o_orderkey % 8 = 0 THEN 'EUR' ELSE 'USD' END) > 1")
 def g3(spark, sf):
     return G.mixed_units(rows(spark, sf))
 
