@@ -115,12 +115,14 @@ def fact_evidence(facts: DataFrame) -> DataFrame:
 def macro_used(macro: DataFrame, dates: DataFrame, date: str = "observed_at") -> DataFrame:
     """Macro rows that are the latest known at some date of a calculation.
 
-    A row is used if a date lies from its own up to, not including, its series' next one; dates and rows are put in
-    one order by a window over each series, so there is no range join. Dates are distinct days, which bounds the copies.
+    A row is used if a date lies from its own up to, not including, its series' next one. The first date at or after
+    each day that macro rows have is found over distinct calendar days alone, and joined by equality.
     """
-    days = dates.select(F.col(date).alias("_day")).filter("_day is not null").distinct()
-    series = macro.select("series_id").distinct()
-    marks = macro.select("series_id", F.col(date).alias("_at"), F.lit(0).alias("_side")).unionByName(series.crossJoin(days).select("series_id", F.col("_day").alias("_at"), F.lit(1).alias("_side")))
-    last = F.max(F.when(F.col("_side") == 0, F.col("_at"))).over(W.partitionBy("series_id").orderBy("_at", "_side").rowsBetween(W.unboundedPreceding, 0))
-    used = marks.withColumn("_used", last).filter("_side = 1 and _used is not null").select("series_id", F.col("_used").alias(date)).distinct()
-    return macro.join(used, ["series_id", date], "left_semi")
+    asked = dates.select(F.col(date).alias("_day"), F.col(date).alias("_asked")).filter("_day is not null").distinct()
+    days = macro.select(F.col(date).alias("_day"), F.lit(None).cast(dates.schema[date].dataType).alias("_asked")).distinct().unionByName(asked)
+    onwards = W.orderBy(F.desc("_day")).rangeBetween(W.unboundedPreceding, 0)  # a row or two a calendar day
+    first = days.select("_day", F.min("_asked").over(onwards).alias("_first")).distinct()
+    points = macro.select("series_id", date).distinct()
+    after = F.lead(date).over(W.partitionBy("series_id").orderBy(date))
+    used = points.withColumn("_next", after).join(first, F.col(date) == F.col("_day")).filter((F.col("_first") < F.col("_next")) | (F.col("_first").isNotNull() & F.col("_next").isNull()))
+    return macro.join(used.select("series_id", date), ["series_id", date], "left_semi")

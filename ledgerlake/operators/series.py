@@ -36,8 +36,8 @@ def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str
     """For each left row the latest right row at or before it; null where there is none.
 
     Union and last-value window: one shuffle on the keys and a sort, no range join, so it stays linear in both
-    sides. Without keys the right side is one series, and its rows are dealt by calendar year with each year's
-    last value carried forward, so no single task receives everything.
+    sides. Without keys the right side is one series, and its rows are dealt by calendar day with the last value
+    before each day carried into it, so a task receives a day's rows.
     """
     names = [right_on, *values]
     if not keys:
@@ -53,14 +53,15 @@ def asof_backward(left: DataFrame, right: DataFrame, left_on: str, right_on: str
 
 def _asof_keyless(left: DataFrame, right: DataFrame, left_on: str, right_on: str, names: list[str]) -> DataFrame:
     right = right.filter(F.col(right_on).isNotNull())
-    slim = right.select(*names).withColumn("_y", F.year(right_on))
-    lasts = slim.groupBy("_y").agg(F.max_by(F.struct(*names), right_on).alias("_last"))
-    years = left.select(F.year(left_on).alias("_y")).distinct()
-    carried = years.join(lasts.withColumnRenamed("_y", "_ly"), F.col("_ly") < F.col("_y"), "left").groupBy("_y").agg(F.max_by("_last", "_ly").alias("_carry"))
-    carried = carried.select("_y", F.col("_carry.*")).filter(F.col(right_on).isNotNull())
-    rights = slim.unionByName(carried.select(*names, "_y"))
-    got = asof_backward(left.withColumn("_y", F.year(left_on)), rights, left_on, right_on, [n for n in names if n != right_on], ["_y"])
-    return got.drop("_y")
+    slim = right.select(*names).withColumn("_day", F.to_date(right_on))
+    lasts = slim.groupBy("_day").agg(F.max_by(F.struct(*names), right_on).alias("_last"))
+    # a row a calendar day that either side has, so the running last value fits one task
+    days = lasts.unionByName(left.select(F.to_date(left_on).alias("_day"), F.lit(None).cast(lasts.schema["_last"].dataType).alias("_last")).distinct()).filter("_day is not null")
+    before = W.orderBy("_day").rowsBetween(W.unboundedPreceding, -1)
+    carried = days.groupBy("_day").agg(F.first("_last", ignorenulls=True).alias("_last")).select("_day", F.last("_last", ignorenulls=True).over(before).alias("_carry")).filter("_carry is not null")
+    rights = slim.unionByName(carried.select("_carry.*", "_day"))
+    got = asof_backward(left.withColumn("_day", F.to_date(left_on)), rights, left_on, right_on, [n for n in names if n != right_on], ["_day"])
+    return got.drop("_day")
 
 
 def consecutive_growth(df: DataFrame, keys: list[str], order: str, value: str = "value") -> DataFrame:

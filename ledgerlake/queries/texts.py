@@ -99,10 +99,17 @@ def d8_classes(spark, sf):
     return D.text_classes(docs(spark, sf), "doc_id", "text")
 
 
+def versions(spark, sf):
+    """The lines of each document that aren't blank, as chunks of a version."""
+    lines = F.posexplode(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != "")).alias("chunk_index", "text")
+    return docs(spark, sf).filter("text is not null").select(F.col("doc_id").alias("version"), lines)
+
+
 @query("d8_greedy_decisions")
 def d8_greedy(spark, sf):
-    rows = docs(spark, sf).withColumn("version", F.concat_ws("-", "source", "lang", (F.col("doc_id") % 64)))
-    return D.drop_near_copies(rows, "version", "doc_id", "text").select("version", "doc_id", "decision")
+    # a version is a document's own chunks: bounded by the document, however many there are
+    rows = versions(spark, sf)
+    return D.drop_near_copies(rows, "version", "chunk_index", "text", 0.9).select("version", "chunk_index", "decision")
 
 
 @query("d5_d6_chunks")
