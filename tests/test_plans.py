@@ -82,4 +82,6 @@ def test_claims_are_cut_at_sentences():
         ("Note", [], False),
     ]
     assert [c["sentence_index"] for c in told] == list(range(7))
+    # a label of a filing's section ends a sentence unless a name follows it
+    assert [c["text"] for c in claims_of("It is told in Item 7. 12% was lost. See Item 7. Risk for more.")] == ["It is told in Item 7.", "12% was lost.", "See Item 7. Risk for more."]
     assert claims_of(None) == [] and claims_of("") == [] and claims_of("[fact:a]") == []
