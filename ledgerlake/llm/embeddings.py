@@ -4,7 +4,9 @@ Unit vectors are at cosine c or more just if they are within sqrt(2 - 2c). Equal
 one. The rest are sorted by the grid cells, one epsilon wide, of their projections on the leading principal
 dimensions; runs of the sorted sequence are joined pair by pair, recursively by halves, and two halves are skipped
 when the boxes around their projections are further apart than epsilon, which proves that no pair links (projections
-never lengthen distances). What is left is compared exactly, by a matrix product in double precision.
+never lengthen distances). Boxes of runs, and of their leaves of LEAF vectors, are tested in all leading dimensions
+before any vector moves, and of two runs only the leaves that come near each other meet. What is left is compared
+exactly, by a matrix product in double precision.
 
 Vectors that are null, empty, zero or hold null or non-finite numbers link with nothing: n_links 0 and themselves as
 component. Vectors of other lengths are never compared with each other. Repeated rows are links of each other; rows that
@@ -19,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, functions as F
 
 from ledgerlake.llm.shared import connected_components, local_components, stored
@@ -139,8 +142,11 @@ def join(left: Run, right: Run, cosine: float, far: float) -> tuple[np.ndarray,
     return (counts_l + counts_r if same else np.concatenate([counts_l, counts_r])), label, np.concatenate([left.node] if same else [left.node, right.node]), compared
 
 
-def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "vec_id", cosine: float = 0.95, run_rows: int = 8192, leading: int = 8) -> DataFrame:
-    """(vec_id, n_links, component_id, kept) of every row, for a cosine above 0 and up to 0.99999."""
+def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "vec_id", cosine: float = 0.95, run_rows: int | None = None, leading: int = 8, run_bytes: int = 8_000_000) -> DataFrame:
+    """(vec_id, n_links, component_id, kept) of every row, for a cosine above 0 and up to 0.99999.
+
+    A run has about `run_bytes` of vectors, or `run_rows` rows where that is given.
+    """
     if not 0 < cosine <= 0.99999:
         raise ValueError("cosine must lie above 0 and at 0.99999 at most")
     units = stored(prepared(rows, vector, ident), "units")
@@ -151,7 +157,7 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "ve
     links = edges = None
     for size in [r["size"] for r in classes.select("size").distinct().collect()]:
         own = classes.filter(F.col("size") == size)
-        found = stored(_size_links(own, size, cosine, epsilon, run_rows, min(leading, size)), "links")
+        found = stored(_size_links(own, size, cosine, epsilon, run_rows or max(LEAF, run_bytes // (8 * size)), min(leading, size)), "links")
         part = found.groupBy("node").agg(F.sum("links").alias("links"))
         star = found.filter("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst"))
         links, edges = (part, star) if links is None else (links.unionByName(part), edges.unionByName(star))
@@ -195,12 +201,17 @@ def _size_links(classes: DataFrame, size: int, cosine: float, epsilon: float, ru
         count = sent = 0
 
         def out() -> pa.RecordBatch:
-            table = pa.Table.from_batches(held)
-            raw = b"".join(table.column("unit").to_pylist())
-            places = np.frombuffer(raw, float).reshape(-1, size) @ axes[:, :3]
-            low, high = np.floor(places.min(0) / epsilon).astype(int), np.floor(places.max(0) / epsilon).astype(int)
-            run = TaskContext.get().partitionId() << 32 | sent
-            return pa.RecordBatch.from_arrays([pa.array([run]), pa.array([np.asarray(table.column("node")).tobytes()], pa.binary()), pa.array([np.asarray(table.column("copies")).tobytes()], pa.binary()), pa.array([raw], pa.binary()), pa.array([low.tolist()], pa.list_(pa.int64())), pa.array([high.tolist()], pa.list_(pa.int64()))], names=["run", "nodes", "copies", "units", "low", "high"])
+            table = pa.Table.from_batches(held).combine_chunks()
+            places = np.frombuffer(b"".join(table.column("unit").to_pylist()), float).reshape(-1, size) @ axes
+            starts = range(0, count, LEAF)
+            boxes = [places[k : k + LEAF] for k in starts]
+            nodes, copies, raw = np.asarray(table.column("node")), np.asarray(table.column("copies")), table.column("unit").to_pylist()
+            part = lambda make: pa.array([make(slice(k, k + LEAF)) for k in starts], pa.binary())
+            return pa.RecordBatch.from_arrays([
+                pa.array([TaskContext.get().partitionId() << 32 | sent] * len(boxes), pa.int64()), pa.array(range(len(boxes)), pa.int32()),
+                part(lambda at: nodes[at].tobytes()), part(lambda at: copies[at].tobytes()), part(lambda at: b"".join(raw[at])),
+                pa.array([x.min(0).tolist() for x in boxes], pa.list_(pa.float64())), pa.array([x.max(0).tolist() for x in boxes], pa.list_(pa.float64())),
+            ], names=["run", "leaf", "nodes", "copies", "units", "low", "high"])
 
         for batch in batches:
             for k in range(0, batch.num_rows, run_rows):
@@ -216,27 +227,51 @@ def _size_links(classes: DataFrame, size: int, cosine: float, epsilon: float, ru
         if count:
             yield out()
 
-    sequence = stored(ranged.mapInArrow(gather, "run long, nodes binary, copies binary, units binary, low array<long>, high array<long>"), "runs")
+    sequence = stored(ranged.mapInArrow(gather, "run long, leaf int, nodes binary, copies binary, units binary, low array<double>, high array<double>"), "runs")
+    # a run's box, and the boxes of its leaves; vectors stay behind
+    least, most = ([f(F.col(side)[d]) for d in range(leading)] for side, f in (("low", F.min), ("high", F.max)))
+    outlines = stored(sequence.groupBy("run").agg(F.array(*least).alias("low"), F.array(*most).alias("high"), F.array_sort(F.collect_list(F.struct("leaf", F.col("low").alias("l"), F.col("high").alias("h")))).alias("leaves")), "outlines")
     # runs whose cells in the first dimensions touch: an equi-join on cells, one side with its neighbours
     dims = min(3, leading)
 
     def spread(more: int, name: str) -> DataFrame:
-        out = sequence.select("run", "low", "high")
+        out = outlines.select("run", "low", "high")
         for d in range(dims):
-            out = out.withColumn(f"c{d}", F.explode(F.sequence(F.col("low")[d] - more, F.col("high")[d] + more)))
-        out = out.drop("low", "high")
-        return out.withColumnRenamed("run", name)
+            cell = lambda x: F.floor(F.col(x)[d] / epsilon)  # noqa: B023, E731
+            out = out.withColumn(f"c{d}", F.explode(F.sequence(cell("low") - more, cell("high") + more)))
+        return out.drop("low", "high").withColumnRenamed("run", name)
 
     at = [f"c{d}" for d in range(dims)]
-    pairs = spread(0, "a").join(spread(1, "b"), at).filter("a <= b").select("a", "b").distinct()
-    sides = pairs.withColumn("run", F.explode(F.array_distinct(F.array("a", "b"))))
-    carried = sides.join(sequence.select(F.col("run").alias("_run"), "nodes", "copies", "units"), F.col("run") == F.col("_run")).drop("_run")
+    touching = spread(0, "a").join(spread(1, "b"), at).filter("a <= b").select("a", "b").distinct()
+    sides = [outlines.select(*[F.col(c).alias(f"{c}_{x}") for c in outlines.columns]) for x in "ab"]
+    both = touching.join(sides[0], F.col("a") == F.col("run_a")).join(sides[1], F.col("b") == F.col("run_b"))
+    apart = sum((F.pow(F.greatest(F.lit(0.0), F.col("low_b")[d] - F.col("high_a")[d], F.col("low_a")[d] - F.col("high_b")[d]), F.lit(2.0)) for d in range(leading)), F.lit(0.0))
+    near = both.filter((apart <= far) | (F.col("a") == F.col("b"))).select("a", "b", "leaves_a", "leaves_b")
+
+    def needed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each pair of runs the leaves that any leaf of the other comes near."""
+        for batch in batches:
+            for row in batch.to_pylist():
+                boxes = [[np.array([x[side] for x in row[f"leaves_{r}"]]) for side in "lh"] for r in "ab"]
+                (low_a, high_a), (low_b, high_b) = boxes
+                gaps = np.maximum(0, np.maximum(low_b[None] - high_a[:, None], low_a[:, None] - high_b[None]))
+                hit = (gaps * gaps).sum(2) <= far
+                found = [(r, int(x["leaf"])) for r, leaves, some in ((row["a"], row["leaves_a"], hit.any(1)), (row["b"], row["leaves_b"], hit.any(0))) for x, yes in zip(leaves, some, strict=True) if yes]
+                found = sorted(set(found))
+                if found:
+                    yield pa.RecordBatch.from_arrays([pa.array([row["a"]] * len(found), pa.int64()), pa.array([row["b"]] * len(found), pa.int64()), pa.array([r for r, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int32())], names=["a", "b", "_run", "_leaf"])
+
+    wanted = near.mapInArrow(needed, "a long, b long, _run long, _leaf int")
+    carried = wanted.join(sequence.select("run", "leaf", "nodes", "copies", "units"), (F.col("run") == F.col("_run")) & (F.col("leaf") == F.col("_leaf"))).drop("_run", "_leaf")
 
     def compare(table: pa.Table) -> pa.Table:
-        loaded = {}
-        for row in table.to_pylist():
-            loaded[row["run"]] = Run(np.frombuffer(row["nodes"], np.int64), np.frombuffer(row["copies"], np.int64), np.frombuffer(row["units"], float).reshape(-1, size), axes)
+        rows = table.sort_by([("run", "ascending"), ("leaf", "ascending")])
         a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        loaded = {}
+        for run in {a, b}:
+            own = rows.filter(pc.equal(rows.column("run"), run))
+            raw = {c: b"".join(own.column(c).to_pylist()) for c in ("nodes", "copies", "units")}
+            loaded[run] = Run(np.frombuffer(raw["nodes"], np.int64), np.frombuffer(raw["copies"], np.int64), np.frombuffer(raw["units"], float).reshape(-1, size), axes)
         counts, label, node, _ = join(loaded[a], loaded[b], cosine, far)
         # the root is the smallest node of its component here
         smallest = np.full(len(label), np.iinfo(np.int64).max)
