@@ -85,3 +85,15 @@ def c14(spark, sf):
     key = F.col("o_orderkey")
     rows = table(spark, sf, "orders").select(F.col("o_custkey").alias("answer_id"), F.year("o_orderdate").cast("string").alias("period"), F.lit("revenue").alias("metric"), F.concat(F.lit("F"), key % 3).alias("company_name"), key.cast("string").alias("display"), key.alias("position"))
     return C.fact_table(rows, ["F0", "F1", "F2"])
+
+
+@query("c11_judged", f"WITH {A} SELECT answer_id, i AS sentence_index FROM s WHERE text LIKE '%% made 1%%'".replace("%%", "%"))
+def c11(spark, sf):
+    """A judge that rejects every sum that begins with a one."""
+    rows = C.claims(answers(spark, sf))
+
+    def judge(claims, evidence):
+        return claims.filter(F.col("text").contains(" made 1")).select("answer_id", "claim_id", F.lit("judged").alias("code"), F.lit(None).cast("string").alias("evidence_id"))
+
+    wrong = C.issues(rows, evidence(spark, sf).drop("_key"), judge=judge).filter("code = 'judged'")
+    return rows.select("answer_id", "claim_id", "sentence_index").join(wrong, ["answer_id", "claim_id"]).select("answer_id", "sentence_index")
