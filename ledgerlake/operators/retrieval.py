@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window as W, functions as F
@@ -87,6 +88,45 @@ def retrieve(chunks: DataFrame, request: RetrievalRequest, query_vector: list[fl
     return chosen.select(F.col("ckey").alias("chunk_id"), "score", "final_rank")
 
 
+# What each strategy reads, in order, and the action it is traced by.
+READS = {"none": (), "summary_only": ("documents",), "section_level": ("sections",), "structured_only": ("facts",), "hybrid": ("documents", "sections", "facts", "chunks"), "detailed": ("documents", "sections", "chunks")}
+ACTIONS = {
+    "none": "abstain_before_search", "summary_only": "document_summary_lookup", "section_level": "expand_to_section_summaries", "structured_only": "structured_financial_fact_lookup",
+    "hybrid": "combine_structured_and_text_evidence", "detailed": "detailed_chunk_search",
+}
+
+
+def strategy_evidence(strategy: str, attempt: int, most_chunks: int, sources: dict[str, Callable[[], DataFrame]], search: Callable[[str, int], DataFrame]) -> tuple[DataFrame | None, str]:
+    """(evidence of a strategy's sources in one frame, action). `search` takes a mode and how many chunks to find.
+
+    Each attempt asks for more chunks; a detailed one after the first searches by words alone. Columns that a source lacks are null.
+    """
+    again = strategy == "detailed" and attempt > 1
+    parts = [search("lexical" if again else "hybrid", min(most_chunks, 8 + 4 * attempt)) if name == "chunks" else sources[name]() for name in READS[strategy]]
+    out = None
+    for part in parts:
+        out = part if out is None else out.unionByName(part, allowMissingColumns=True)
+    return out, "lexical_fallback" if again else ACTIONS[strategy]
+
+
+def compared_modes(chunks: DataFrame, queries: list[tuple[str, str, list[float]]], expected: DataFrame, key: str = "key", top_k: int = 10) -> DataFrame:
+    """Recall, precision and share of copies of dense, lexical and hybrid retrieval over some queries (name, text, vector).
+
+    `chunks` also has the key that expected (query, key) names; results of all modes and queries are one frame.
+    """
+    found = None
+    names = chunks.select(F.col("chunk_id").cast("string").alias("_id"), F.col(key).alias("key"))
+    for mode in ("dense", "lexical", "hybrid"):
+        for name, text, vector in queries:
+            got = retrieve(chunks, RetrievalRequest(text, mode=mode, top_k=top_k), vector).select("chunk_id").join(names, F.col("chunk_id") == F.col("_id"))
+            part = got.select(F.lit(mode).alias("mode"), F.lit(name).alias("query"), "key")
+            found = part if found is None else found.unionByName(part)
+    if found is None:
+        raise ValueError("no queries")
+    place = F.row_number().over(W.partitionBy("mode", "query", "key").orderBy(F.lit(1)))
+    return retrieval_quality(found.withColumn("copy", place > 1), expected)
+
+
 # The order in which kinds of evidence fill a context.
 PRIORITY = {"document_summary": 0, "section_summary": 1, "financial_fact": 2, "chunk": 3}
 

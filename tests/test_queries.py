@@ -28,7 +28,7 @@ def oracle(sf):
 def test_query_equals_its_sql(spark, sf, oracle, name):
     df = catalogue.QUERIES[name](spark, sf)
     rows = df.collect()
-    if name not in catalogue.ORACLES:
+    if name not in catalogue.ORACLES:  # tests/test_oracles.py compares these
         assert rows
         return
     found = oracle.execute(catalogue.ORACLES[name])
@@ -91,6 +91,29 @@ def test_context_keeps_its_budget():
     assert [e["label"] for e in taken] == ["c0", "c1", "c2"] and taken[-1]["tokens"] == 20
 
 
+def test_strategies_read_their_sources(spark):
+    from ledgerlake.operators.retrieval import strategy_evidence
+
+    frame = lambda kind: spark.createDataFrame([(kind,)], "kind string")
+    sources = {k: lambda k=k: frame(k) for k in ("documents", "sections", "facts")}
+    asked = []
+    search = lambda mode, n: asked.append((mode, n)) or spark.createDataFrame([("chunk", 1)], "kind string, rank int")
+    for strategy, attempt, kinds, action in (("summary_only", 1, ["documents"], "document_summary_lookup"), ("hybrid", 1, ["documents", "sections", "facts", "chunk"], "combine_structured_and_text_evidence"), ("detailed", 2, ["documents", "sections", "chunk"], "lexical_fallback")):
+        rows, said = strategy_evidence(strategy, attempt, 14, sources, search)
+        assert [r.kind for r in rows.collect()] == kinds and said == action
+    assert asked == [("hybrid", 12), ("lexical", 14)] and strategy_evidence("none", 1, 5, sources, search) == (None, "abstain_before_search")
+
+
+def test_modes_are_compared(spark):
+    from ledgerlake.operators.retrieval import compared_modes
+
+    rows = [(1, 1, "alpha beta one", [1.0, 0.0], "p", "a"), (2, 2, "gamma delta two", [0.0, 1.0], "p", "b"), (3, 3, "alpha epsilon three", [0.9, 0.1], "p", "c")]
+    chunks = spark.createDataFrame(rows, "chunk_id long, document_id long, text string, embedding array<double>, period string, key string")
+    expected = spark.createDataFrame([("q", "a"), ("q", "c")], "query string, key string")
+    got = {r["mode"]: (r.recall, round(r.precision, 3), r.duplicate_rate) for r in compared_modes(chunks, [("q", "alpha", [1.0, 0.0])], expected, top_k=2).collect()}
+    assert got == {"dense": (1.0, 1.0, 0.0), "lexical": (1.0, 1.0, 0.0), "hybrid": (1.0, 1.0, 0.0)}
+
+
 def test_accepted_events_stream(spark, tmp_path):
     from ledgerlake.streaming.events import append_once, event_stream
 
