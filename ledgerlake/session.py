@@ -35,7 +35,11 @@ def shared_folder(spark: SparkSession) -> str:
     """A new path in the folder that all executors see: spark.checkpoint.dir, or on one machine (tests) one of our own."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root is None:
-        if not spark.sparkContext.master.startswith("local["):
+        own = spark.sparkContext._jsc.sc().getCheckpointDir()
+        root = None if own.isEmpty() else own.get()
+    if root is None:
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = tempfile.mkdtemp(prefix="ledgerlake-")
     return f"{root}/{uuid.uuid4().hex}"
