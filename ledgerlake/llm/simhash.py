@@ -12,6 +12,9 @@ Null or empty text: fingerprint zero, linked like any other. Copies have one fin
 that repeat a doc_id with another text are rows of their own. A null doc_id is linked and passes links on, but names no
 component: a group without any doc_id has the component null. A text of any length is read whole; its words are hashed
 in runs of bounded size. An empty table gives no rows. Columns besides doc_id, the text and `keep` are ignored.
+
+near_copies, for texts alike by five-word shingles, uses the same anchors on 128 bits over word pairs to find the pairs
+that it then checks. The same holds there, but for copies: equal texts, by a 64-bit hash, are compared once.
 """
 
 from __future__ import annotations
@@ -25,19 +28,21 @@ from pyspark.sql import DataFrame, functions as F, types as T
 from ledgerlake.llm.shared import connected_components, local_components, slices, stored, texts
 
 
-def fingerprints_of(batch: list[str], size: int = 3, seed: int = 42, block: int = 100_000) -> np.ndarray:
-    """The 64-bit fingerprints of some texts; shingles are hashed and added up in runs of about `block`."""
-    from xxhash import xxh64_intdigest
+def fingerprints_of(batch: list[str], size: int = 3, seed: int = 42, block: int = 100_000, bits: int = 64) -> np.ndarray:
+    """The fingerprints of some texts, of 64 bits, or of 128 in two columns; shingles are hashed and added up in runs of about `block`."""
+    from xxhash import xxh3_128_digest, xxh64_digest
 
-    ones = np.zeros((len(batch), 64), np.int64)
+    digest = {64: xxh64_digest, 128: xxh3_128_digest}[bits]  # big-endian bytes
+    ones = np.zeros((len(batch), bits), np.int64)
     counts = np.zeros(len(batch), np.int64)
-    hashes: list[int] = []
+    hashes: list[bytes] = []
     owner: list[tuple[int, int]] = []
 
     def add() -> None:
-        bits = np.unpackbits(np.array(hashes, np.uint64).view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
+        each = np.frombuffer(b"".join(hashes), np.uint8).reshape(-1, bits // 8)[:, ::-1]
+        bits_of = np.unpackbits(each, axis=1, bitorder="little")
         which, n = np.array(owner, np.int64).T
-        np.add.at(ones, which, np.add.reduceat(bits, np.cumsum(n) - n, axis=0, dtype=np.int64))
+        np.add.at(ones, which, np.add.reduceat(bits_of, np.cumsum(n) - n, axis=0, dtype=np.int64))
         hashes.clear()
         owner.clear()
 
@@ -49,14 +54,15 @@ def fingerprints_of(batch: list[str], size: int = 3, seed: int = 42, block: int
         ends = np.cumsum(lengths)
         begins, stops = ends - lengths, ends[min(size, len(words)) - 1 :] - 1 if words else ends
         for i in range(0, int(counts[k]), block):
-            own = [xxh64_intdigest(joined[a:b], seed) for a, b in zip(begins[i : i + block].tolist(), stops[i : i + block].tolist(), strict=False)]
+            own = [digest(joined[a:b], seed) for a, b in zip(begins[i : i + block].tolist(), stops[i : i + block].tolist(), strict=False)]
             hashes.extend(own)
             owner.append((k, len(own)))
             if len(hashes) >= block:
                 add()
     if hashes:
         add()
-    return np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64).ravel()
+    found = np.packbits(2 * ones > counts[:, None], axis=1, bitorder="little").view(np.uint64)
+    return found.ravel() if bits == 64 else found
 
 
 def with_fingerprints(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -217,6 +223,148 @@ def near_links(fingerprints: DataFrame, distance: int = 3, hot: int = 30_000, bu
     return _together([*parts, compared(paired, paired.count())])
 
 
+def with_signatures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), size: int = 2) -> DataFrame:
+    """(doc_id, keep columns, node, a, b): node names the text, a and b hold its 128 bits over runs of `size` words."""
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("_text"))
+    schema = T.StructType([*rows.drop("_text").schema.fields, T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "_text"):
+                own = fingerprints_of(texts(part, "_text"), size, bits=128).view(np.int64)
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own[:, 0]), pa.array(own[:, 1])], names=[f.name for f in schema.fields])
+
+    return rows.mapInArrow(run, schema)
+
+
+def _spread_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(0, batch.num_rows, 10_000):
+            part = batch.slice(k, 10_000)
+            for word, column in enumerate(("a", "b")):
+                which, keys = keys_of(_unsigned(part.column(column)))
+                rows = part.take(pa.array(which))
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((keys | np.uint64(word) << np.uint64(33)).view(np.int64))], names=["node", "a", "b", "key"])
+
+
+def pairs_within(keys: np.ndarray, fps: np.ndarray, distance: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs (as positions) of rows of one key at most `distance` bits apart; fps has a row of words each.
+
+    All pairs where a key has up to `small` rows. Where it has more, the first row left leads, the rows near it are
+    paired with it and each with the next of them, and leave; so a key has two pairs a row at most.
+    """
+    order = np.lexsort((*fps.T[::-1], keys))
+    keys, fps = keys[order], fps[order]
+    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
+    sizes = np.diff(np.append(starts, len(keys)))
+    apart = lambda x, y: np.bitwise_count(fps[x] ^ fps[y]).sum(1, dtype=np.int64)
+    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    rows = np.flatnonzero(np.repeat((sizes <= small) & (sizes > 1), sizes))
+    for d in range(1, int(sizes[sizes <= small].max(initial=1))):
+        rows = rows[rows + d < len(keys)]
+        rows = rows[keys[rows] == keys[rows + d]]
+        near = rows[apart(rows, rows + d) <= distance]
+        left.append(near)
+        right.append(near + d)
+    for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
+        rest = np.arange(start, start + size)
+        while len(rest) > 1:
+            close = apart(rest, rest[:1]) <= distance
+            near = rest[close]
+            left += [np.full(len(near) - 1, near[0]), near[1:-1]]
+            right += [near[1:], near[2:]]
+            rest = rest[~close]
+    return order[np.concatenate(left)], order[np.concatenate(right)]
+
+
+def near_pairs(nodes: DataFrame, distance: int = 32, hot: int = 30_000, rounds: int = 8, bucket_rows: int = 500_000) -> DataFrame:
+    """Distinct pairs (src, dst) of nodes (node, a, b) that share an anchor and differ in at most `distance` of 128 bits.
+
+    Two fingerprints with at most two differing bits in any of the four halves share an anchor. Anchors of more than
+    `hot` rows are led in rounds: rows near an anchor's first row are paired with it and leave. What is still too large
+    after `rounds` is dealt by hash into blocks of about `hot` / 2, and every two blocks meet.
+    """
+    least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        fps = np.stack([_unsigned(table.column(c)) for c in ("a", "b")], axis=1)
+        a, b = pairs_within(_unsigned(table.column("key")), fps, distance)
+        node = np.asarray(table.column("node"))
+        pairs = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
+        return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
+
+    def compared(rows: DataFrame, expected: int) -> DataFrame:
+        buckets = max(least, expected // bucket_rows + 1)
+        dealt = rows.select("node", "a", "b", "key", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+        return dealt.groupBy("bucket").applyInArrow(compare, "src long, dst long")
+
+    rows = nodes.select("node", "a", "b").mapInArrow(_spread_wide, "node long, a long, b long, key long")
+    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
+    crowded = stored(counts.filter(F.col("n") > hot).select(F.col("key").alias("_key")), "crowded")
+    expected = nodes.count() * 64
+    if crowded.isEmpty():
+        return compared(rows, expected).dropDuplicates()
+    same = F.col("key") == F.col("_key")
+    parts = [compared(rows.join(crowded, same, "left_anti"), expected)]
+    rest = stored(rows.join(crowded, same, "left_semi"), "crowded")
+    for _ in range(rounds):
+        ahead = stored(rest.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("node", "a", "b")).alias("_lead"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "leaders")
+        if ahead.isEmpty():
+            break
+        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("_lead.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("_lead.b")))
+        led = stored(rest.join(ahead, same, "left").withColumn("near", F.coalesce(apart <= distance, F.lit(False))), "led")
+        parts.append(led.filter("near and node <> _lead.node").select(F.least("node", "_lead.node").alias("src"), F.greatest("node", "_lead.node").alias("dst")))
+        rest = led.filter("not near").select("node", "a", "b", "key")
+    sizes = stored(rest.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")), "sizes")
+    blocks = F.when(F.col("n") > hot, F.ceil(F.col("n") * 2 / hot)).otherwise(1).cast("long")
+    own = F.pmod(F.xxhash64("node"), blocks)
+    meeting = rest.join(sizes, same).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    paired = stored(meeting.select("node", "a", "b", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")), "blocks")
+    return _together([*parts, compared(paired, paired.count())]).dropDuplicates()
+
+
+def shingle_sets(rows: DataFrame, size: int, block: int = 100_000) -> DataFrame:
+    """(node, shingles) of rows (node, text): distinct hashes of runs of `size` words; a shorter text is one run."""
+    from xxhash import xxh64_intdigest
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for part in slices(batch, "text"):
+                sets = []
+                for text in texts(part, "text"):
+                    words = text.encode().lower().split()
+                    n = max(1, len(words) - size + 1) if words else 0
+                    runs = [np.fromiter((xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(i, min(i + block, n))), np.uint64) for i in range(0, n, block)]
+                    sets.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *runs])).view(np.int64))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+
+
+def near_copies(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), similarity: float = 0.8, size: int = 5) -> DataFrame:
+    """(doc_id, keep columns, node, root, component_id) of every row; root names a group of texts linked as near copies.
+
+    Texts are linked where their sets of `size`-word shingles have a Jaccard similarity of at least `similarity`. The
+    pairs to check come from anchors of a SimHash over word pairs, which changes less with a changed word than one over
+    longer shingles would; the check itself is exact. Equal texts are one node. Texts without a word are linked.
+    """
+    marked = stored(with_signatures(docs, text, keep), "signatures")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
+    pairs = stored(near_pairs(nodes), "pairs")
+    ends = pairs.select(F.explode(F.array("src", "dst")).alias("_end")).distinct()
+    own = docs.select(F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("text")).join(ends, F.col("node") == F.col("_end"), "left_semi")
+    sets = stored(shingle_sets(own.groupBy("node").agg(F.first("text").alias("text")), size), "shingles")
+    a, b = (sets.select(F.col("node").alias(f"_{x}"), F.col("shingles").alias(f"of_{x}")) for x in ("src", "dst"))
+    both = pairs.join(a, F.col("src") == F.col("_src")).join(b, F.col("dst") == F.col("_dst"))
+    shared = F.size(F.array_intersect("of_src", "of_dst"))
+    alike = both.filter(shared >= similarity * (F.size("of_src") + F.size("of_dst") - shared)).select("src", "dst")
+    found = connected_components(stored(alike, "alike")).select(F.col("node").alias("_n"), "component")
+    rooted = nodes.join(found, F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("component", "node").alias("root"))
+    names = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))
+    named = rooted.join(names, F.col("root") == F.col("_r")).select(F.col("node").alias("_node"), "root", "component_id")
+    return marked.join(named, F.col("node") == F.col("_node")).select("doc_id", *keep, "node", "root", "component_id")
+
+
 def _together(parts: list[DataFrame]) -> DataFrame:
     out = parts[0]
     for part in parts[1:]:
