@@ -13,8 +13,8 @@ that repeat a doc_id with another text are rows of their own. A null doc_id is l
 component: a group without any doc_id has the component null. A text of any length is read whole; its words are hashed
 in runs of bounded size. An empty table gives no rows. Columns besides doc_id, the text and `keep` are ignored.
 
-near_copies, for texts alike by five-word shingles, uses the same anchors on 128 bits over word pairs to find the pairs
-that it then checks. The same holds there, but for copies: equal texts, by a 64-bit hash, are compared once.
+near_copies, for texts alike by five-word shingles, uses the same anchors on 192 bits over words and word pairs to find
+the pairs that it then checks. The same holds there, but for copies: equal texts, by a 64-bit hash, are compared once.
 """
 
 from __future__ import annotations
@@ -223,16 +223,21 @@ def near_links(fingerprints: DataFrame, distance: int = 3, hot: int = 30_000, bu
     return _together([*parts, compared(paired, paired.count())])
 
 
-def with_signatures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), size: int = 2) -> DataFrame:
-    """(doc_id, keep columns, node, a, b): node names the text, a and b hold its 128 bits over runs of `size` words."""
+#: The columns of a signature: 64 bits over single words, and 128 over word pairs.
+PARTS = ("a", "b", "c")
+
+
+def with_signatures(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, keep columns, node, a, b, c): node names the text, the others hold its signature."""
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), *keep, F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("_text"))
-    schema = T.StructType([*rows.drop("_text").schema.fields, T.StructField("a", T.LongType()), T.StructField("b", T.LongType())])
+    schema = T.StructType([*rows.drop("_text").schema.fields, *[T.StructField(c, T.LongType()) for c in PARTS]])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "_text"):
-                own = fingerprints_of(texts(part, "_text"), size, bits=128).view(np.int64)
-                yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(own[:, 0]), pa.array(own[:, 1])], names=[f.name for f in schema.fields])
+                own = texts(part, "_text")
+                words = [fingerprints_of(own, 1)[:, None], fingerprints_of(own, 2, bits=128)]
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], *map(pa.array, np.hstack(words).view(np.int64).T)], names=[f.name for f in schema.fields])
 
     return rows.mapInArrow(run, schema)
 
@@ -241,10 +246,10 @@ def _spread_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for k in range(0, batch.num_rows, 10_000):
             part = batch.slice(k, 10_000)
-            for word, column in enumerate(("a", "b")):
+            for word, column in enumerate(PARTS):
                 which, keys = keys_of(_unsigned(part.column(column)))
                 rows = part.take(pa.array(which))
-                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((keys | np.uint64(word) << np.uint64(33)).view(np.int64))], names=["node", "a", "b", "key"])
+                yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((keys | np.uint64(word) << np.uint64(33)).view(np.int64))], names=["node", *PARTS, "key"])
 
 
 def pairs_within(keys: np.ndarray, fps: np.ndarray, distance: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
@@ -277,17 +282,17 @@ def pairs_within(keys: np.ndarray, fps: np.ndarray, distance: int, small: int =
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def near_pairs(nodes: DataFrame, distance: int = 32, hot: int = 30_000, rounds: int = 8, bucket_rows: int = 500_000) -> DataFrame:
-    """Distinct pairs (src, dst) of nodes (node, a, b) that share an anchor and differ in at most `distance` of 128 bits.
+def near_pairs(nodes: DataFrame, distance: int = 48, hot: int = 30_000, rounds: int = 8, bucket_rows: int = 500_000) -> DataFrame:
+    """Distinct pairs (src, dst) of nodes (node, a, b, c) that share an anchor and differ in at most `distance` of 192 bits.
 
-    Two fingerprints with at most two differing bits in any of the four halves share an anchor. Anchors of more than
+    Two signatures with at most two differing bits in any of the six halves share an anchor. Anchors of more than
     `hot` rows are led in rounds: rows near an anchor's first row are paired with it and leave. What is still too large
     after `rounds` is dealt by hash into blocks of about `hot` / 2, and every two blocks meet.
     """
     least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(table: pa.Table) -> pa.Table:
-        fps = np.stack([_unsigned(table.column(c)) for c in ("a", "b")], axis=1)
+        fps = np.stack([_unsigned(table.column(c)) for c in PARTS], axis=1)
         a, b = pairs_within(_unsigned(table.column("key")), fps, distance)
         node = np.asarray(table.column("node"))
         pairs = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
@@ -295,31 +300,31 @@ def near_pairs(nodes: DataFrame, distance: int = 32, hot: int = 30_000, rounds:
 
     def compared(rows: DataFrame, expected: int) -> DataFrame:
         buckets = max(least, expected // bucket_rows + 1)
-        dealt = rows.select("node", "a", "b", "key", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
+        dealt = rows.select("node", *PARTS, "key", F.pmod(F.xxhash64("key"), F.lit(buckets)).alias("bucket"))
         return dealt.groupBy("bucket").applyInArrow(compare, "src long, dst long")
 
-    rows = nodes.select("node", "a", "b").mapInArrow(_spread_wide, "node long, a long, b long, key long")
+    rows = nodes.select("node", *PARTS).mapInArrow(_spread_wide, "node long, a long, b long, c long, key long")
     counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
     crowded = stored(counts.filter(F.col("n") > hot).select(F.col("key").alias("_key")), "crowded")
-    expected = nodes.count() * 64
+    expected = nodes.count() * 96
     if crowded.isEmpty():
         return compared(rows, expected).dropDuplicates()
     same = F.col("key") == F.col("_key")
     parts = [compared(rows.join(crowded, same, "left_anti"), expected)]
     rest = stored(rows.join(crowded, same, "left_semi"), "crowded")
     for _ in range(rounds):
-        ahead = stored(rest.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("node", "a", "b")).alias("_lead"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "leaders")
+        ahead = stored(rest.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("node", *PARTS)).alias("_lead"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "leaders")
         if ahead.isEmpty():
             break
-        apart = F.bit_count(F.col("a").bitwiseXOR(F.col("_lead.a"))) + F.bit_count(F.col("b").bitwiseXOR(F.col("_lead.b")))
+        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"_lead.{c}"))) for c in PARTS)
         led = stored(rest.join(ahead, same, "left").withColumn("near", F.coalesce(apart <= distance, F.lit(False))), "led")
         parts.append(led.filter("near and node <> _lead.node").select(F.least("node", "_lead.node").alias("src"), F.greatest("node", "_lead.node").alias("dst")))
-        rest = led.filter("not near").select("node", "a", "b", "key")
+        rest = led.filter("not near").select("node", *PARTS, "key")
     sizes = stored(rest.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")), "sizes")
     blocks = F.when(F.col("n") > hot, F.ceil(F.col("n") * 2 / hot)).otherwise(1).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
     meeting = rest.join(sizes, same).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
-    paired = stored(meeting.select("node", "a", "b", F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")), "blocks")
+    paired = stored(meeting.select("node", *PARTS, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")), "blocks")
     return _together([*parts, compared(paired, paired.count())]).dropDuplicates()
 
 
@@ -345,11 +350,11 @@ def near_copies(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (),
     """(doc_id, keep columns, node, root, component_id) of every row; root names a group of texts linked as near copies.
 
     Texts are linked where their sets of `size`-word shingles have a Jaccard similarity of at least `similarity`. The
-    pairs to check come from anchors of a SimHash over word pairs, which changes less with a changed word than one over
-    longer shingles would; the check itself is exact. Equal texts are one node. Texts without a word are linked.
+    pairs to check come from anchors of a SimHash over words and word pairs, which changes less with a changed word than
+    one over longer shingles would; the check itself is exact. Equal texts are one node. Texts without a word are linked.
     """
     marked = stored(with_signatures(docs, text, keep), "signatures")
-    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), F.first("a").alias("a"), F.first("b").alias("b")), "nodes")
+    nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in PARTS]), "nodes")
     pairs = stored(near_pairs(nodes), "pairs")
     ends = pairs.select(F.explode(F.array("src", "dst")).alias("_end")).distinct()
     own = docs.select(F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("text")).join(ends, F.col("node") == F.col("_end"), "left_semi")

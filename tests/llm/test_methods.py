@@ -229,9 +229,9 @@ def test_near_copies_odd_rows(spark):
 def test_near_pairs_of_crowded_anchors(spark, hot, rounds):
     """Families of up to 300 fingerprints within a few bits, one bit of which none shares: none is lost, none is far."""
     rng = np.random.default_rng(8)
-    centres = rng.integers(0, 1 << 63, (6, 2), dtype=np.uint64)
-    rows = [(k, *(int(centres[k % 6, w]) ^ sum({1 << int(b) for b in rng.integers(0, 62, 2)}) for w in (0, 1))) for k in range(600 if hot == 4 else 1800)]
-    nodes = spark.createDataFrame([(k, *np.array([a, b], np.uint64).view(np.int64).tolist()) for k, a, b in rows], "node long, a long, b long")
+    centres = rng.integers(0, 1 << 63, (6, 3), dtype=np.uint64)
+    rows = [(k, *(int(centres[k % 6, w]) ^ sum({1 << int(b) for b in rng.integers(0, 62, 2)}) for w in (0, 1, 2))) for k in range(600 if hot == 4 else 1800)]
+    nodes = spark.createDataFrame([(k, *np.array(own, np.uint64).view(np.int64).tolist()) for k, *own in rows], "node long, a long, b long, c long")
     pairs = near_pairs(nodes, hot=hot, rounds=rounds).collect()
     assert len(pairs) == len(set(pairs)) and all(r.src < r.dst and r.src % 6 == r.dst % 6 for r in pairs)
     label = local_components(len(rows), np.array([r.src for r in pairs]), np.array([r.dst for r in pairs]))
