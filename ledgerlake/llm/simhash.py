@@ -256,9 +256,10 @@ def pairs_within(keys: np.ndarray, fps: np.ndarray, distance: int, small: int =
     """Pairs (as positions) of rows of one key at most `distance` bits apart; fps has a row of words each.
 
     All pairs where a key has up to `small` rows. Where it has more, the first row left leads, the rows near it are
-    paired with it and each with the next of them, and leave; so a key has two pairs a row at most.
+    paired with it and each with the next of them, and leave; so a key has two pairs a row at most. Rows in one order
+    under all keys give mostly the same pairs.
     """
-    order = np.lexsort((*fps.T[::-1], keys))
+    order = np.argsort(keys, kind="stable")
     keys, fps = keys[order], fps[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
@@ -282,7 +283,7 @@ def pairs_within(keys: np.ndarray, fps: np.ndarray, distance: int, small: int =
     return order[np.concatenate(left)], order[np.concatenate(right)]
 
 
-def near_pairs(nodes: DataFrame, distance: int = 48, hot: int = 30_000, rounds: int = 8, bucket_rows: int = 500_000) -> DataFrame:
+def near_pairs(nodes: DataFrame, distance: int = 30, hot: int = 30_000, rounds: int = 8, bucket_rows: int = 500_000) -> DataFrame:
     """Distinct pairs (src, dst) of nodes (node, a, b, c) that share an anchor and differ in at most `distance` of 192 bits.
 
     Two signatures with at most two differing bits in any of the six halves share an anchor. Anchors of more than
@@ -292,6 +293,7 @@ def near_pairs(nodes: DataFrame, distance: int = 48, hot: int = 30_000, rounds:
     least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("node")
         fps = np.stack([_unsigned(table.column(c)) for c in PARTS], axis=1)
         a, b = pairs_within(_unsigned(table.column("key")), fps, distance)
         node = np.asarray(table.column("node"))
@@ -304,9 +306,14 @@ def near_pairs(nodes: DataFrame, distance: int = 48, hot: int = 30_000, rounds:
         return dealt.groupBy("bucket").applyInArrow(compare, "src long, dst long")
 
     rows = nodes.select("node", *PARTS).mapInArrow(_spread_wide, "node long, a long, b long, c long, key long")
-    counts = rows.groupBy("key").agg(F.count(F.lit(1)).alias("n"))
-    crowded = stored(counts.filter(F.col("n") > hot).select(F.col("key").alias("_key")), "crowded")
     expected = nodes.count() * 96
+    # cells of many anchors are counted first: only where one holds too much can an anchor do so
+    cell = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(expected * 10 // hot + 1))
+    heavy = stored(rows.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("_cell"), "heavy")
+    if heavy.isEmpty():
+        return compared(rows, expected).dropDuplicates()
+    counts = rows.join(heavy, cell == F.col("_cell"), "left_semi").groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
+    crowded = stored(counts.filter(F.col("n") > hot).select("_key"), "crowded")
     if crowded.isEmpty():
         return compared(rows, expected).dropDuplicates()
     same = F.col("key") == F.col("_key")
@@ -329,8 +336,8 @@ def near_pairs(nodes: DataFrame, distance: int = 48, hot: int = 30_000, rounds:
 
 
 def shingle_sets(rows: DataFrame, size: int, block: int = 100_000) -> DataFrame:
-    """(node, shingles) of rows (node, text): distinct hashes of runs of `size` words; a shorter text is one run."""
-    from xxhash import xxh64_intdigest
+    """(node, shingles) of rows (node, text): distinct 32-bit hashes of runs of `size` words; a shorter text is one run."""
+    from xxhash import xxh32_intdigest
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -339,11 +346,11 @@ def shingle_sets(rows: DataFrame, size: int, block: int = 100_000) -> DataFrame:
                 for text in texts(part, "text"):
                     words = text.encode().lower().split()
                     n = max(1, len(words) - size + 1) if words else 0
-                    runs = [np.fromiter((xxh64_intdigest(b" ".join(words[k : k + size])) for k in range(i, min(i + block, n))), np.uint64) for i in range(0, n, block)]
-                    sets.append(np.unique(np.concatenate([np.zeros(0, np.uint64), *runs])).view(np.int64))
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "shingles"])
+                    runs = [np.fromiter((xxh32_intdigest(b" ".join(words[k : k + size])) for k in range(i, min(i + block, n))), np.uint32) for i in range(0, n, block)]
+                    sets.append(np.unique(np.concatenate([np.zeros(0, np.uint32), *runs])).view(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(sets, pa.list_(pa.int32()))], names=["node", "shingles"])
 
-    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<long>")
+    return rows.select("node", "text").mapInArrow(run, "node long, shingles array<int>")
 
 
 def near_copies(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), similarity: float = 0.8, size: int = 5) -> DataFrame:
@@ -351,14 +358,15 @@ def near_copies(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (),
 
     Texts are linked where their sets of `size`-word shingles have a Jaccard similarity of at least `similarity`. The
     pairs to check come from anchors of a SimHash over words and word pairs, which changes less with a changed word than
-    one over longer shingles would; the check itself is exact. Equal texts are one node. Texts without a word are linked.
+    one over longer shingles would; the check compares the whole sets, by 32-bit hashes. Equal texts are one node. Texts without a word are linked.
     """
     marked = stored(with_signatures(docs, text, keep), "signatures")
     nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in PARTS]), "nodes")
     pairs = stored(near_pairs(nodes), "pairs")
-    ends = pairs.select(F.explode(F.array("src", "dst")).alias("_end")).distinct()
+    # written down first, so that only a small table is broadcast, and texts without a pair then stay where they are
+    ends = stored(pairs.select(F.explode(F.array("src", "dst")).alias("_end")).distinct(), "ends")
     own = docs.select(F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("text")).join(ends, F.col("node") == F.col("_end"), "left_semi")
-    sets = stored(shingle_sets(own.groupBy("node").agg(F.first("text").alias("text")), size), "shingles")
+    sets = stored(shingle_sets(own, size).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
     a, b = (sets.select(F.col("node").alias(f"_{x}"), F.col("shingles").alias(f"of_{x}")) for x in ("src", "dst"))
     both = pairs.join(a, F.col("src") == F.col("_src")).join(b, F.col("dst") == F.col("_dst"))
     shared = F.size(F.array_intersect("of_src", "of_dst"))
