@@ -112,3 +112,65 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(len(d.w) - coalesce(k
        sha256(coalesce(k.kept, '')) AS kept_sha256
 FROM d LEFT JOIN kept k ON d.doc_id = k.doc_id
 """
+
+
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.negatives import hard_negatives
+
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label").cast("long") + 1) % 10).otherwise(F.col("label").cast("long"))
+    return hard_negatives(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, label=label)
+
+
+ORACLES["op11_hard_negatives"] = """
+WITH v AS (
+  SELECT row_number() OVER () AS r, vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+         list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(256 * x)) AS q
+  FROM embeddings
+  WHERE vec_id IS NOT NULL AND label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (
+  SELECT a.r AS ar, a.vec_id AS anchor_id, c.r AS cr, c.vec_id AS id, a.label = c.label AS same, CAST(list_inner_product(a.q, c.q) AS BIGINT) AS score
+  FROM v a JOIN v c ON a.vec_id % 100 = 0 AND a.r <> c.r AND len(a.q) = len(c.q)),
+p AS (SELECT * FROM s WHERE same QUALIFY row_number() OVER (PARTITION BY ar ORDER BY score DESC, id) <= 5)
+SELECT p.anchor_id, p.id AS positive_id, CAST(row_number() OVER (PARTITION BY p.ar, p.cr ORDER BY n.score DESC, n.id) AS INTEGER) AS rank,
+       n.id AS negative_id, p.score AS positive_score, n.score AS negative_score
+FROM p JOIN s n ON p.ar = n.ar AND NOT n.same AND 80 * p.score <= 100 * n.score AND n.score <= p.score
+QUALIFY rank <= 5
+"""
+
+QUERIES |= {"op11_hard_negatives": op11_hard_negatives}
+
+
+def op13_centroid_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.centroids import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def _lloyd_sql(rounds: int = 10) -> str:
+    """The rounds unrolled, each a table of centroids (c, q) from the one before."""
+    near = "SELECT v.r, v.vec_id, v.q, arg_min(k.c, (list_inner_product(v.q, v.q) + list_inner_product(k.q, k.q) - 2 * list_inner_product(v.q, k.q)) * 1000 + k.c) AS cluster FROM v, c{n} k GROUP BY v.r, v.vec_id, v.q"
+    steps = []
+    for n in range(rounds):
+        steps.append(f"a{n} AS MATERIALIZED ({near.format(n=n)})")
+        steps.append(f"s{n} AS (SELECT cluster AS c, i, floor(sum(x) / count(*)) AS x FROM (SELECT cluster, unnest(q) AS x, unnest(range(64)) AS i FROM a{n}) GROUP BY ALL)")
+        steps.append(f"c{n + 1} AS MATERIALIZED (SELECT o.c, coalesce(m.q, o.q) AS q FROM c{n} o LEFT JOIN (SELECT c, list(x ORDER BY i) AS q FROM s{n} GROUP BY c) m ON o.c = m.c)")
+    return f"""
+WITH v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: floor(1024 * x)) AS q
+  FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY h) - 1 AS c, q FROM (SELECT sha256('3:' || vec_id) AS h, q FROM v ORDER BY h LIMIT 8)),
+{", ".join(steps)},
+last AS MATERIALIZED ({near.format(n=rounds)}),
+d AS (
+  SELECT l.vec_id, l.cluster, list_inner_product(l.q, l.q) + list_inner_product(k.q, k.q) - 2 * list_inner_product(l.q, k.q) AS distance,
+         sha256(array_to_string(list_transform(k.q, lambda x: CAST(CAST(x AS BIGINT) AS VARCHAR)), ',')) AS centroid_sha256
+  FROM last l JOIN c{rounds} k ON l.cluster = k.c)
+SELECT vec_id, CAST(cluster AS INTEGER) AS cluster, CAST(distance AS BIGINT) AS distance, CAST(sum(distance) OVER (PARTITION BY cluster) AS BIGINT) AS cluster_inertia,
+       CAST(sum(distance) OVER () AS BIGINT) AS inertia, centroid_sha256
+FROM d
+"""
+
+
+ORACLES["op13_centroid_clustering"] = _lloyd_sql()
+
+QUERIES |= {"op13_centroid_clustering": op13_centroid_clustering}
