@@ -174,3 +174,20 @@ FROM d
 ORACLES["op13_centroid_clustering"] = _lloyd_sql()
 
 QUERIES |= {"op13_centroid_clustering": op13_centroid_clustering}
+
+
+def op12_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ledgerlake.llm.warc import archived
+
+    return archived(table(spark, sf_dir, "pages"))
+
+
+ORACLES["op12_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, CAST(octet_length(encode(coalesce(html, ''))) AS BIGINT) AS n FROM pages),
+m AS (SELECT *, CASE WHEN n >= 1000 THEN max(page_id) OVER (PARTITION BY h) ELSE page_id END AS first FROM p)
+SELECT page_id, n AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN page_id IS DISTINCT FROM first THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM first THEN first END AS refers_to
+FROM m
+"""
+
+QUERIES |= {"op12_warc": op12_warc}
