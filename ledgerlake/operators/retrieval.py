@@ -22,9 +22,9 @@ def top_k(scored: DataFrame, score: str, key: str, k: int) -> DataFrame:
 
 
 def dense(chunks: DataFrame, query: list[float], k: int, key: str = "chunk_id", vector: str = "embedding") -> DataFrame:
-    """Exact cosine to the query vector."""
+    """Exact cosine to the query vector; a chunk without a vector has none."""
     wanted = F.array(*[F.lit(float(x)) for x in query])
-    return top_k(chunks.select(key, cosine(F.col(vector), wanted).alias("score")), "score", key, k)
+    return top_k(chunks.filter(F.col(vector).isNotNull()).select(key, cosine(F.col(vector), wanted).alias("score")), "score", key, k)
 
 
 def lexical(chunks: DataFrame, query: str, k: int, key: str = "chunk_id", text: str = "text") -> DataFrame:
@@ -83,7 +83,8 @@ def retrieve(chunks: DataFrame, request: RetrievalRequest, query_vector: list[fl
     if rerank is not None:
         ranked = rerank(ranked)
     body = pool.join(F.broadcast(ranked), "chunk_id")  # 1,000 rows at most
-    slim = body.select(F.lit(1).alias("_g"), F.col("chunk_id").cast("string").alias("ckey"), "score", "document_id", F.col("period").cast("string").alias("period"), shingles("text").alias("sh"), F.sha2(F.col("text").cast("binary"), 256).alias("h"))
+    words = F.coalesce("text", F.lit(""))
+    slim = body.select(F.lit(1).alias("_g"), F.col("chunk_id").cast("string").alias("ckey"), "score", "document_id", F.col("period").cast("string").alias("period"), shingles(words).alias("sh"), F.sha2(words.cast("binary"), 256).alias("h"))
     chosen = slim.groupBy("_g").applyInPandas(lambda pdf: _select(pdf.drop(columns="_g"), request), "ckey string, score double, final_rank long")
     return chosen.select(F.col("ckey").alias("chunk_id"), "score", "final_rank")
 

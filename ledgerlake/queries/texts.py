@@ -141,7 +141,7 @@ def r5(spark, sf):
     chunks = docs(spark, sf).select(F.col("doc_id").alias("chunk_id"), (F.col("doc_id") % 97).alias("document_id"), "text", F.col("lang").alias("period"))
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("_v"), F.col("embedding").cast("array<double>").alias("embedding"))
     wanted = vectors.filter("_v = 0").first()["embedding"]
-    return R.retrieve(chunks.join(vectors, F.col("chunk_id") == F.col("_v")), RetrievalRequest("the thst that", per_period=6), wanted)
+    return R.retrieve(chunks.join(vectors, F.col("chunk_id") == F.col("_v"), "left"), RetrievalRequest("the thst that", per_period=6), wanted)
 
 
 @query("a2_documents_by_kind", "SELECT lang, source, count(*) AS n FROM documents GROUP BY ALL")
