@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ledgerlake.catalogue import query
-from ledgerlake.session import table
+from ledgerlake.session import shared_folder, table
+from ledgerlake.sources.event_log import EventLog
 from ledgerlake.streaming import events as E, states as S
 
 
@@ -13,6 +14,16 @@ def log(spark, sf):
     return E.event_stream(spark, sf, table(spark, sf, "events").schema)
 
 
+@query("st1_event_source", "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id > 100")
+def st1(spark, sf):
+    """The log by cursor in pages of 100, first as far as its middle, then to its end by a stream started anew."""
+    spark.dataSource.register(EventLog)
+    path, middle = shared_folder(spark), table(spark, sf, "events").agg(F.floor(F.avg("event_id"))).first()[0]
+    pages = lambda **more: spark.readStream.format("event_log").options(ident="event_id", cursor=100, **more).load(f"{sf}/events.parquet")
+    E.followed(pages(until=middle), path, lambda: True)
+    return E.followed(pages(), path, lambda: True).select("event_id", "ts", "user_id", "event_type", "value")
+
+
 @query("st2_append_once", "SELECT DISTINCT user_id, event_type FROM events")
 def st2(spark, sf):
     """The delay covers the whole log, so each key stays once."""

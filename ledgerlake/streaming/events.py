@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import time
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
@@ -74,6 +75,24 @@ def transitions(states: DataFrame, key: str, order: str, status: str) -> DataFra
     return states.withColumn("before", before).filter(~F.col(status).eqNullSafe(F.col("before")))
 
 
+def followed(stream: DataFrame, path: str, over: Callable[[], bool], poll: float = 0.25, most: float = 600) -> DataFrame:
+    """What a stream yields until its run is over and all is read, added to the table at `path`/rows; a later call goes on from there."""
+    until = time.monotonic() + most
+    run = stream.writeStream.format("parquet").option("checkpointLocation", f"{path}/checkpoint").option("path", f"{path}/rows").trigger(processingTime="0 seconds").start()
+    try:
+        while True:
+            last = over()  # asked first: events may come until then
+            run.processAllAvailable()
+            if last:
+                break
+            if time.monotonic() > until:
+                raise TimeoutError(f"the run wasn't over after {most} seconds")
+            time.sleep(poll)
+    finally:
+        run.stop()
+    return stream.sparkSession.read.schema(stream.schema).parquet(f"{path}/rows")
+
+
 def drained(stream: DataFrame, seconds: int = 600) -> DataFrame:
     """All that a stream yields of what is there now, written as a table with its checkpoint in the shared folder."""
     path = shared_folder(stream.sparkSession)
