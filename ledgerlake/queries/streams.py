@@ -7,21 +7,26 @@ from pyspark.sql import functions as F
 from ledgerlake.catalogue import query
 from ledgerlake.session import shared_folder, table
 from ledgerlake.sources.event_log import EventLog
-from ledgerlake.streaming import events as E, states as S
+from ledgerlake.streaming import events as E, processors as P, states as S
 
 
 def log(spark, sf):
     return E.event_stream(spark, sf, table(spark, sf, "events").schema)
 
 
-@query("st1_event_source", "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id > 100")
-def st1(spark, sf):
-    """The log by cursor in pages of 100, first as far as its middle, then to its end by a stream started anew."""
+def twice(spark, sf, made, **options):
+    """What `made` makes of the log by cursor: first as far as its middle, then to its end by a stream started anew."""
     spark.dataSource.register(EventLog)
     path, middle = shared_folder(spark), table(spark, sf, "events").agg(F.floor(F.avg("event_id"))).first()[0]
-    pages = lambda **more: spark.readStream.format("event_log").options(ident="event_id", cursor=100, **more).load(f"{sf}/events.parquet")
+    pages = lambda **more: made(spark.readStream.format("event_log").options(ident="event_id", **options, **more).load(f"{sf}/events.parquet"))
     E.followed(pages(until=middle), path, lambda: True)
-    return E.followed(pages(), path, lambda: True).select("event_id", "ts", "user_id", "event_type", "value")
+    return E.followed(pages(), path, lambda: True)
+
+
+@query("st1_event_source", "SELECT event_id, ts, user_id, event_type, value FROM events WHERE event_id > 100")
+def st1(spark, sf):
+    """Pages of 100, across a restart."""
+    return twice(spark, sf, lambda log: log, cursor=100).select("event_id", "ts", "user_id", "event_type", "value")
 
 
 @query("st2_append_once", "SELECT DISTINCT user_id, event_type FROM events")
@@ -51,3 +56,23 @@ def st8(spark, sf):
 @query("st8_state_changes", "SELECT CAST(user_id AS VARCHAR) AS key, event_type AS after, before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY ts) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
 def st8_stream(spark, sf):
     return E.drained(S.state_changes(log(spark, sf), "user_id", ("event_type",), "ts")).select("key", "after", "before")
+
+
+#: In the log's place of workers and actions, and of requested states.
+WORKER, ACTION = "cast(event_id % 2 as string)", "CASE event_id % 3 WHEN 0 THEN 'release' WHEN 1 THEN 'acquire' ELSE 'renew' END"
+WANTED = "CASE event_type WHEN 'signup' THEN 'queued' WHEN 'view' THEN 'running' WHEN 'click' THEN 'cancelling' WHEN 'error' THEN 'failed' ELSE 'completed' END"
+timed = lambda log: log.withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+@query("st6_lease_processor")
+def st6(spark, sf):
+    """Leases of every user over the whole log, across a restart; tests compare with the plain steps."""
+    with P.rocks_state(spark):
+        return twice(spark, sf, lambda log: P.leases(timed(log).withColumns({"worker": F.expr(WORKER), "action": F.expr(ACTION)}), "user_id", "worker", "action", "ts", 86400.0), pages=1000)
+
+
+@query("st7_run_processor")
+def st7(spark, sf):
+    """Runs of every user over the whole log, with a deadline of two days, across a restart; tests compare with the plain steps."""
+    with P.rocks_state(spark):
+        return twice(spark, sf, lambda log: P.runs(timed(log).withColumn("wanted", F.expr(WANTED)), "user_id", "wanted", "ts", 172800.0), pages=1000)
