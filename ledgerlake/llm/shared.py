@@ -45,7 +45,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes stored tables that no later step reads; what has been made of them is stored itself."""
+    for table in tables:
+        spark = table.sparkSession
+        path = spark._jvm.org.apache.hadoop.fs.Path(table.stored_at)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
@@ -324,7 +334,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         rounds.append(ends)
         a, b = (ends.select(F.col("node").alias(f"_{x}"), F.col("component").alias(f"_to_{x}")) for x in ("src", "dst"))
         moved = links.join(a, F.col("src") == F.col("_src")).join(b, F.col("dst") == F.col("_dst")).filter("_to_src <> _to_dst")
-        links = stored(moved.select(F.col("_to_src").alias("src"), F.col("_to_dst").alias("dst")).dropDuplicates(), "links")
+        before, links = links, stored(moved.select(F.col("_to_src").alias("src"), F.col("_to_dst").alias("dst")).dropDuplicates(), "links")
+        discard(before)
     labels = rounds.pop()
     while rounds:
         labels = stored(looked_up(rounds.pop(), labels).select("node", "component"), "labels")

@@ -13,8 +13,8 @@ that repeat a doc_id with another text are rows of their own. A null doc_id is l
 component: a group without any doc_id has the component null. A text of any length is read whole; its words are hashed
 in runs of bounded size. An empty table gives no rows. Columns besides doc_id, the text and `keep` are ignored.
 
-near_copies, for texts alike by five-word shingles, uses the same anchors on 192 bits over words and word pairs to find
-the pairs that it then checks. The same holds there, but for copies: equal texts, by a 64-bit hash, are compared once.
+near_copies, for texts alike by five-word shingles, uses the same anchors on 192 bits over words and word pairs to draw
+families together, and checks the near pairs within each. The same holds there, but for copies: equal texts, by a 64-bit hash, are compared once.
 """
 
 from __future__ import annotations
@@ -25,7 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from ledgerlake.llm.shared import connected_components, local_components, slices, stored, texts
+from ledgerlake.llm.shared import connected_components, discard, local_components, slices, stored, texts
 
 
 def fingerprints_of(batch: list[str], size: int = 3, seed: int = 42, block: int = 100_000, bits: int = 64) -> np.ndarray:
@@ -121,11 +121,13 @@ def finer_keys(fps: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def links_within(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
-    """Spanning links (as positions) between rows of one key at most `distance` bits apart."""
-    order = np.lexsort((fps, keys))
+    """Spanning links (as positions) between rows of one key at most `distance` bits apart; fps has a word a row, or a row of words."""
+    fps = fps.reshape(len(fps), -1)
+    order = np.lexsort((fps[:, 0], keys))
     keys, fps = keys[order], fps[order]
     starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
     sizes = np.diff(np.append(starts, len(keys)))
+    near = lambda x, y: np.bitwise_count(x ^ y).sum(-1, dtype=np.int16) <= distance
     left, right = [], []
     rows = np.flatnonzero(np.repeat((sizes <= 64) & (sizes > 1), sizes))
     for d in range(1, int(sizes[(sizes <= 64)].max(initial=1))):
@@ -133,7 +135,7 @@ def links_within(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
         a = a[keys[a] == keys[a + d]]
         if not len(a):
             break
-        a = a[np.bitwise_count(fps[a] ^ fps[a + d]) <= distance]
+        a = a[near(fps[a], fps[a + d])]
         left.append(a)
         right.append(a + d)
     for start, size in zip(starts[sizes > 64].tolist(), sizes[sizes > 64].tolist(), strict=True):
@@ -143,7 +145,7 @@ def links_within(keys: np.ndarray, fps: np.ndarray, distance: int) -> tuple[np.n
             for j in range(i, size, 1024):
                 if label[i : i + 1024].min() == label[i : i + 1024].max() == label[j : j + 1024].min() == label[j : j + 1024].max():
                     continue  # all of them are linked already
-                a, b = np.nonzero(np.bitwise_count(own[i : i + 1024, None] ^ own[None, j : j + 1024]) <= distance)
+                a, b = np.nonzero(near(own[i : i + 1024, None], own[None, j : j + 1024]))
                 label = local_components(size, np.concatenate([np.arange(size), a + i]), np.concatenate([label, b + j]))
         far = np.flatnonzero(label != np.arange(size))
         left.append(start + label[far])
@@ -252,53 +254,22 @@ def _spread_wide(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.RecordBatch.from_arrays([*rows.columns, pa.array((keys | np.uint64(word) << np.uint64(33)).view(np.int64))], names=["node", *PARTS, "key"])
 
 
-def pairs_within(keys: np.ndarray, fps: np.ndarray, distance: int, small: int = 64) -> tuple[np.ndarray, np.ndarray]:
-    """Pairs (as positions) of rows of one key at most `distance` bits apart; fps has a row of words each.
+def family_links(nodes: DataFrame, distance: int = 30, hot: int = 30_000, bucket_rows: int = 500_000) -> DataFrame:
+    """Links (src, dst) of nodes (node, a, b, c) that connect all that share an anchor and differ in at most `distance` of 192 bits.
 
-    All pairs where a key has up to `small` rows. Where it has more, the first row left leads, the rows near it are
-    paired with it and each with the next of them, and leave; so a key has two pairs a row at most. Rows in one order
-    under all keys give mostly the same pairs.
-    """
-    order = np.argsort(keys, kind="stable")
-    keys, fps = keys[order], fps[order]
-    starts = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
-    sizes = np.diff(np.append(starts, len(keys)))
-    apart = lambda x, y: np.bitwise_count(fps[x] ^ fps[y]).sum(1, dtype=np.int64)
-    left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-    rows = np.flatnonzero(np.repeat((sizes <= small) & (sizes > 1), sizes))
-    for d in range(1, int(sizes[sizes <= small].max(initial=1))):
-        rows = rows[rows + d < len(keys)]
-        rows = rows[keys[rows] == keys[rows + d]]
-        near = rows[apart(rows, rows + d) <= distance]
-        left.append(near)
-        right.append(near + d)
-    for start, size in zip(starts[sizes > small].tolist(), sizes[sizes > small].tolist(), strict=True):
-        rest = np.arange(start, start + size)
-        while len(rest) > 1:
-            close = apart(rest, rest[:1]) <= distance
-            near = rest[close]
-            left += [np.full(len(near) - 1, near[0]), near[1:-1]]
-            right += [near[1:], near[2:]]
-            rest = rest[~close]
-    return order[np.concatenate(left)], order[np.concatenate(right)]
-
-
-def near_pairs(nodes: DataFrame, distance: int = 30, hot: int = 30_000, rounds: int = 8, bucket_rows: int = 500_000) -> DataFrame:
-    """Distinct pairs (src, dst) of nodes (node, a, b, c) that share an anchor and differ in at most `distance` of 192 bits.
-
-    Two signatures with at most two differing bits in any of the six halves share an anchor. Anchors of more than
-    `hot` rows are led in rounds: rows near an anchor's first row are paired with it and leave. What is still too large
-    after `rounds` is dealt by hash into blocks of about `hot` / 2, and every two blocks meet.
+    Two signatures with at most two differing bits in any of the six halves share an anchor. Each task sends a star for
+    each group it connects, never its pairs. An anchor of more than `hot` rows is dealt by hash into blocks of about
+    `hot` / 2, and every two blocks meet.
     """
     least = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def compare(table: pa.Table) -> pa.Table:
-        table = table.sort_by("node")
-        fps = np.stack([_unsigned(table.column(c)) for c in PARTS], axis=1)
-        a, b = pairs_within(_unsigned(table.column("key")), fps, distance)
-        node = np.asarray(table.column("node"))
-        pairs = np.unique(np.sort(np.stack([node[a], node[b]], axis=1), axis=1), axis=0)
-        return pa.table({"src": pairs[:, 0], "dst": pairs[:, 1]})
+        fps, node = np.stack([_unsigned(table.column(c)) for c in PARTS], axis=1), np.asarray(table.column("node"))
+        a, b = links_within(_unsigned(table.column("key")), fps, distance)
+        ids, inverse = np.unique(np.concatenate([node[a], node[b]]), return_inverse=True)
+        label = local_components(len(ids), inverse[: len(a)], inverse[len(a) :])
+        far = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table({"src": ids[label[far]], "dst": ids[far]})
 
     def compared(rows: DataFrame, expected: int) -> DataFrame:
         buckets = max(least, expected // bucket_rows + 1)
@@ -311,28 +282,97 @@ def near_pairs(nodes: DataFrame, distance: int = 30, hot: int = 30_000, rounds:
     cell = F.pmod(F.xxhash64("key", F.lit(1)), F.lit(expected * 10 // hot + 1))
     heavy = stored(rows.groupBy(cell.alias("_cell")).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot).select("_cell"), "heavy")
     if heavy.isEmpty():
-        return compared(rows, expected).dropDuplicates()
+        return compared(rows, expected)
     counts = rows.join(heavy, cell == F.col("_cell"), "left_semi").groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n"))
-    crowded = stored(counts.filter(F.col("n") > hot).select("_key"), "crowded")
+    crowded = stored(counts.filter(F.col("n") > hot), "crowded")
     if crowded.isEmpty():
-        return compared(rows, expected).dropDuplicates()
+        return compared(rows, expected)
     same = F.col("key") == F.col("_key")
-    parts = [compared(rows.join(crowded, same, "left_anti"), expected)]
-    rest = stored(rows.join(crowded, same, "left_semi"), "crowded")
-    for _ in range(rounds):
-        ahead = stored(rest.groupBy(F.col("key").alias("_key")).agg(F.min(F.struct("node", *PARTS)).alias("_lead"), F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "leaders")
-        if ahead.isEmpty():
-            break
-        apart = sum(F.bit_count(F.col(c).bitwiseXOR(F.col(f"_lead.{c}"))) for c in PARTS)
-        led = stored(rest.join(ahead, same, "left").withColumn("near", F.coalesce(apart <= distance, F.lit(False))), "led")
-        parts.append(led.filter("near and node <> _lead.node").select(F.least("node", "_lead.node").alias("src"), F.greatest("node", "_lead.node").alias("dst")))
-        rest = led.filter("not near").select("node", *PARTS, "key")
-    sizes = stored(rest.groupBy(F.col("key").alias("_key")).agg(F.count(F.lit(1)).alias("n")), "sizes")
-    blocks = F.when(F.col("n") > hot, F.ceil(F.col("n") * 2 / hot)).otherwise(1).cast("long")
+    blocks = F.ceil(F.col("n") * 2 / hot).cast("long")
     own = F.pmod(F.xxhash64("node"), blocks)
-    meeting = rest.join(sizes, same).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
+    meeting = rows.join(crowded, same).withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), blocks - 1)))
     paired = stored(meeting.select("node", *PARTS, F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("key")), "blocks")
-    return _together([*parts, compared(paired, paired.count())]).dropDuplicates()
+    return _together([compared(rows.join(crowded, same, "left_anti"), expected), compared(paired, paired.count())])
+
+
+def alike_within(fps: np.ndarray, sets: list[np.ndarray], sides: np.ndarray, distance: int, similarity: float) -> tuple[np.ndarray, np.ndarray]:
+    """Spanning links (as positions) of rows whose signatures are near and whose sets are alike; between rows of the two sides where both occur.
+
+    Near pairs are taken by distance, and one whose rows are connected by then is left out. Sets are compared by bits,
+    one for each element that several rows hold.
+    """
+    n = len(sets)
+    crossed = bool(sides.any()) and not sides.all()
+    left, right = (np.flatnonzero(sides == 0), np.flatnonzero(sides == 1)) if crossed else [np.arange(n)] * 2
+    sizes = np.fromiter(map(len, sets), np.int64, n)
+    found = []
+    for i in range(0, len(left), 512):
+        for j in range(0, len(right), 512):
+            x, y = left[i : i + 512], right[j : j + 512]
+            apart = np.bitwise_count(fps[x, None] ^ fps[None, y]).sum(-1, dtype=np.int16)
+            big, small = np.maximum(sizes[x, None], sizes[None, y]), np.minimum(sizes[x, None], sizes[None, y])
+            a, b = np.nonzero((apart <= distance) & (small >= similarity * big) & ((x[:, None] < y[None]) | crossed))
+            found.append(np.stack([apart[a, b], x[a], y[b]]))
+    pairs = np.concatenate(found, axis=1) if found else np.zeros((3, 0), np.int64)
+    _, a, b = pairs[:, np.argsort(pairs[0], kind="stable")].astype(np.int64)
+    values, inverse, counts = np.unique(np.concatenate([np.zeros(0, np.int32), *sets]), return_inverse=True, return_counts=True)
+    code = np.cumsum(counts > 1) - 1
+    bits = np.zeros((n, (int((counts > 1).sum()) + 63) // 64), np.uint64)
+    row = np.repeat(np.arange(n), sizes)
+    kept = counts[inverse] > 1
+    at = code[inverse[kept]]
+    np.bitwise_or.at(bits, (row[kept], at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+    label = np.arange(n)
+    step = max(16, 500_000 // max(1, bits.shape[1]))
+    out = []
+    for k in range(0, len(a), step):
+        x, y = a[k : k + step], b[k : k + step]
+        open_yet = label[x] != label[y]
+        x, y = x[open_yet], y[open_yet]
+        shared = np.bitwise_count(bits[x] & bits[y]).sum(1, dtype=np.int64)
+        yes = shared >= similarity * (sizes[x] + sizes[y] - shared)
+        if yes.any():
+            out.append((x[yes], y[yes]))
+            label = local_components(n, np.concatenate([np.arange(n), x[yes]]), np.concatenate([label, y[yes]]))
+    none = np.zeros(0, np.int64)
+    return (np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])) if out else (none, none)
+
+
+def alike_links(members: DataFrame, distance: int, similarity: float, block_bytes: int = 4_000_000, bucket_bytes: int = 16_000_000) -> DataFrame:
+    """Links (src, dst) that connect all alike members (family, node, a, b, c, shingles) of each family.
+
+    A family of more than `block_bytes` is dealt by hash into blocks, and every two blocks meet; a member goes to as many
+    tasks as its family has blocks, and no task emits more than a spanning link a row.
+    """
+    spark = members.sparkSession
+    weight = F.size("shingles") * 4 + 64
+    families = stored(members.groupBy(F.col("family").alias("_f")).agg(F.sum(weight).alias("bytes")).withColumn("blocks", F.ceil(F.col("bytes") / block_bytes).cast("long")), "families")
+    total = families.agg(F.sum(F.col("bytes") * F.col("blocks"))).first()[0] or 0
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // bucket_bytes + 1)
+    dealt = members.join(families, F.col("family") == F.col("_f")).withColumn("own", F.pmod(F.xxhash64("node", F.lit(2)), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    low, high = F.least("own", "other"), F.greatest("own", "other")
+    meet = F.xxhash64("family", low, high)
+    # the side is 0 for all rows where a block meets itself
+    sent = dealt.select("node", *PARTS, "shingles", meet.alias("meet"), F.when((low < high) & (F.col("own") == high), 1).otherwise(0).alias("side"), (low < high).alias("two"), F.pmod(meet, F.lit(buckets)).alias("bucket"))
+
+    def compare(table: pa.Table) -> pa.Table:
+        table = table.sort_by("meet")
+        meets = np.asarray(table.column("meet"))
+        cuts = np.flatnonzero(np.concatenate([[True], meets[1:] != meets[:-1], [True]]))
+        fps, node, side = np.stack([_unsigned(table.column(c)) for c in PARTS], axis=1), np.asarray(table.column("node")), np.asarray(table.column("side"))
+        two = table.column("two").to_pylist()
+        src, dst = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for start, stop in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
+            own = side[start:stop]
+            if two[start] and own.min() == own.max():
+                continue  # the other block is empty
+            sets = [np.asarray(x.values, np.int32) for x in table.column("shingles").slice(start, stop - start)]
+            a, b = alike_within(fps[start:stop], sets, own, distance, similarity)
+            src.append(node[start + a])
+            dst.append(node[start + b])
+        return pa.table({"src": np.concatenate(src), "dst": np.concatenate(dst)})
+
+    return sent.groupBy("bucket").applyInArrow(compare, "src long, dst long")
 
 
 def shingle_sets(rows: DataFrame, size: int, block: int = 100_000) -> DataFrame:
@@ -356,22 +396,23 @@ def shingle_sets(rows: DataFrame, size: int, block: int = 100_000) -> DataFrame:
 def near_copies(docs: DataFrame, text: str = "text", keep: tuple[str, ...] = (), similarity: float = 0.8, size: int = 5) -> DataFrame:
     """(doc_id, keep columns, node, root, component_id) of every row; root names a group of texts linked as near copies.
 
-    Texts are linked where their sets of `size`-word shingles have a Jaccard similarity of at least `similarity`. The
-    pairs to check come from anchors of a SimHash over words and word pairs, which changes less with a changed word than
-    one over longer shingles would; the check compares the whole sets, by 32-bit hashes. Equal texts are one node. Texts without a word are linked.
+    Texts are linked where their sets of `size`-word shingles have a Jaccard similarity of at least `similarity` and
+    their signatures differ in at most 30 of 192 bits. Anchors of a SimHash over words and word pairs, which changes less
+    with a changed word than one over longer shingles would, draw texts together into families; within a family all near
+    pairs are checked, unless their texts are connected by then, with whole sets of 32-bit hashes. Equal texts are one
+    node. Texts without a word are linked.
     """
     marked = stored(with_signatures(docs, text, keep), "signatures")
     nodes = stored(marked.groupBy("node").agg(F.min("doc_id").alias("least"), *[F.first(c).alias(c) for c in PARTS]), "nodes")
-    pairs = stored(near_pairs(nodes), "pairs")
-    # written down first, so that only a small table is broadcast, and texts without a pair then stay where they are
-    ends = stored(pairs.select(F.explode(F.array("src", "dst")).alias("_end")).distinct(), "ends")
-    own = docs.select(F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("text")).join(ends, F.col("node") == F.col("_end"), "left_semi")
-    sets = stored(shingle_sets(own, size).groupBy("node").agg(F.first("shingles").alias("shingles")), "shingles")
-    a, b = (sets.select(F.col("node").alias(f"_{x}"), F.col("shingles").alias(f"of_{x}")) for x in ("src", "dst"))
-    both = pairs.join(a, F.col("src") == F.col("_src")).join(b, F.col("dst") == F.col("_dst"))
-    shared = F.size(F.array_intersect("of_src", "of_dst"))
-    alike = both.filter(shared >= similarity * (F.size("of_src") + F.size("of_dst") - shared)).select("src", "dst")
-    found = connected_components(stored(alike, "alike")).select(F.col("node").alias("_n"), "component")
+    links = stored(family_links(nodes).dropDuplicates(), "links")
+    families = stored(connected_components(links).select(F.col("node").alias("_end"), F.col("component").alias("family")), "families")
+    own = docs.select(F.xxhash64(text).alias("node"), F.col(text).cast("string").alias("text")).join(families, F.col("node") == F.col("_end"), "left_semi")
+    sets = shingle_sets(own, size).groupBy("node").agg(F.first("shingles").alias("shingles"))
+    members = stored(sets.join(families, F.col("node") == F.col("_end")).drop("_end").join(nodes.select(F.col("node").alias("_n"), *PARTS), F.col("node") == F.col("_n")).drop("_n"), "members")
+    alike = alike_links(members, 30, similarity)
+    kept = stored(alike, "alike")
+    discard(links, families, members)
+    found = connected_components(kept).select(F.col("node").alias("_n"), "component")
     rooted = nodes.join(found, F.col("node") == F.col("_n"), "left").select("node", "least", F.coalesce("component", "node").alias("root"))
     names = rooted.groupBy(F.col("root").alias("_r")).agg(F.min("least").alias("component_id"))
     named = rooted.join(names, F.col("root") == F.col("_r")).select(F.col("node").alias("_node"), "root", "component_id")

@@ -13,11 +13,11 @@ from ledgerlake.llm import queries as Q
 from ledgerlake.llm.chat import digests, escape, formatted, spans, unescape
 from ledgerlake.llm.classifier import classify
 from ledgerlake.llm.embeddings import near_duplicates
-from ledgerlake.llm import classifier, maxent, urls
+from ledgerlake.llm import classifier, maxent, simhash, urls
 from ledgerlake.llm.maxent import score
 from ledgerlake.llm.rules import judge as judge_rules
 from ledgerlake.llm.shared import Deal, connected_components, local_components, window_hashes
-from ledgerlake.llm.simhash import anchors, components, fingerprints_of, links_within, near_copies, near_links, near_pairs, pairs_within
+from ledgerlake.llm.simhash import anchors, components, family_links, fingerprints_of, links_within, near_copies, near_links
 from ledgerlake.llm.substring import remove_repeats
 from ledgerlake.llm.urls import judge as judge_urls
 
@@ -225,27 +225,52 @@ def test_near_copies_odd_rows(spark):
     assert near_copies(odd_docs(spark).filter("false")).count() == 0
 
 
-@pytest.mark.parametrize(("hot", "rounds"), [(30_000, 8), (60, 8), (60, 1), (4, 0)])
-def test_near_pairs_of_crowded_anchors(spark, hot, rounds):
+@pytest.mark.parametrize("hot", [30_000, 60, 4])
+def test_families_of_crowded_anchors(spark, hot):
     """Families of up to 300 fingerprints within a few bits, one bit of which none shares: none is lost, none is far."""
     rng = np.random.default_rng(8)
     centres = rng.integers(0, 1 << 63, (6, 3), dtype=np.uint64)
     rows = [(k, *(int(centres[k % 6, w]) ^ sum({1 << int(b) for b in rng.integers(0, 62, 2)}) for w in (0, 1, 2))) for k in range(600 if hot == 4 else 1800)]
     nodes = spark.createDataFrame([(k, *np.array(own, np.uint64).view(np.int64).tolist()) for k, *own in rows], "node long, a long, b long, c long")
-    pairs = near_pairs(nodes, hot=hot, rounds=rounds).collect()
-    assert len(pairs) == len(set(pairs)) and all(r.src < r.dst and r.src % 6 == r.dst % 6 for r in pairs)
-    label = local_components(len(rows), np.array([r.src for r in pairs]), np.array([r.dst for r in pairs]))
+    links = family_links(nodes, hot=hot).collect()
+    assert all(r.src < r.dst and r.src % 6 == r.dst % 6 for r in links)
+    label = local_components(len(rows), np.array([r.src for r in links]), np.array([r.dst for r in links]))
     assert label.tolist() == [k % 6 for k in range(len(rows))]
 
 
-def test_pairs_within_small_groups_are_all_pairs():
+def test_links_within_connect_as_all_pairs_do():
     rng = np.random.default_rng(9)
-    fps = rng.integers(0, 4, (200, 2)).astype(np.uint64) * np.uint64(0x0101010101010101)
-    keys = rng.integers(0, 9, 200).astype(np.uint64)
-    a, b = pairs_within(keys, fps, 8)
-    apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(2, dtype=int)
-    i, j = np.nonzero((keys[:, None] == keys[None, :]) & (apart <= 8))
-    assert sorted(zip(np.minimum(a, b).tolist(), np.maximum(a, b).tolist(), strict=True)) == [(x, y) for x, y in zip(i.tolist(), j.tolist(), strict=True) if x < y]
+    for n, kinds, distance in ((200, 9, 8), (900, 2, 12), (3000, 1, 10)):
+        fps = (rng.integers(0, 4, (n, 2)) * rng.integers(0, 2, (n, 2))).astype(np.uint64) * np.uint64(0x0101010101010101) ^ rng.integers(0, 1 << 6, (n, 2)).astype(np.uint64)
+        keys = rng.integers(0, kinds, n).astype(np.uint64)
+        a, b = links_within(keys, fps, distance)
+        assert (keys[a] == keys[b]).all() and len(a) < max(64, n) * 64
+        apart = np.bitwise_count(fps[:, None] ^ fps[None, :]).sum(2, dtype=int)
+        i, j = np.nonzero((keys[:, None] == keys[None, :]) & (apart <= distance))
+        assert (local_components(n, a, b) == local_components(n, i, j)).all()
+
+
+@pytest.mark.parametrize("block_bytes", [4_000_000, 60_000])
+def test_near_copies_of_form_letters_lose_none(spark, monkeypatch, block_bytes):
+    """Texts that share most of a form letter, alike and unlike mixed, each with a copy that differs in one word, in crowded anchors."""
+    monkeypatch.setattr(simhash, "alike_links", lambda *a, f=simhash.alike_links: f(*a, block_bytes=block_bytes))
+    rng = np.random.default_rng(15)
+    letter = [f"w{x}" for x in rng.integers(0, 400, 120)]
+    docs = {}
+    for k in range(260):
+        own = list(letter)
+        for at in rng.choice(120, rng.integers(2, 12), replace=False):
+            own[at] = f"x{rng.integers(0, 10**6)}"
+        docs[2 * k] = " ".join(own)
+        own[int(rng.integers(0, 120))] = "one"
+        docs[2 * k + 1] = " ".join(own)
+    got = {r.doc_id: r.component_id for r in near_copies(spark.createDataFrame(list(docs.items()), "doc_id long, text string")).collect()}
+    want = brute_near(docs)
+    assert got == want and 20 < len(set(want.values())) < 260
+    sets = [np.unique(np.array([hash(" ".join(w[i : i + 5])) % 2**31 for i in range(len(w) - 4)], np.int32)) for w in (docs[k].split() for k in range(100))]
+    a, b = simhash.alike_within(np.zeros((100, 3), np.uint64), sets, np.arange(100) % 2, 30, 0.8)
+    both = [(i, j) for i in range(0, 100, 2) for j in range(1, 100, 2) if len(np.intersect1d(sets[i], sets[j])) >= 0.8 * len(np.union1d(sets[i], sets[j]))]
+    assert (local_components(100, a, b) == local_components(100, np.array([i for i, _ in both]), np.array([j for _, j in both]))).all()
 
 
 def brute_rules(text):
