@@ -11,7 +11,8 @@ from ledgerlake.functions import embed as E
 from ledgerlake.operators import documents as D, entities, facts as X, ingestion as I, stores as S
 from ledgerlake.queries.facts import facts
 from ledgerlake.queries.payloads import MAPPING, facts_payloads
-from ledgerlake.session import table
+from ledgerlake.session import shared_folder, stored, table
+from ledgerlake.sources import artifact_store as A
 
 
 @query("s17_artifacts", "SELECT 'p' || item_id AS path, sha256(text) AS content_hash, strlen(text) AS size_bytes FROM benchmark WHERE item_id % 3 > 0 AND text IS NOT NULL")
@@ -22,6 +23,19 @@ def s17(spark, sf):
     return I.artifacts(rows, held).drop("content")
 
 
+@query("s17_artifact_store", """WITH a AS (SELECT 'p' || doc_id % 300 AS path, text FROM documents WHERE text IS NOT NULL), b AS (SELECT path, max(sha256(text)) AS content_hash FROM a GROUP BY path), c AS (SELECT DISTINCT b.path, content_hash, text FROM b JOIN a ON a.path = b.path AND sha256(a.text) = content_hash)
+SELECT path, CASE WHEN substr(path, -1) = '7' THEN sha256(text || '!') ELSE content_hash END AS content_hash, strlen(text) + CAST(substr(path, -1) = '7' AS INTEGER) AS size_bytes, 1 + CAST(substr(path, -1) = '7' AS BIGINT) AS n_loads, CASE WHEN substr(path, -1) = '7' THEN text || '!' ELSE text END AS content FROM c""")
+def s17_store(spark, sf):
+    """Written, written again, which adds nothing, then a tenth of the paths with other bytes; read back from the store."""
+    root = shared_folder(spark)
+    rows = table(spark, sf, "documents").filter("text is not null").select(F.concat(F.lit("p"), F.col("doc_id") % 300).alias("path"), F.col("text").alias("content"))
+    for _ in range(2):
+        A.add(spark, root, rows)
+    held = A.contents(spark, root, A.references(spark, root)).filter("path like '%7'")
+    A.add(spark, root, stored(held.select("path", F.concat(F.col("content").cast("string"), F.lit("!")).alias("content"))))
+    return A.contents(spark, root, A.references(spark, root)).select("path", "content_hash", "size_bytes", "n_loads", F.col("content").cast("string").alias("content"))
+
+
 @query("s17_pretty_json", "SELECT c_custkey, '{' || chr(10) || '  \"a\": ' || c_custkey || ',' || chr(10) || '  \"b\": [' || chr(10) || '    1' || chr(10) || '  ]' || chr(10) || '}' AS shown FROM customer")
 def s17_json(spark, sf):
     return table(spark, sf, "customer").select("c_custkey", I.pretty_json(F.concat(F.lit('{"b": [1], "a": '), "c_custkey", F.lit("}"))).alias("shown"))

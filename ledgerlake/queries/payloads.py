@@ -59,13 +59,13 @@ def s8(spark, sf):
     return P.unmapped_concepts(facts_payloads(spark, sf), MAPPING)
 
 
-@query("s7_macro_observations", "SELECT 'CLICK' AS series_id, CAST(ts AS DATE) AS observed_at, CASE WHEN event_id % 4 > 0 THEN round(value, 2) END AS value FROM events WHERE event_type = 'click'")
+@query("s7_macro_observations", "SELECT upper(event_type) AS series_id, CAST(ts AS DATE) AS observed_at, CASE WHEN event_id % 4 > 0 THEN round(value, 2) END AS value FROM events")
 def s7(spark, sf):
     day = F.col("ts").cast("date").cast("string")
     shown = F.when(F.col("event_id") % 8 == 0, ".").when(F.col("event_id") % 8 == 4, "").otherwise(F.round("value", 2).cast("decimal(18,2)").cast("string"))
     one = F.struct(day.alias("realtime_start"), day.alias("realtime_end"), day.alias("date"), shown.alias("value"))
-    sent = table(spark, sf, "events").filter("event_type = 'click'").groupBy("user_id").agg(F.to_json(F.struct(F.collect_list(one).alias("observations"))).alias("payload"))
-    return P.macro_observations(sent, "CLICK").select("series_id", "observed_at", F.col("value").cast("double").alias("value"))
+    sent = table(spark, sf, "events").groupBy("event_type", "user_id").agg(F.to_json(F.struct(F.collect_list(one).alias("observations"))).alias("payload"))
+    return P.observations_of(sent, F.upper("event_type"), "payload").select("series_id", "observed_at", F.col("value").cast("double").alias("value"))
 
 
 @query("s27_archive_exhibits", "SELECT 'f' || o_orderkey AS name FROM orders WHERE o_orderkey % 3 = 1 OR o_orderkey % 3 = 2 AND o_orderkey % 2 = 0")

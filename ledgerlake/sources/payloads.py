@@ -74,15 +74,20 @@ def unmapped_concepts(payloads: DataFrame, mapping: dict) -> DataFrame:
     return doc.select("cik", "taxonomy", F.explode(F.map_keys("c")).alias("concept")).filter(metric_of(mapping, F.col("cik"), F.col("taxonomy"), F.col("concept")).isNull())
 
 
-def macro_observations(payloads: DataFrame, series_id: str) -> DataFrame:
-    """Observations of a series; the usual marks of a missing value become null."""
-    rows = payloads.select(F.explode(F.from_json("payload", "struct<observations:array<struct<realtime_start:string,realtime_end:string,date:string,value:string>>>")["observations"]).alias("o"))
-    return rows.select(
-        F.lit(series_id).alias("series_id"), F.try_to_date("o.date").alias("observed_at"), F.try_to_date("o.realtime_start").alias("realtime_start"), F.try_to_date("o.realtime_end").alias("realtime_end"),
+def observations_of(rows: DataFrame, series: Column, payload: str = "observations") -> DataFrame:
+    """Observations of many series, a payload each; the usual marks of a missing value become null."""
+    each = rows.select(series.alias("series_id"), F.explode(F.from_json(payload, "struct<observations:array<struct<realtime_start:string,realtime_end:string,date:string,value:string>>>")["observations"]).alias("o"))
+    return each.select(
+        "series_id", F.try_to_date("o.date").alias("observed_at"), F.try_to_date("o.realtime_start").alias("realtime_start"), F.try_to_date("o.realtime_end").alias("realtime_end"),
         F.when(F.col("o.value").isin(*MISSING), None).otherwise(F.col("o.value").try_cast("decimal(38,12)")).alias("value"),
     )
 
 
+def macro_observations(payloads: DataFrame, series_id: str) -> DataFrame:
+    """Observations of one series."""
+    return observations_of(payloads, F.lit(series_id), "payload")
+
+
 def macro_metadata(payloads: DataFrame) -> DataFrame:
     names = ("id", "title", "observation_start", "observation_end", "frequency", "frequency_short", "units", "units_short", "seasonal_adjustment", "last_updated")
     rows = payloads.select(F.explode(F.from_json("payload", "struct<seriess:array<struct<" + ",".join(f"{n}:string" for n in names) + ">>>")["seriess"]).alias("s")).select("s.*")

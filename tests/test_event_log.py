@@ -6,7 +6,8 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.parquet as pq
 
-from ledgerlake.sources.event_log import EventLog, EventLogReader, Stretch, ids_ahead, opened, pages
+from ledgerlake.sources.event_log import EventLog, EventLogReader, Stretch, ids_ahead, pages
+from ledgerlake.sources.paths import opened
 from ledgerlake.streaming.events import followed
 
 
