@@ -103,6 +103,22 @@ def word_runs(words: Column, shortest: int, longest: int) -> Column:
     return F.array_distinct(F.concat(*[_runs(words, n) for n in range(shortest, longest + 1)])) if longest >= shortest else F.array().cast("array<string>")
 
 
+def runs_named(rows: DataFrame, text: str, names: DataFrame, name: str, longest: int = 8, on: tuple[str, ...] = ()) -> DataFrame:
+    """The rows beside each of the names that stands in their folded text as whole words, on equal `on`.
+
+    Names of up to `longest` words meet the text's runs of the lengths that occur. A longer one meets it at its first
+    `longest` words, and is then looked for whole, so rows and expressions don't grow with the longest name.
+    """
+    words = F.size(F.split(name, " "))
+    head = names.withColumn("_head", F.array_join(F.slice(F.split(name, " "), 1, longest), " "))
+    lengths = sorted(r[0] for r in names.select(F.least(words, F.lit(longest)).alias("n")).distinct().collect())  # at most `longest` numbers
+    if not lengths:
+        return rows.limit(0).join(head.limit(0).drop("_head"), list(on)) if on else rows.limit(0).crossJoin(head.limit(0).drop("_head"))
+    runs = F.array_distinct(F.concat(*[_runs(F.split(text, " "), n) for n in lengths]))
+    met = rows.withColumn("_run", F.explode(runs)).withColumnRenamed("_run", "_head").join(head, ["_head", *on]).drop("_head")
+    return met.filter((words <= longest) | F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), name, F.lit(" ")))).drop(text)
+
+
 def label_matches(queries: DataFrame, labels: DataFrame, key: str, text: str, longest: int = 8) -> DataFrame:
     """(key, mention, status, company_id, n_companies, match_kind) of the companies that each text names.
 
@@ -223,9 +239,7 @@ def tickers_named(queries: DataFrame, companies: DataFrame, key: str, text: str,
     bare = queries.select(key, F.explode(F.filter(symbols, lambda s: F.length(s) > 1)).alias("_s")).select(key, F.regexp_replace("_s", r"^\$", "").alias("ticker"))
     by_symbol = bare.join(companies.select("ticker"), "ticker").select(key, "ticker", F.lit(0).alias("_rank"))
     labels = companies.select(F.col("ticker").alias("company_id"), fold_company("name").alias("label"), F.lit("company_name").alias("match_kind")).filter("length(label) >= 4")
-    widest = labels.agg(F.max(F.size(F.split("label", " ")))).first()[0] or 0
-    runs = queries.select(key, F.split(fold_label(plain), " ").alias("_w")).select(key, F.explode(word_runs(F.col("_w"), 1, widest)).alias("label"))
-    by_label = runs.join(labels, "label").select(key, F.col("company_id").alias("ticker"), F.lit(1).alias("_rank"))
+    by_label = runs_named(queries.select(key, fold_label(plain).alias("_t")), "_t", labels, "label").select(key, F.col("company_id").alias("ticker"), F.lit(1).alias("_rank"))
     every = by_symbol.unionByName(by_label).groupBy(key, "ticker").agg(F.min("_rank").alias("_rank"))
     place = F.row_number().over(W.partitionBy(key).orderBy("_rank", "ticker"))
     return every.withColumn("_place", place).filter(F.col("_place") <= most).select(key, "ticker", F.when(F.col("_rank") == 0, "ticker").otherwise("company_name").alias("match_kind"))

@@ -130,11 +130,13 @@ def append_feedback(runs: DataFrame, feedback: DataFrame, now) -> DataFrame:
     return feedback.join(runs.select("run_id").distinct(), "run_id", "left_semi").select(ident.alias("feedback_id"), "run_id", "rating", "comment", "actor_id", F.lit(now).alias("created_at"))
 
 
-def retrieval_warnings(chunks: DataFrame, candidates: DataFrame, index: DataFrame) -> DataFrame:
-    """(warning) rows of a retrieval: chunks without any indexed vector, or none among the dense candidates."""
-    n = chunks.agg(F.count(F.lit(1)).alias("c")).crossJoin(index.agg(F.count(F.lit(1)).alias("i"))).crossJoin(candidates.agg(F.count("dense_rank").alias("d")))  # one row each
+def retrieval_warnings(chunks: DataFrame, candidates: DataFrame, index: DataFrame, by: list[str]) -> DataFrame:
+    """(by, warning) rows of retrievals: chunks without any indexed vector, or none among the dense candidates."""
+    tagged = lambda rows, kind, held: rows.select(*by, F.lit(kind).alias("_kind"), held.alias("_held"))
+    every = tagged(chunks, "c", F.lit(True)).unionByName(tagged(index, "i", F.lit(True))).unionByName(tagged(candidates, "d", F.col("dense_rank").isNotNull()))
+    n = every.groupBy(*by).agg(*[F.count_if((F.col("_kind") == kind) & F.col("_held")).alias(kind) for kind in "cid"])
     told = F.array(F.when((F.col("c") > 0) & (F.col("i") == 0), F.lit("missing_embedding_index")), F.when((F.col("i") > 0) & (F.col("d") == 0), F.lit("missing_dense_candidates")))
-    return n.select(F.explode(F.filter(told, lambda w: w.isNotNull())).alias("warning"))
+    return n.select(*by, F.explode(F.filter(told, lambda w: w.isNotNull())).alias("warning"))
 
 
 def chunk_evidence(chosen: DataFrame, chunks: DataFrame) -> DataFrame:

@@ -107,6 +107,12 @@ def source_checks(facts: DataFrame, filings: DataFrame) -> tuple[DataFrame, Data
     return newest, filings.groupBy("company_id", "form").agg(F.max_by("accession_number", F.struct("filing_date", "accession_number")).alias("accession_number"))
 
 
+def check_counts(newest: DataFrame, current_from: str, stale_from: str) -> DataFrame:
+    """(status, n): how many companies' newest facts are current, stale or outdated by their day."""
+    status = F.when(F.col("day") >= current_from, "current").when(F.col("day") >= stale_from, "stale").otherwise("outdated")
+    return newest.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def line_blocks(words: DataFrame, gap: float = 3.0) -> DataFrame:
     """(page_id, line, text, x0, top, x1, bottom): a page's words in lines.
 

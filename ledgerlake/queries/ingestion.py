@@ -66,6 +66,25 @@ def d3(spark, sf):
     return I.pdf_sections(pages)
 
 
+@query("d9_candidate_counts", "SELECT doc_id AS version, CAST(count(*) AS VARCHAR) AS candidates FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS l FROM documents) WHERE trim(l) <> '' GROUP BY doc_id")
+def d9_counts(spark, sf):
+    """Diagnostics of the greedy decisions on every document's lines: all candidates are told, and each has one decision."""
+    from ledgerlake.queries.texts import versions
+
+    told = I.candidate_diagnostics(D.drop_near_copies(versions(spark, sf), "version", "chunk_index", "text", 0.9).withColumn("decision", F.regexp_replace("decision", "^near.*", "near_copy")))
+    n = lambda name: F.get_json_object("diagnostics", f"$.{name}")
+    whole = n("kept").cast("int") + n("near_copies").cast("int") + n("boilerplate").cast("int") == n("candidates").cast("int")
+    return told.select("version", F.when(whole, n("candidates")).alias("candidates"))
+
+
+@query("d10_left_rows", "SELECT 'chunks' AS name, l_orderkey AS version_id, l_linenumber AS id FROM lineitem WHERE l_orderkey NOT IN (SELECT o_orderkey FROM orders WHERE o_orderstatus = 'F') UNION ALL SELECT 'summaries', o_orderkey, 0 FROM orders WHERE o_orderstatus <> 'F'")
+def d10_rows(spark, sf):
+    """The rows that are left once the outputs of finished orders are cleared."""
+    orders = table(spark, sf, "orders").select(F.col("o_orderkey").alias("version_id"), "o_orderstatus")
+    left = I.cleared({"chunks": table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("version_id"), F.col("l_linenumber").alias("id")), "summaries": orders.withColumn("id", F.lit(0))}, orders.filter("o_orderstatus = 'F'"))
+    return left["chunks"].withColumn("name", F.lit("chunks")).unionByName(left["summaries"].select("version_id", "id", F.lit("summaries").alias("name")))
+
+
 @query("d9_diagnostics", """SELECT l_orderkey AS version, '{"candidates":' || count(*) || ',"kept":' || count(*) FILTER (WHERE l_linenumber % 3 = 0) || ',"near_copies":' || count(*) FILTER (WHERE l_linenumber % 3 = 1) || ',"boilerplate":' || count(*) FILTER (WHERE l_linenumber % 3 = 2) || '}' AS diagnostics FROM lineitem GROUP BY ALL""")
 def d9(spark, sf):
     k = F.col("l_linenumber") % 3
@@ -124,6 +143,21 @@ def s28(spark, sf):
     return X.ready_companies(chunks, facts(spark, sf))
 
 
+@query("s30_newest_filings", "SELECT o_custkey AS company_id, CASE WHEN o_orderkey % 4 = 0 THEN '10-K' ELSE '10-Q' END AS form, arg_max('a' || o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || 'a' || o_orderkey) AS accession_number FROM orders GROUP BY ALL")
+def s30_filings(spark, sf):
+    """The newest filing of each company and form."""
+    form = F.when(F.col("o_orderkey") % 4 == 0, "10-K").otherwise("10-Q")
+    filings = table(spark, sf, "orders").select(F.col("o_custkey").alias("company_id"), form.alias("form"), F.col("o_orderdate").cast("date").alias("filing_date"), F.concat(F.lit("a"), "o_orderkey").alias("accession_number"))
+    return S.source_checks(facts(spark, sf), filings)[1]
+
+
+@query("s30_check_counts", "WITH c AS (SELECT o_custkey, max(CAST(o_orderdate AS DATE)) AS day FROM orders GROUP BY o_custkey) SELECT CASE WHEN day >= DATE '2001-07-01' THEN 'current' WHEN day >= DATE '2000-07-01' THEN 'stale' ELSE 'outdated' END AS status, count(*) AS n FROM c GROUP BY ALL")
+def s30_counts(spark, sf):
+    """How many companies' newest facts are current, stale or outdated."""
+    newest = S.source_checks(facts(spark, sf), facts(spark, sf).select("company_id", F.lit("10-K").alias("form"), F.col("period_end").alias("filing_date"), "accession_number"))[0]
+    return S.check_counts(newest, "2001-07-01", "2000-07-01")
+
+
 @query("s30_source_checks", "SELECT o_custkey AS company_id, CAST(max(CAST(o_orderdate AS DATE)) AS VARCHAR) AS day, arg_max(o_orderkey, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) || lpad(CAST(o_orderkey AS VARCHAR), 12, '0')) AS fact_id FROM orders GROUP BY ALL")
 def s30(spark, sf):
     filings = facts(spark, sf).select("company_id", F.lit("10-K").alias("form"), F.col("period_end").alias("filing_date"), "accession_number")
@@ -152,10 +186,12 @@ def d2(spark, sf):
     return D.section_inputs(versions, sections, "version_id", "text")
 
 
-@query("r13_warnings", "SELECT 'missing_dense_candidates' AS warning")
+@query("r13_warnings", "WITH c AS (SELECT lang, doc_id, doc_id % 2 = 0 AND lang <> 'fr' AS indexed, doc_id % 6 = 0 AND lang IN ('en', 'de') AS dense FROM documents) SELECT lang, CASE WHEN count(*) FILTER (indexed) = 0 THEN 'missing_embedding_index' ELSE 'missing_dense_candidates' END AS warning FROM c GROUP BY lang HAVING count(*) FILTER (dense) = 0 OR count(*) FILTER (indexed) = 0")
 def r13(spark, sf):
-    v = table(spark, sf, "embeddings").select(F.col("vec_id").alias("chunk_id"))
-    return I.retrieval_warnings(v, v.withColumn("dense_rank", F.lit(None).cast("long")), v)
+    """By language: French has no vectors, and only English and German any dense candidates."""
+    chunks = table(spark, sf, "documents").select(F.col("doc_id").alias("chunk_id"), "lang")
+    index = chunks.filter("chunk_id % 2 = 0 and lang <> 'fr'")
+    return I.retrieval_warnings(chunks, index.withColumn("dense_rank", F.when((F.col("chunk_id") % 6 == 0) & F.col("lang").isin("en", "de"), 1)), index, by=["lang"])
 
 
 @query("r28_chunk_evidence", "SELECT 'chunk:' || doc_id AS label, lang AS content, '2024:Q' || doc_id % 4 AS period FROM documents WHERE doc_id % 2 = 0")

@@ -40,10 +40,10 @@ def j17(spark, sf):
     return L.stale_embeddings(*hashed_chunks(spark, sf))
 
 
-@query("j3_r22_fact_evidence", f"""WITH {ROWS}, t AS (SELECT fact_id, c_name || ' revenue: ' || regexp_replace(CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR), '\\.?0+$', '') || ' USD (' || period_type || ' ending ' || period_end || ')' AS content, fiscal_year || ':' || fiscal_period AS period FROM f JOIN customer ON company_id = c_custkey WHERE fiscal_year = 1997)
+@query("j3_r22_fact_evidence", f"""WITH {ROWS}, t AS (SELECT fact_id, c_name || ' revenue: ' || regexp_replace(CAST(CAST(value AS DECIMAL(18, 2)) AS VARCHAR), '\\.?0+$', '') || ' USD (' || period_type || ' ending ' || period_end || ')' AS content, fiscal_year || ':' || fiscal_period AS period FROM f JOIN customer ON company_id = c_custkey)
 SELECT 'fact:' || fact_id AS label, period, content, greatest(1, CAST(ceil(length(content) / 4.0) AS BIGINT)) AS tokens FROM t""")
 def j3(spark, sf):
-    rows = facts(spark, sf).filter("fiscal_year = 1997").withColumn("value", F.col("value").cast("decimal(18,2)")).join(companies(spark, sf), "company_id")
+    rows = facts(spark, sf).withColumn("value", F.col("value").cast("decimal(18,2)")).join(companies(spark, sf), "company_id")
     return L.fact_evidence(rows).select("label", "period", "content", "tokens")
 
 

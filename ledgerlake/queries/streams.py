@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ledgerlake.catalogue import query
 from ledgerlake.session import shared_folder, table
 from ledgerlake.sources.event_log import EventLog
-from ledgerlake.streaming import events as E, processors as P, states as S
+from ledgerlake.streaming import events as E, late as L, processors as P, states as S
 
 
 def log(spark, sf):
@@ -76,3 +76,13 @@ def st7(spark, sf):
     """Runs of every user over the whole log, with a deadline of two days, across a restart; tests compare with the plain steps."""
     with P.rocks_state(spark):
         return twice(spark, sf, lambda log: P.runs(timed(log).withColumn("wanted", F.expr(WANTED)), "user_id", "wanted", "ts", 172800.0), pages=1000)
+
+
+@query("st12_late_rows", """WITH e AS (SELECT event_type, CASE WHEN event_id % 9 = 4 THEN ts - INTERVAL 2 DAY ELSE ts END AS t, event_id // 1000 AS batch, event_id FROM events), m AS (SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM e GROUP BY batch)
+SELECT date_trunc('day', t) AS window_start, event_type, count(*) AS n, count(*) FILTER (mark IS NOT NULL AND t < mark - INTERVAL 1 DAY) AS n_late FROM e JOIN m USING (batch) GROUP BY ALL""")
+def st12(spark, sf):
+    """The log in batches of a thousand, a ninth of it two days late: counts by day of what came in time and what didn't."""
+    spark.dataSource.register(EventLog)
+    log = spark.readStream.format("event_log").options(ident="event_id", cursor=-1, page=100, pages=10).load(f"{sf}/events.parquet")
+    moved = log.select("event_id", "event_type", F.when(F.col("event_id") % 9 == 4, F.col("ts") - F.expr("INTERVAL 2 DAY")).otherwise(F.col("ts")).cast("timestamp").alias("ts"))
+    return L.corrected_counts(*L.kept_and_late(moved, shared_folder(spark), "ts", 86400.0), "ts", "1 day", ["event_type"])

@@ -34,28 +34,23 @@ def rate_limited(events: DataFrame, key: str, time: str, order: str, seconds: in
     return events.withColumn("window_start", start).withColumn("accepted", F.row_number().over(own) <= limit)
 
 
-def windowed_counts(stream: DataFrame, time: str, width: str, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    return stream.withWatermark(time, delay).groupBy(F.window(time, width), *keys).agg(F.count(F.lit(1)).alias("n"))
-
-
 def rate_limit_stream(stream: DataFrame, key: str, time: str, seconds: int, limit: int) -> DataFrame:
-    """Accepted and rejected events of each key and window; counts expire two windows after their start."""
+    """(key, window_start, at, accepted) of every event: the first `limit` of a key and window by time are accepted; counts expire two windows after their start."""
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
         used = state.get[0] if state.exists else 0
-        for pdf in batches:
-            pdf = pdf.sort_values("_time")
-            accepted = [used + i < limit for i in range(len(pdf))]
-            used += len(pdf)
-            yield pd.DataFrame({"key": pdf["_key"].astype(str), "window_start": pdf["_window"], "accepted": accepted})
+        # all that the micro-batch has of the key and window, by time
+        rows = pd.concat(list(batches)).sort_values("_time", kind="stable")
+        yield pd.DataFrame({"key": rows["_key"].astype(str), "window_start": rows["_window"], "at": rows["_at"], "accepted": [used + i < limit for i in range(len(rows))]})
+        used += len(rows)
         state.update((used,))
         state.setTimeoutTimestamp((int(group[1]) + 2 * seconds) * 1000 if (int(group[1]) + 2 * seconds) * 1000 > state.getCurrentWatermarkMs() else state.getCurrentWatermarkMs() + 1)
 
-    rows = stream.withWatermark(time, f"{seconds} seconds").select(F.col(key).cast("string").alias("_key"), (F.floor(F.unix_timestamp(time) / seconds) * seconds).alias("_window"), F.col(time).alias("_time"))
-    return rows.groupBy("_key", "_window").applyInPandasWithState(run, "key string, window_start long, accepted boolean", "used long", "append", "EventTimeTimeout")
+    rows = stream.withWatermark(time, f"{seconds} seconds").select(F.col(key).cast("string").alias("_key"), (F.floor(F.unix_timestamp(time) / seconds) * seconds).alias("_window"), F.col(time).alias("_time"), F.col(time).cast("double").alias("_at"))
+    return rows.groupBy("_key", "_window").applyInPandasWithState(run, "key string, window_start long, at double, accepted boolean", "used long", "append", "EventTimeTimeout")
 
 
 def claimable(runs: DataFrame, now) -> DataFrame:
