@@ -18,7 +18,7 @@ from ledgerlake.llm.classifier import classify
 from ledgerlake.llm.packing import crc_of, pack
 from ledgerlake.llm.queries import tokenizer
 from ledgerlake.llm.rules import labelled, learn, verdict, with_statistics
-from ledgerlake.llm.shared import stored
+from ledgerlake.llm.shared import discard, stored
 from ledgerlake.llm.simhash import near_copies
 from ledgerlake.llm.substring import remove_repeats
 from ledgerlake.session import table
@@ -31,9 +31,10 @@ ORACLE_SQL = None
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that pass the base rules and the decision list learned from the labelled ones among them."""
     labels = table(spark, sf_dir, "labels")
-    some = docs.select("doc_id", "text").join(labels.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id") == F.col("_id"), "left_semi")
-    # written down first: else the filter on statistics is pushed below the join, to all documents
-    rules = learn(labelled(with_statistics(stored(some, "labelled")).drop("text"), labels))
+    # statistics are small, so labels meet them and not texts
+    measured = stored(with_statistics(docs.select("doc_id", "text")).drop("text"), "measured")
+    rules = learn(labelled(measured, labels))
+    discard(measured)
     return with_statistics(docs.select(*COLUMNS)).filter(verdict(rules)).select(*COLUMNS)
 
 
