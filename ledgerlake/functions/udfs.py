@@ -141,3 +141,18 @@ def fold_label(label: pd.Series) -> pd.Series:
 @F.pandas_udf(T.StringType())
 def fold_company(label: pd.Series) -> pd.Series:
     return label.map(company_name)
+
+
+@F.pandas_udf(T.ArrayType(T.StructType([T.StructField("start", T.IntegerType()), T.StructField("stop", T.IntegerType())])))
+def line_spans(lines: pd.Series, text: pd.Series) -> pd.Series:
+    """Where each of a page's lines stands in the page's text, in characters: each is looked for after the one found before it, and null if it isn't there."""
+
+    def spans(own, page: str | None) -> list | None:
+        at, out = 0, []
+        for line in [] if own is None else own:
+            start = -1 if not line or not page else page.find(line, at)
+            at = start + len(line) if start >= 0 else at
+            out.append(None if start < 0 else {"start": start, "stop": at})
+        return None if own is None else out
+
+    return pd.Series([spans(*row) for row in zip(lines, text, strict=True)], dtype=object)

@@ -250,3 +250,36 @@ def refers_back(text: Column, markers: tuple[str, ...], companies: Column) -> Co
     said = F.concat(F.lit(" "), fold_label(F.coalesce(text, F.lit(""))), F.lit(" "))
     marked = F.greatest(F.lit(False), *[said.contains(f" {m} ") for m in markers])
     return marked & (F.size(F.array_distinct(companies)) >= 2)
+
+
+# Single words that name no company, though one's name may begin with them.
+PREFIX_STOPWORDS = ("a", "an", "and", "company", "corp", "corporation", "inc", "llc", "ltd", "the")
+
+
+def explicit_mentions(candidates: DataFrame, key: str = "question_id", question: str = "question") -> DataFrame:
+    """(key, mention, ticker, cik, legal_name) of the candidates that their question names, each as the question has it.
+
+    `candidates` has a row a candidate: the question beside mention, ticker, cik and legal_name. The mention itself comes
+    first, then the ticker (of one letter only behind a dollar), then the first words of the legal name, then of the mention: four
+    at most, the longest run that stands in the question. Candidates alike in all but case are one, the first by mention.
+    """
+    said = lambda phrase: F.concat(F.lit(" "), fold_label(F.coalesce(F.col(question), F.lit(""))), F.lit(" ")).contains(F.concat(F.lit(" "), phrase, F.lit(" "))) & (phrase != "")
+    ticker = F.regexp_replace(F.upper(F.trim("ticker")), r"^\$", "")
+    dollar = F.when(F.length(ticker) == 1, r"\$").otherwise(r"\$?")
+    by_ticker = F.coalesce((ticker != "") & F.regexp_like(F.col(question), F.concat(F.lit(r"(?i)(?<![A-Za-z0-9])"), dollar, F.lit(r"\Q"), F.replace(ticker, F.lit("\\E"), F.lit("\\E\\\\E\\Q")), F.lit(r"\E(?![A-Za-z0-9])"))), F.lit(False))
+
+    def prefix(name: str) -> Column:
+        words = F.slice(F.regexp_extract_all(F.coalesce(F.col(name), F.lit("")), F.lit(r"(?U)(\w+)")), 1, 4)
+        runs = F.transform(F.reverse(F.sequence(F.lit(1), F.greatest(F.size(words), F.lit(1)))), lambda n: F.array_join(F.slice(words, 1, n), " "))
+        return F.when(F.size(words) > 0, runs).otherwise(F.array().cast("array<string>"))
+
+    rows = candidates.withColumns({"_by_ticker": by_ticker, "_q": F.concat(F.lit(" "), fold_label(F.coalesce(F.col(question), F.lit(""))), F.lit(" ")), "_whole": F.coalesce(said(fold_label(F.coalesce("mention", F.lit("")))), F.lit(False))})
+    # runs of words are folded a run a row, then the longest that stands in the question is taken
+    tagged = rows.withColumn("_id", F.xxhash64(key, question, "mention", "ticker", "cik", "legal_name")).dropDuplicates(["_id"])
+    every = tagged.select("_id", "_q", F.posexplode(F.concat(prefix("legal_name"), prefix("mention"))).alias("_place", "_run"))
+    folded = every.withColumn("_f", fold_label("_run"))
+    met = folded.filter((F.col("_f") != "") & ~F.col("_f").isin(*PREFIX_STOPWORDS) & F.col("_q").contains(F.concat(F.lit(" "), "_f", F.lit(" "))))
+    best = met.groupBy(F.col("_id").alias("_of")).agg(F.min_by("_run", "_place").alias("_prefix"))
+    named = tagged.join(best, F.col("_id") == F.col("_of"), "left").withColumn("_m", F.when(F.col("_whole"), F.col("mention")).when(F.col("_by_ticker"), F.col("ticker")).otherwise(F.col("_prefix"))).filter("_m is not null")
+    own = W.partitionBy(key, fold_label("_m"), "ticker", "cik", fold_label(F.coalesce("legal_name", F.lit("")))).orderBy("_m", "_id")
+    return named.withColumn("_n", F.row_number().over(own)).filter("_n = 1").select(key, F.col("_m").alias("mention"), "ticker", "cik", "legal_name")

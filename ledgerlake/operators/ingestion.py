@@ -155,3 +155,30 @@ def company_label(name: str | Column) -> Column:
     own = F.col(name) if isinstance(name, str) else name
     plain = F.trim(F.regexp_replace(F.lower(own), r"(?U)[^\w]+", " "))
     return F.regexp_replace(plain, f"(?: (?:{'|'.join(LABEL_ENDINGS)}))+$", "")
+
+
+# How many warnings of a result an event shows, and how much of each.
+MOST_WARNINGS, MOST_WARNING_CHARS = 10, 240
+
+
+def result_events(outcomes: DataFrame, observations: DataFrame, warnings: DataFrame) -> DataFrame:
+    """(run_id, branch_id, event_key, status, cache_hit, n_observations, series, n_warnings, warnings) of branches' outcomes.
+
+    `outcomes`: run_id, branch_id, kind, status, attempts; `observations`: run_id, branch_id, series; `warnings`: run_id,
+    branch_id, place, text. Only a completed branch has a result. All warnings are counted and the first few by place
+    shown, cut to size; they are ranked before they are gathered, so tasks keep no more than that of any branch.
+    """
+    keys = ["run_id", "branch_id"]
+    place = F.row_number().over(W.partitionBy(*keys).orderBy("place", "text"))
+    first = warnings.withColumn("_n", place).filter(F.col("_n") <= MOST_WARNINGS)
+    shown = first.groupBy(*keys).agg(F.transform(F.array_sort(F.collect_list(F.struct("_n", F.left("text", F.lit(MOST_WARNING_CHARS)).alias("t")))), lambda w: w["t"]).alias("warnings"))
+    counted = warnings.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_warnings"))
+    seen = observations.groupBy(*keys, "series").agg(F.count(F.lit(1)).alias("n")).groupBy(*keys).agg(F.sum("n").alias("n_observations"), F.count("series").alias("series"))
+    done = F.col("status") == "completed"
+    said = outcomes.join(seen, keys, "left").join(counted, keys, "left").join(shown, keys, "left")
+    result = lambda c, none: F.when(done, F.coalesce(c, none)).alias(c)
+    zero = F.lit(0).cast("long")
+    return said.select(
+        *keys, F.concat_ws(":", F.lit("tool"), F.col("branch_id").cast("string"), "status", F.col("attempts").cast("string")).alias("event_key"), "kind", "status", (F.col("attempts") == 0).alias("cache_hit"),
+        result("n_observations", zero), result("series", zero), result("n_warnings", zero), result("warnings", F.array().cast("array<string>")),
+    )

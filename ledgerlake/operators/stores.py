@@ -8,6 +8,8 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ledgerlake.functions.udfs import line_spans
+
 # Forms that cover a fiscal year.
 ANNUAL_FORMS = ("10-K", "20-F", "40-F")
 
@@ -31,15 +33,6 @@ def merged(stored: DataFrame, batch: DataFrame, keys: list[str], order: str) ->
     return best.select(*keys, "_r.*").select(*batch.columns)
 
 
-def missing_rows(stored: DataFrame, batch: DataFrame, keys: list[str]) -> DataFrame:
-    """The batch's keys that aren't stored, once each; null keys are equal."""
-    named = stored.select(*[F.col(k).alias(f"_s_{k}") for k in keys]).distinct()
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_s_{k}"))
-    return batch.dropDuplicates(keys).join(named, same, "left_anti")
-
-
 def companies_of(batch: DataFrame, stored: DataFrame) -> DataFrame:
     """The batch with the stored company_id: by cik, else by display name where the cik is missing or unknown."""
     by_cik = stored.filter("cik is not null").groupBy(F.col("cik").alias("_cik")).agg(F.min("company_id").alias("_by_cik"))
@@ -132,3 +125,17 @@ def line_blocks(words: DataFrame, gap: float = 3.0) -> DataFrame:
 
     kinds = dict(words.dtypes)
     return words.filter("text is not null").groupBy("page_id").applyInPandas(run, f"page_id {kinds['page_id']}, line long, text string, x0 double, top double, x1 double, bottom double")
+
+
+def spanned_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """The lines (page_id, line, text, ...) with char_start and char_end in their page's text (page_id, page_text).
+
+    Numbers keep their gaps: a line of blanks alone has a number but no row. A page's lines, which its paper bounds, are
+    taken in order, so of equal lines each finds its own place; a line that isn't in the text has none.
+    """
+    full = lines.withColumn("text", F.trim("text")).filter("text <> ''")
+    own = full.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_l"))
+    texts = pages.select(F.col("page_id").alias("_p"), F.col("page_text").alias("_text"))
+    found = own.join(texts, F.col("page_id") == F.col("_p"), "left").select(F.col("page_id").alias("_p"), F.explode(F.arrays_zip(F.col("_l.line").alias("line"), line_spans(F.col("_l.text"), F.col("_text")).alias("span"))).alias("_s"))
+    spans = found.select("_p", F.col("_s.line").alias("_line"), F.col("_s.span.start").alias("char_start"), F.col("_s.span.stop").alias("char_end"))
+    return full.join(spans, (F.col("page_id") == F.col("_p")) & (F.col("line") == F.col("_line"))).drop("_p", "_line")

@@ -82,3 +82,22 @@ def e14(spark, sf):
     odd = F.col("event_id") % 2 == 1
     rows = table(spark, sf, "events").select("event_id", F.when(odd, F.upper("event_type")).otherwise(F.col("event_type")).alias("mention"), F.lit(None).cast("string").alias("ticker"), (F.col("user_id") % 3).cast("string").alias("cik"), F.lit(None).cast("string").alias("legal_name"))
     return N.distinct_mentions(rows, "event_id").select("event_id", F.lower("mention").alias("m"))
+
+
+@query("e13_explicit_mentions", """SELECT c_custkey AS question_id, CASE c_custkey % 5 WHEN 0 THEN 'firm ' || c_custkey WHEN 1 THEN 'T' || c_custkey WHEN 2 THEN 'Blue Ocean Trading Group' WHEN 3 THEN 'Blue Ocean' END AS mention FROM customer WHERE c_custkey % 5 < 4""")
+def e13(spark, sf):
+    """Named as it is, by ticker, by four words of the legal name, by two, and not at all; candidates come twice."""
+    k = F.col("c_custkey")
+    said = F.when(k % 5 == 0, F.concat(F.lit("How did FIRM "), k, F.lit(" do?"))).when(k % 5 == 1, F.concat(F.lit("What of $t"), k, F.lit(", then?"))).when(k % 5 == 2, "Is blue-ocean trading GROUP up?").when(k % 5 == 3, "Is Blue Ocean, The Company, up?").otherwise("Is the bluest ocean up?")
+    rows = table(spark, sf, "customer").select(k.alias("question_id"), said.alias("question"), F.concat(F.lit("firm "), k).alias("mention"), F.concat(F.lit("T"), k).alias("ticker"), F.lit(None).cast("string").alias("cik"), F.lit("Blue Ocean Trading Group Inc.").alias("legal_name"))
+    return N.explicit_mentions(rows.unionAll(rows)).select("question_id", "mention")
+
+
+@query("e2_label_dictionary", """WITH c AS (SELECT c_custkey AS id, 'firm ' || c_custkey AS name FROM customer), l AS (SELECT name AS label, id, 0 AS rank, 'legal_name' AS kind FROM c UNION ALL SELECT 'the ' || name, id, 1, 'display_name' FROM c UNION ALL SELECT CAST(id AS VARCHAR), id, 2, 'cik' FROM c
+UNION ALL SELECT 'group ' || id % 40, id, 4, 'alias' FROM c UNION ALL SELECT 't' || id, id, 5, 'ticker' FROM c UNION ALL SELECT 'old' || id, id, 5, 'ticker' FROM c WHERE id % 2 = 0) SELECT label, id AS company_id, arg_min(kind, rank) AS match_kind FROM l GROUP BY ALL""")
+def e2(spark, sf):
+    """Every label of every customer as a company; its aliases are shared, every other one has an old symbol."""
+    k = F.col("c_custkey")
+    rows = table(spark, sf, "customer").select(k.alias("company_id"), F.concat(F.lit("Firm "), k).alias("legal_name"), F.concat(F.lit("The Firm-"), k).alias("display_name"), k.cast("string").alias("cik"), F.concat(F.lit("GROUP "), k % 40).alias("alias"))
+    symbols = rows.select("company_id", F.explode(F.array(F.concat(F.lit("T"), "company_id"), F.when(F.col("company_id") % 2 == 0, F.concat(F.lit("OLD"), "company_id")))).alias("symbol")).filter("symbol is not null")
+    return N.label_dictionary(rows, symbols, rows.select("company_id", "alias"))

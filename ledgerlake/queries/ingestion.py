@@ -200,3 +200,15 @@ def r28(spark, sf):
     chunks = table(spark, sf, "documents").select(k.alias("chunk_id"), F.lit(1).alias("company_id"), k.alias("document_id"), F.lit(2).alias("section_id"), F.lit(2024).alias("fiscal_year"), F.concat(F.lit("Q"), k % 4).alias("fiscal_period"), F.col("lang").alias("text"), F.lit(3).alias("tokens"))
     chosen = chunks.filter("chunk_id % 2 = 0").select(F.col("chunk_id").cast("string").alias("chunk_id"), F.lit(1).alias("final_rank"))
     return I.chunk_evidence(chosen, chunks).select("label", "content", "period")
+
+
+@query("st14_result_events", """WITH w AS (SELECT l_suppkey AS b, l_linenumber, l_orderkey, row_number() OVER (PARTITION BY l_suppkey ORDER BY l_orderkey, repeat('warning ' || l_orderkey || ' ', 40)) AS n, repeat('warning ' || l_orderkey || ' ', 40)[1:240] AS t FROM lineitem WHERE l_linenumber = 1), s AS (SELECT b, count(*) AS n, list(t ORDER BY n) FILTER (n <= 10) AS t FROM w GROUP BY b),
+o AS (SELECT l_suppkey AS b, count(*) AS n, count(DISTINCT l_returnflag) AS series FROM lineitem GROUP BY ALL)
+SELECT s_suppkey AS branch_id, 'tool:' || s_suppkey || ':' || CASE WHEN s_suppkey % 4 = 0 THEN 'failed' ELSE 'completed' END || ':' || s_suppkey % 3 AS event_key, s_suppkey % 3 = 0 AS cache_hit, CASE WHEN s_suppkey % 4 > 0 THEN coalesce(o.n, 0) END AS n_observations, CASE WHEN s_suppkey % 4 > 0 THEN coalesce(series, 0) END AS series,
+CASE WHEN s_suppkey % 4 > 0 THEN coalesce(s.n, 0) END AS n_warnings, CASE WHEN s_suppkey % 4 > 0 THEN coalesce(array_to_string(s.t, '|'), '') END AS warnings FROM supplier LEFT JOIN o ON o.b = s_suppkey LEFT JOIN s ON s.b = s_suppkey""")
+def st14_results(spark, sf):
+    """Suppliers as branches: their lines are observations, the first line of each order a long warning."""
+    k = F.col("s_suppkey")
+    outcomes = table(spark, sf, "supplier").select(F.lit("r").alias("run_id"), k.alias("branch_id"), F.lit("query_financial_facts").alias("kind"), F.when(k % 4 == 0, "failed").otherwise("completed").alias("status"), (k % 3).alias("attempts"))
+    lines = table(spark, sf, "lineitem").select(F.lit("r").alias("run_id"), F.col("l_suppkey").alias("branch_id"), F.col("l_returnflag").alias("series"), "l_linenumber", F.col("l_orderkey").alias("place"), F.repeat(F.concat(F.lit("warning "), "l_orderkey", F.lit(" ")), F.lit(40)).alias("text"))
+    return I.result_events(outcomes, lines, lines.filter("l_linenumber = 1")).withColumn("warnings", F.array_join("warnings", "|")).drop("run_id", "kind", "status")
