@@ -80,3 +80,21 @@ def test_explicit_mentions_equal_the_rules(spark):
     got = {r.question_id: r.mention for r in entities.explicit_mentions(df.unionAll(df)).collect()}
     want = {k: m for k, q, a, t, _, n in rows if (m := brute_mention(q, a, t, n)) is not None}
     assert sorted(got.items()) == sorted(want.items()) and len(got) == 7
+
+
+def test_table_functions_equal_the_frames(spark, sf):
+    from ledgerlake import catalogue, queries as _  # noqa: F401
+    from ledgerlake.functions.tables import register
+
+    plain = lambda name: sorted(map(str, catalogue.QUERIES[name](spark, sf).collect()))
+    assert plain("d5_chunks_by_sql") == plain("d5_d6_chunks")
+    long = {r.page_id: [s.section_key for s in r.sections or []] for r in catalogue.QUERIES["s15_sections"](spark, sf).collect()}
+    got = {k: [] for k in long}
+    for r in catalogue.QUERIES["s15_sections_by_sql"](spark, sf).collect():
+        got[r.page_id] += [r.section_key] if r.section_key else []
+    assert got == long
+    register(spark)
+    text = "Item 1A. Risk Factors " + "risk " * 200 + " Item 7. Management's Discussion and Analysis " + "growth " * 200 + " Item 8. Statements"
+    rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
+    assert {r.id for r in spark.sql("SELECT t.id, s.* FROM {t} t, LATERAL sections(t.text) s", t=rows).collect()} == {1}
+    assert spark.sql("SELECT c.* FROM {t} t, LATERAL claims(t.text) c WHERE t.id > 1", t=rows).count() == spark.sql("SELECT c.* FROM {t} t, LATERAL chunks(t.text, 9, 2) c WHERE t.id > 1", t=rows).count() == 0
