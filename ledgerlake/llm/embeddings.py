@@ -60,26 +60,42 @@ def prepared(rows: DataFrame, vector: str, ident: str) -> DataFrame:
     return rows.select(F.col(ident).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("v")).mapInArrow(run, "vec_id long, digest string, size int, unit binary")
 
 
-def principal(units: DataFrame, size: int, leading: int) -> np.ndarray:
-    """Leading principal directions, from sums that are added up before they move (size * size numbers a task)."""
+def principal(units: DataFrame, leading: int) -> dict[int, np.ndarray]:
+    """Leading principal directions of each vector length, from sums that are added up before they move (size * size numbers a task and length)."""
 
     def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((size + 1, size + 1))
+        total: dict[int, np.ndarray] = {}
         for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(0).to_pylist()), float).reshape(-1, size)
-                x = np.hstack([x, np.ones((len(x), 1))])
-                total += x.T @ x
-        yield pa.RecordBatch.from_arrays([pa.array(np.arange(total.size)), pa.array(total.ravel())], names=["k", "x"])
-
-    sums = units.filter(F.col("size") == size).select("unit").mapInArrow(moments, "k long, x double").groupBy("k").agg(F.sum("x").alias("x")).toArrow()
-    total = np.zeros((size + 1) ** 2)
-    total[np.asarray(sums.column("k"), np.int64)] = np.asarray(sums.column("x"), float)
-    total = total.reshape(size + 1, size + 1)
-    n = max(1.0, total[-1, -1])
-    mean = total[-1, :-1] / n
-    _, vectors = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
-    return vectors[:, ::-1][:, :leading]
+            for size, part in by_size(batch):
+                x = np.hstack([matrix(part.column("unit"), size), np.ones((part.num_rows, 1))])
+                total[size] = total.get(size, 0) + x.T @ x
+        for size, own in total.items():
+            yield pa.RecordBatch.from_arrays([pa.array([size] * own.size, pa.int32()), pa.array(np.arange(own.size)), pa.array(own.ravel())], names=["size", "k", "x"])
+
+    def directions(key: tuple, table: pa.Table) -> pa.Table:
+        size = key[0].as_py()
+        total = np.zeros((size + 1) ** 2)
+        total[np.asarray(table.column("k"), np.int64)] = np.asarray(table.column("x"), float)
+        total = total.reshape(size + 1, size + 1)
+        n = max(1.0, total[-1, -1])
+        mean = total[-1, :-1] / n
+        _, vectors = np.linalg.eigh(total[:-1, :-1] / n - np.outer(mean, mean))
+        return pa.table({"size": pa.array([size], pa.int32()), "axes": pa.array([np.ascontiguousarray(vectors[:, ::-1][:, :leading]).tobytes()], pa.binary())})
+
+    sums = units.select("size", "unit").mapInArrow(moments, "size int, k long, x double").groupBy("size", "k").agg(F.sum("x").alias("x"))
+    found = sums.groupBy("size").applyInArrow(directions, "size int, axes binary").collect()  # a row a length
+    return {r["size"]: np.frombuffer(r["axes"], float).reshape(r["size"], -1) for r in found}
+
+
+def by_size(batch: pa.RecordBatch) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """The batch's rows of each vector length."""
+    size = np.asarray(batch.column("size"))
+    for n in np.unique(size).tolist():
+        yield n, batch.take(pa.array(np.flatnonzero(size == n)))
+
+
+def matrix(column: pa.Array, size: int) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), float).reshape(-1, size)
 
 
 def gap(low_a: np.ndarray, high_a: np.ndarray, low_b: np.ndarray, high_b: np.ndarray) -> float:
@@ -153,16 +169,9 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "ve
     equal = units.filter("digest is not null").groupBy("digest", "size").agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("unit").alias("unit"))
     # equal vectors are one node; numbers are given once and written down
     classes = stored(equal.withColumn("node", F.monotonically_increasing_id()), "classes")
-    epsilon = float(np.sqrt(2 - 2 * cosine))
-    links = edges = None
-    for size in [r["size"] for r in classes.select("size").distinct().collect()]:
-        own = classes.filter(F.col("size") == size)
-        found = stored(_size_links(own, size, cosine, epsilon, run_rows or max(LEAF, run_bytes // (8 * size)), min(leading, size)), "links")
-        part = found.groupBy("node").agg(F.sum("links").alias("links"))
-        star = found.filter("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst"))
-        links, edges = (part, star) if links is None else (links.unionByName(part), edges.unionByName(star))
-    if links is None:
-        return units.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
+    found = stored(_near_links(classes, cosine, float(np.sqrt(2 - 2 * cosine)), run_rows, run_bytes, leading), "links")
+    links = found.groupBy("node").agg(F.sum("links").alias("links"))
+    edges = found.filter("node <> root").select(F.col("root").alias("src"), F.col("node").alias("dst"))
     rooted = (
         classes.select("digest", F.col("size").alias("_size"), "node", "copies", "least").join(links.withColumnRenamed("node", "_l"), F.col("node") == F.col("_l"), "left")
         .join(connected_components(edges).withColumnRenamed("node", "_c"), F.col("node") == F.col("_c"), "left")
@@ -175,74 +184,75 @@ def near_duplicates(rows: DataFrame, vector: str = "embedding", ident: str = "ve
     return out.select("vec_id", F.coalesce("_n", F.lit(0).cast("long")).alias("n_links"), component.alias("component_id"), F.coalesce(component == F.col("vec_id"), F.lit(False)).alias("kept"))
 
 
-def _size_links(classes: DataFrame, size: int, cosine: float, epsilon: float, run_rows: int, leading: int) -> DataFrame:
-    """(node, links, root) rows of all runs' joins, for vectors of one length."""
-    axes = principal(classes, size, leading)
+def _near_links(classes: DataFrame, cosine: float, epsilon: float, run_rows: int | None, run_bytes: int, leading: int) -> DataFrame:
+    """(node, links, root) rows of all runs' joins. The length of vectors is part of every key, so all lengths go through the same jobs."""
+    axes = principal(classes, leading)
     far = (epsilon + 1e-9) ** 2
+    rows_of = lambda size: run_rows or max(LEAF, run_bytes // (8 * size))
 
     def cells(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            if batch.num_rows:
-                x = np.frombuffer(b"".join(batch.column(2).to_pylist()), float).reshape(-1, size)
-                grid = np.floor((x @ axes) / epsilon).astype(np.int64)
-                # one sortable text a vector: cells in the order of the dimensions
-                order = ["".join(chr(0x100 + c) for c in row) for row in grid.tolist()]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(order, pa.string())], names=["node", "copies", "unit", "cell"])
-
-    total = classes.count()
-    runs = max(1, round(total / run_rows))
-    placed = classes.select("node", "copies", "unit").mapInArrow(cells, "node long, copies long, unit binary, cell string")
+            for size, part in by_size(batch):
+                grid = np.floor((matrix(part.column("unit"), size) @ axes[size]) / epsilon).astype(np.int64)
+                # one sortable text a vector: its length, then cells in the order of the dimensions
+                order = [f"{size:010d}" + "".join(chr(0x100 + c) for c in row) for row in grid.tolist()]
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(order, pa.string())], names=["node", "copies", "size", "unit", "cell"])
+
+    counts = classes.groupBy("size").count().collect()  # a row a length
+    runs = max(1, round(sum(r["count"] / rows_of(r["size"]) for r in counts)))
+    placed = classes.select("node", "copies", "size", "unit").mapInArrow(cells, "node long, copies long, size int, unit binary, cell string")
     ranged = placed.repartitionByRange(runs, "cell", "node").sortWithinPartitions("cell", "node").coalesce(runs)
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         held: list = []
-        count = sent = 0
+        count = sent = size = 0
 
         def out() -> pa.RecordBatch:
             table = pa.Table.from_batches(held).combine_chunks()
-            places = np.frombuffer(b"".join(table.column("unit").to_pylist()), float).reshape(-1, size) @ axes
+            places = np.zeros((count, leading))  # short vectors have fewer dimensions, and zeros in the rest
+            places[:, : axes[size].shape[1]] = matrix(table.column("unit"), size) @ axes[size]
             starts = range(0, count, LEAF)
             boxes = [places[k : k + LEAF] for k in starts]
             nodes, copies, raw = np.asarray(table.column("node")), np.asarray(table.column("copies")), table.column("unit").to_pylist()
             part = lambda make: pa.array([make(slice(k, k + LEAF)) for k in starts], pa.binary())
             return pa.RecordBatch.from_arrays([
-                pa.array([TaskContext.get().partitionId() << 32 | sent] * len(boxes), pa.int64()), pa.array(range(len(boxes)), pa.int32()),
+                pa.array([TaskContext.get().partitionId() << 32 | sent] * len(boxes), pa.int64()), pa.array([size] * len(boxes), pa.int32()), pa.array(range(len(boxes)), pa.int32()),
                 part(lambda at: nodes[at].tobytes()), part(lambda at: copies[at].tobytes()), part(lambda at: b"".join(raw[at])),
                 pa.array([x.min(0).tolist() for x in boxes], pa.list_(pa.float64())), pa.array([x.max(0).tolist() for x in boxes], pa.list_(pa.float64())),
-            ], names=["run", "leaf", "nodes", "copies", "units", "low", "high"])
+            ], names=["run", "size", "leaf", "nodes", "copies", "units", "low", "high"])
 
         for batch in batches:
-            for k in range(0, batch.num_rows, run_rows):
-                part = batch.slice(k, run_rows)
-                while part.num_rows:
-                    own = part.slice(0, run_rows - count)
-                    held.append(own)
-                    count += own.num_rows
-                    part = part.slice(own.num_rows)
-                    if count == run_rows:
-                        yield out()
-                        held, count, sent = [], 0, sent + 1
+            sizes, at = np.asarray(batch.column("size")), 0
+            while at < batch.num_rows:
+                if count and (sizes[at] != size or count == rows_of(size)):
+                    yield out()
+                    held, count, sent = [], 0, sent + 1
+                size = int(sizes[at])
+                alike = np.flatnonzero(sizes[at:] != size)
+                take = min(int(alike[0]) if len(alike) else batch.num_rows - at, rows_of(size) - count)
+                held.append(batch.slice(at, take))
+                count, at = count + take, at + take
         if count:
             yield out()
 
-    sequence = stored(ranged.mapInArrow(gather, "run long, leaf int, nodes binary, copies binary, units binary, low array<double>, high array<double>"), "runs")
+    sequence = stored(ranged.mapInArrow(gather, "run long, size int, leaf int, nodes binary, copies binary, units binary, low array<double>, high array<double>"), "runs")
     # a run's box, and the boxes of its leaves; vectors stay behind
     least, most = ([f(F.col(side)[d]) for d in range(leading)] for side, f in (("low", F.min), ("high", F.max)))
-    outlines = stored(sequence.groupBy("run").agg(F.array(*least).alias("low"), F.array(*most).alias("high"), F.array_sort(F.collect_list(F.struct("leaf", F.col("low").alias("l"), F.col("high").alias("h")))).alias("leaves")), "outlines")
+    outlines = stored(sequence.groupBy("run", "size").agg(F.array(*least).alias("low"), F.array(*most).alias("high"), F.array_sort(F.collect_list(F.struct("leaf", F.col("low").alias("l"), F.col("high").alias("h")))).alias("leaves")), "outlines")
     # runs whose cells in the first dimensions touch: an equi-join on cells, one side with its neighbours
     dims = min(3, leading)
 
     def spread(more: int, name: str) -> DataFrame:
-        out = outlines.select("run", "low", "high")
+        out = outlines.select("run", "size", "low", "high")
         for d in range(dims):
             cell = lambda x: F.floor(F.col(x)[d] / epsilon)  # noqa: B023, E731
             out = out.withColumn(f"c{d}", F.explode(F.sequence(cell("low") - more, cell("high") + more)))
         return out.drop("low", "high").withColumnRenamed("run", name)
 
     at = [f"c{d}" for d in range(dims)]
-    touching = spread(0, "a").join(spread(1, "b"), at).filter("a <= b").select("a", "b").distinct()
+    touching = spread(0, "a").join(spread(1, "b"), ["size", *at]).filter("a <= b").select("a", "b").distinct()
     sides = [outlines.select(*[F.col(c).alias(f"{c}_{x}") for c in outlines.columns]) for x in "ab"]
     both = touching.join(sides[0], F.col("a") == F.col("run_a")).join(sides[1], F.col("b") == F.col("run_b"))
     apart = sum((F.pow(F.greatest(F.lit(0.0), F.col("low_b")[d] - F.col("high_a")[d], F.col("low_a")[d] - F.col("high_b")[d]), F.lit(2.0)) for d in range(leading)), F.lit(0.0))
@@ -262,16 +272,16 @@ def _size_links(classes: DataFrame, size: int, cosine: float, epsilon: float, ru
                     yield pa.RecordBatch.from_arrays([pa.array([row["a"]] * len(found), pa.int64()), pa.array([row["b"]] * len(found), pa.int64()), pa.array([r for r, _ in found], pa.int64()), pa.array([k for _, k in found], pa.int32())], names=["a", "b", "_run", "_leaf"])
 
     wanted = near.mapInArrow(needed, "a long, b long, _run long, _leaf int")
-    carried = wanted.join(sequence.select("run", "leaf", "nodes", "copies", "units"), (F.col("run") == F.col("_run")) & (F.col("leaf") == F.col("_leaf"))).drop("_run", "_leaf")
+    carried = wanted.join(sequence.select("run", "size", "leaf", "nodes", "copies", "units"), (F.col("run") == F.col("_run")) & (F.col("leaf") == F.col("_leaf"))).drop("_run", "_leaf")
 
     def compare(table: pa.Table) -> pa.Table:
         rows = table.sort_by([("run", "ascending"), ("leaf", "ascending")])
-        a, b = table.column("a")[0].as_py(), table.column("b")[0].as_py()
+        a, b, size = (table.column(c)[0].as_py() for c in ("a", "b", "size"))
         loaded = {}
         for run in {a, b}:
             own = rows.filter(pc.equal(rows.column("run"), run))
             raw = {c: b"".join(own.column(c).to_pylist()) for c in ("nodes", "copies", "units")}
-            loaded[run] = Run(np.frombuffer(raw["nodes"], np.int64), np.frombuffer(raw["copies"], np.int64), np.frombuffer(raw["units"], float).reshape(-1, size), axes)
+            loaded[run] = Run(np.frombuffer(raw["nodes"], np.int64), np.frombuffer(raw["copies"], np.int64), np.frombuffer(raw["units"], float).reshape(-1, size), axes[size])
         counts, label, node, _ = join(loaded[a], loaded[b], cosine, far)
         # the root is the smallest node of its component here
         smallest = np.full(len(label), np.iinfo(np.int64).max)

@@ -9,6 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from ledgerlake.llm.centroids import clustered, nearest, weighted_sums
+from ledgerlake.llm.embeddings import near_duplicates
 from ledgerlake.llm.negatives import hard_negatives
 from ledgerlake.llm.vectors import products
 from ledgerlake.llm.warc import END, archived, captures, parsed, records, write
@@ -144,3 +145,19 @@ def test_archives_of_others(spark, tmp_path):
     assert bytes(rows["r1"].capture.payload) == b"body" and rows["r1"].capture.sha1 == hashlib.sha1(b"body").hexdigest()
     assert bytes(rows["r2"].capture.payload) == b"plain" and not rows["r2"].requests and not rows["r2"].metadata
     assert [r["record_id"] for r in parsed(gzip.compress(b"".join(one))[:-3], False)] == ["w", "r1", "q1"] and list(parsed(b"", True)) == []
+
+
+def test_near_duplicates_of_many_lengths(spark):
+    """Vectors of 25 lengths go through the same jobs, and only those of one length are linked."""
+    rng = np.random.default_rng(16)
+    rows, want = [], {}
+    for k in range(25):
+        base = rng.normal(size=k + 2)
+        for j in range(4):
+            rows.append((10 * k + j, (base + 1e-3 * rng.normal(size=k + 2)).tolist()))
+            want[10 * k + j] = (3, 10 * k)
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(5)
+    before = spark.sparkContext.statusTracker().getJobIdsForGroup()
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_duplicates(frame, run_rows=3).collect()}
+    assert got == want
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup()) - len(before) < 100
