@@ -98,3 +98,35 @@ def test_table_functions_equal_the_frames(spark, sf):
     rows = spark.createDataFrame([(1, text), (2, None), (3, "")], "id long, text string")
     assert {r.id for r in spark.sql("SELECT t.id, s.* FROM {t} t, LATERAL sections(t.text) s", t=rows).collect()} == {1}
     assert spark.sql("SELECT c.* FROM {t} t, LATERAL claims(t.text) c WHERE t.id > 1", t=rows).count() == spark.sql("SELECT c.* FROM {t} t, LATERAL chunks(t.text, 9, 2) c WHERE t.id > 1", t=rows).count() == 0
+
+
+def test_chunks_overlap_and_are_packed():
+    """Fixed windows begin `overlap` tokens before the last one's end; paragraphs are packed until the next doesn't fit."""
+    import random
+
+    from ledgerlake.operators.documents import count_tokens, fixed_chunks, paragraph_chunks, word_spans
+
+    rng = random.Random(12)
+    for _ in range(200):
+        most = rng.randrange(2, 30)
+        overlap = rng.randrange(0, most)
+        text = " ".join(f"w{k}" + rng.choice(["", ".", ",", " -"]) for k in range(rng.randrange(1, 120)))
+        spans = word_spans(text)
+        begins, ends = {a: i for i, (a, _) in enumerate(spans)}, {b: i + 1 for i, (_, b) in enumerate(spans)}
+        got = [(begins[a], ends[b]) for a, b in fixed_chunks(text, most, overlap)]
+        assert got[0][0] == 0 and got[-1][1] == len(spans) and all(0 < b - a <= most for a, b in got)
+        assert all(b - a == most for a, b in got[:-1]) and all(x[0] == y[1] - overlap for y, x in zip(got, got[1:]) if overlap < most)
+
+        words = [rng.randrange(1, most + 1) for _ in range(rng.randrange(1, 15))]
+        paragraphs = [" ".join(f"p{i}x{j}" for j in range(n)) for i, n in enumerate(words)]
+        packed = paragraph_chunks("\n\n".join(paragraphs), most, 0)
+        # without an overlap: the greedy filling of windows by whole paragraphs
+        want, held = [], []
+        for own, n in zip(paragraphs, words):
+            if held and sum(len(p.split()) for p in held) + n > most:
+                want, held = [*want, "\n\n".join(held)], []
+            held.append(own)
+        assert [t for _, _, t in packed] == [*want, "\n\n".join(held)]
+        lapped = [t for _, _, t in paragraph_chunks("\n\n".join(paragraphs), most, overlap)]
+        seen = " ".join(lapped).split()
+        assert set(seen) == set(" ".join(paragraphs).split()) and all(count_tokens(t) <= most for t in lapped)
