@@ -16,13 +16,13 @@ from pyspark.sql.functions import udtf
 
 from ledgerlake.functions.udfs import sections_of
 from ledgerlake.operators.claims import claims_of
-from ledgerlake.operators.documents import count_tokens, paragraph_chunks
+from ledgerlake.operators.documents import packed_chunks
 
 
 class Chunks:
     def eval(self, text: str | None, most: int, overlap: int) -> Iterator[tuple]:
-        for i, (start, stop, own) in enumerate(paragraph_chunks(text or "", most, overlap)):
-            yield i, start, stop, own, count_tokens(own)
+        for i, chunk in enumerate(packed_chunks(text or "", most, overlap)):
+            yield i, *chunk
 
 
 class Claims:
