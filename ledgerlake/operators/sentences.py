@@ -54,13 +54,13 @@ def latest_point(points: Column) -> Column:
     return F.reduce(points, F.try_element_at(points, F.lit(1)), lambda best, p: F.when(p["observed_at"] > F.coalesce(best["observed_at"], F.lit("0001-01-01").cast("date")), p).otherwise(best))
 
 
-def sentence() -> Column:
-    """One sentence for the row; null for kinds that are not known."""
+def sentence(largest: str = "trillion") -> Column:
+    """One sentence for the row, with money in words up to `largest`; null for kinds that are not known."""
     unit = F.coalesce("unit", F.lit(""))
-    value, points = display_value(F.col("value"), unit), _points()
+    value, points = display_value(F.col("value"), unit, largest), _points()
     newest = latest_point(points)
     subject = F.concat_ws(" ", _company(), _metric(), _operation())
-    series = F.concat(subject, F.lit(" covered "), covered_period(points), F.lit("; latest value was "), display_value(newest["value"], unit), _at(newest["observed_at"]), F.lit("."))
+    series = F.concat(subject, F.lit(" covered "), covered_period(points), F.lit("; latest value was "), display_value(newest["value"], unit, largest), _at(newest["observed_at"]), F.lit("."))
     calculated = F.when(F.col("value").isNotNull(), F.concat(subject, F.lit(" was "), value, _period(), F.lit("."))).when(F.size(points) > 0, series).otherwise(F.concat(subject, F.lit(" was calculated.")))
     fact = F.concat(_company(), F.lit(" "), _metric(), F.lit(" was "), value, _period(), F.lit("."))
     macro = F.concat(F.lit("The macro observation was "), value, _period(), F.lit("."))
