@@ -68,22 +68,22 @@ def sentence(largest: str = "trillion") -> Column:
     return F.when(kind == "calculation", calculated).when(kind == "financial_fact", F.coalesce(fact, "summary")).when(kind == "macro_observation", F.coalesce(macro, "summary")).when(kind == "document", F.col("summary"))
 
 
-def compact_view(evidence: DataFrame) -> DataFrame:
+def compact_view(evidence: DataFrame, largest: str = "trillion") -> DataFrame:
     """evidence_id, kind, summary, display_summary, display_value, and for documents trust and flags of injections.
 
-    Values are shown, not given raw; documents' texts are cleaned of control characters and marked as not trusted.
+    Values are shown, not given raw, money in words up to `largest`; documents' texts are cleaned of control characters and marked as not trusted.
     """
     document = F.col("kind") == "document"
     unit = F.coalesce("unit", F.lit(""))
-    value = display_value(F.col("value"), unit)
+    value = display_value(F.col("value"), unit, largest)
     cleaned = number_display(F.when(document, sanitised("summary")).otherwise(F.col("summary")))
     fact = F.concat(_company(), F.lit(" "), _metric(), F.lit(": "), value, _period())
     macro = F.concat(F.lit("Macro observation: "), value, _period())
-    shown = F.when(F.col("kind") == "financial_fact", fact).when(F.col("kind") == "macro_observation", macro).when(F.col("kind") == "calculation", sentence())
+    shown = F.when(F.col("kind") == "financial_fact", fact).when(F.col("kind") == "macro_observation", macro).when(F.col("kind") == "calculation", sentence(largest))
     return evidence.select(
         "evidence_id", "kind", cleaned.alias("summary"), F.coalesce(shown, number_display("summary")).alias("display_summary"), value.alias("display_value"),
         F.when(document, UNTRUSTED).alias("trust"), F.when(document, injection_flags("summary")).alias("injection_flags"),
-        F.transform(_points(), lambda p: F.struct(p["observed_at"].alias("observed_at"), display_value(p["value"], unit).alias("display_value"))).alias("points"),
+        F.transform(_points(), lambda p: F.struct(p["observed_at"].alias("observed_at"), display_value(p["value"], unit, largest).alias("display_value"))).alias("points"),
     )
 
 
