@@ -87,11 +87,11 @@ def compact_view(evidence: DataFrame, largest: str = "trillion") -> DataFrame:
     )
 
 
-def calculation_summary(evidence: DataFrame) -> DataFrame:
+def calculation_summary(evidence: DataFrame, largest: str = "trillion") -> DataFrame:
     """(evidence_id, told): what a calculation gave, its latest value, and the time that several values cover."""
     points, unit = _points(), F.coalesce("unit", F.lit(""))
     newest = latest_point(points)
-    told = F.concat(display_value(newest["value"], unit), _at(newest["observed_at"]))
+    told = F.concat(display_value(newest["value"], unit, largest), _at(newest["observed_at"]))
     span = covered_period(points)
     covers = F.when(span.contains(" through "), F.concat(F.lit("; covers "), span)).otherwise(F.lit(""))
     one = F.concat(_operation(), F.lit(": "), told)

@@ -21,7 +21,7 @@ def differences(spark, folder, name):
     return set(got) - set(want), set(want) - set(got)
 
 
-@pytest.mark.parametrize("name", ["f15_f16_display", "c17_sentences", "c15_compact_view"])
+@pytest.mark.parametrize("name", ["f15_f16_display", "c17_sentences", "c15_compact_view", "c17_calculation_summaries"])
 def test_sums_over_a_billion(spark, sf, tmp_path, name):
     shift = 122_070  # times 8192: just below 1e9
     spark.read.parquet(f"{sf}/customer.parquet").withColumn("c_custkey", F.col("c_custkey") + shift).write.parquet(str(tmp_path / "customer.parquet"))
