@@ -49,6 +49,11 @@ def normalise_document(text: str | Column) -> Column:
     return strip(F.regexp_replace(blanks, "\\n{3,}", "\n\n"))
 
 
+def lower_words(text: str | Column) -> Column:
+    """Words of letters, digits and underscores in lower case, joined by one space; unlike folded ones, each letter stays (ß)."""
+    return F.trim(F.regexp_replace(F.lower(_col(text)), r"[^\p{L}\p{N}_]+", " "))
+
+
 def fingerprint_words(text: str | Column) -> Column:
     return F.regexp_extract_all(F.lower(_col(text)), F.lit("[a-z0-9]+"), 0)
 

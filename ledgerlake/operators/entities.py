@@ -7,6 +7,8 @@ Spark broadcasts them only where their size allows it, and shuffles by label oth
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlake.functions.text import let
@@ -134,7 +136,7 @@ def label_matches(queries: DataFrame, labels: DataFrame, key: str, text: str, lo
         F.count(F.lit(1)).alias("n_companies"), F.min("company_id").alias("_first"), F.min_by("match_kind", "company_id").alias("match_kind"),
         F.struct(F.count(F.lit(1)).alias("n"), F.min("company_id").alias("m"), F.bit_xor(F.xxhash64("company_id")).alias("x"), F.bit_xor(F.xxhash64("company_id", F.lit(1))).alias("y")).alias("_set"),
     )
-    runs = queries.select(key, F.split(fold_label(F.coalesce(F.col(text), F.lit(""))), " ").alias("_w")).select(key, F.explode(word_runs(F.col("_w"), low, high)).alias("label"))
+    runs = queries.select(key, F.split(fold(F.coalesce(F.col(text), F.lit(""))), " ").alias("_w")).select(key, F.explode(word_runs(F.col("_w"), low, high)).alias("label"))
     found = runs.join(grouped, "label")
     parts = let(F.split("label", " "), lambda w: F.filter(word_runs(w, 1, max(high - 1, 1)), lambda r: F.length(r) < F.length(F.array_join(w, " "))))
     inner = found.select(F.col(key).alias("_key"), F.explode(parts).alias("_part")).distinct()

@@ -45,3 +45,11 @@ def test_years_and_amounts(spark):
     rows = spark.createDataFrame([("Made 2017 USD in 1998, 2,001 and $1999.",), ("From 2010 to 2012 by 2011% and 2013 percent; 2014 usdx, 5 USD/shares.",), ("In 2015: 2015 million, € 2016.",), ("No year.",)], "text string")
     got = [(r.y, [n.value for n in r.n]) for r in rows.select(stated_years(F.col("text"), units).alias("y"), stated_numbers(F.col("text"), units).alias("n")).collect()]
     assert got == [(["1998"], [2017.0, 2001.0, 1999.0]), (["2010", "2012", "2014"], [2011.0, 2013.0, 5.0]), (["2015", "2015"], [2015e6, 2016.0]), ([], [])]
+
+
+def test_labels_keep_their_letters(spark, tmp_path):
+    """ß is no ss in the query's SQL; a text of capitals names the label of small letters."""
+    spark.createDataFrame([(1, "Enlich schß ö mehr"), (2, "erSSie entech und"), (3, None)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    texts = [(1, "ein ENLICH  schß, Ö und mehr"), (2, "enlich schss ö"), (3, "ERSSIE-entech"), (4, "erßie entech"), (5, None)]
+    spark.createDataFrame(texts, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    assert differences(spark, tmp_path, "e2_e3_e4_label_matches") == (set(), set())
