@@ -3,8 +3,9 @@
     spark.dataSource.register(EventLog)
     spark.readStream.format("event_log").option("ident", "event_id").option("cursor", 100).load(path)
 
-The log is a Parquet file or folder that may grow. A page holds `page` events, one page is one partition, and a micro-batch
-takes `pages` of them at most, so neither a long log nor a late reader makes a batch large. Files' footers tell which
+The log is a Parquet file or folder that may grow. A page holds `page` events, and a micro-batch takes `pages` of them at
+most (if not given, as many as hold BATCH events), so neither a long log nor a late reader makes a batch large.
+Neighbouring pages share a partition of SHARE events, so a task has enough to do however small pages are. Files' footers tell which
 row groups may hold the next ids, and the driver reads the ids of those alone, a few where the log was written in about
 the order of its ids; rows are read by the tasks, each only the row groups of its page. A stream that is started again
 goes on after the last id of its checkpoint, and each id is read once. Paths are opened by pyarrow's file systems.
@@ -31,9 +32,13 @@ from pyspark.sql.types import StructType
 from ledgerlake.sources.paths import opened
 
 
+#: Events of a micro-batch where no number of pages is given, and of a partition, in whole pages.
+BATCH, SHARE = 1_000_000, 50_000
+
+
 @dataclass
 class Page(InputPartition):
-    """The ids from `low` to `high`, both included, of the files that may hold them."""
+    """One or more neighbouring pages: the ids from `low` to `high`, both included, of the files that may hold them."""
 
     low: int
     high: int
@@ -83,7 +88,8 @@ class EventLogReader(DataSourceStreamReader):
         self.ident = options.get("ident", "id")
         self.first = int(options.get("cursor", -(2**62)))
         self.until = int(options["until"]) if "until" in options else None
-        self.page, self.most = int(options.get("page", 100)), int(options.get("pages", 64))
+        self.page = int(options.get("page", 100))
+        self.most = int(options.get("pages", max(1, BATCH // self.page)))
         self.at: int | None = None
         self.known: dict[tuple, list[Stretch]] = {}
 
@@ -139,10 +145,12 @@ class EventLogReader(DataSourceStreamReader):
         return {"cursor": ahead[-1][1] if ahead else start}
 
     def partitions(self, start: dict, end: dict) -> Sequence[Page]:
-        """The pages between two cursors. A stream that is started again is asked for its last batch first."""
+        """The pages between two cursors, neighbours together. A stream that is started again is asked for its last batch first."""
         self.at = max(end["cursor"], self.first if self.at is None else self.at)
         found, stretches = self.ahead(start["cursor"], None, end["cursor"])
-        return [Page(low, high, tuple(sorted({s.file for s in stretches if s.low <= high and low <= s.high}))) for low, high in found]
+        step = max(1, SHARE // self.page)
+        runs = [(found[k][0], found[min(k + step, len(found)) - 1][1]) for k in range(0, len(found), step)]
+        return [Page(low, high, tuple(sorted({s.file for s in stretches if s.low <= high and low <= s.high}))) for low, high in runs]
 
     def read(self, partition: Page) -> Iterator[pa.RecordBatch]:
         system, _ = opened(self.path)
