@@ -45,7 +45,7 @@ def st4(spark, sf):
 def st5(spark, sf):
     """Whether a request is granted depends on all before it, which SQL can't say; tests compare with the plain steps."""
     action = F.when(F.col("event_id") % 3 == 0, "release").when(F.col("event_id") % 3 == 1, "acquire").otherwise("renew")
-    return E.drained(S.leases(log(spark, sf).withColumns({"action": action, "worker": F.col("event_id") % 2}), "user_id", "worker", "action", "ts", 86400.0))
+    return E.drained(S.leases(log(spark, sf).withColumns({"action": action, "worker": F.col("event_id") % 2}), "user_id", "worker", "action", "ts", 86400.0), pages=1000)
 
 
 @query("st8_transitions", "SELECT event_id, user_id, event_type AS after, before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
@@ -81,8 +81,8 @@ def st7(spark, sf):
 @query("st12_late_rows", """WITH e AS (SELECT event_type, CASE WHEN event_id % 9 = 4 THEN ts - INTERVAL 2 DAY ELSE ts END AS t, event_id // 1000 AS batch, event_id FROM events), m AS (SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM e GROUP BY batch)
 SELECT date_trunc('day', t) AS window_start, event_type, count(*) AS n, count(*) FILTER (mark IS NOT NULL AND t < mark - INTERVAL 1 DAY) AS n_late FROM e JOIN m USING (batch) GROUP BY ALL""")
 def st12(spark, sf):
-    """The log in batches of a thousand, a ninth of it two days late: counts by day of what came in time and what didn't."""
+    """The log in turns of a thousand, a ninth of it two days late: counts by day of what came in time and what didn't."""
     spark.dataSource.register(EventLog)
-    log = spark.readStream.format("event_log").options(ident="event_id", cursor=-1, page=100, pages=10).load(f"{sf}/events.parquet")
-    moved = log.select("event_id", "event_type", F.when(F.col("event_id") % 9 == 4, F.col("ts") - F.expr("INTERVAL 2 DAY")).otherwise(F.col("ts")).cast("timestamp").alias("ts"))
-    return L.corrected_counts(*L.kept_and_late(moved, shared_folder(spark), "ts", 86400.0), "ts", "1 day", ["event_type"])
+    log = spark.readStream.format("event_log").options(ident="event_id", cursor=-1).load(f"{sf}/events.parquet")
+    moved = log.select("event_id", F.expr("event_id div 1000").alias("turn"), "event_type", F.when(F.col("event_id") % 9 == 4, F.col("ts") - F.expr("INTERVAL 2 DAY")).otherwise(F.col("ts")).cast("timestamp").alias("ts"))
+    return L.corrected_counts(*L.kept_and_late(moved, shared_folder(spark), "ts", 86400.0, "turn"), "ts", "1 day", ["event_type"])
