@@ -5,6 +5,7 @@ from __future__ import annotations
 import time
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
@@ -35,22 +36,31 @@ def rate_limited(events: DataFrame, key: str, time: str, order: str, seconds: in
 
 
 def rate_limit_stream(stream: DataFrame, key: str, time: str, seconds: int, limit: int) -> DataFrame:
-    """(key, window_start, at, accepted) of every event: the first `limit` of a key and window by time are accepted; counts expire two windows after their start."""
+    """(key, window_start, at, accepted) of every event: the first `limit` of a key and window by time are accepted; counts expire two windows after their start.
+
+    A key is one group, whose state are the counts of its open windows. An event without a time makes no request.
+    """
 
     def run(group: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        if state.hasTimedOut:
+        used = dict(zip(*state.get, strict=True)) if state.exists else {}
+        if not state.hasTimedOut:
+            # all that the micro-batch has of the key, by time
+            rows = pd.concat(list(batches)).sort_values("_time", kind="stable").sort_values("_window", kind="stable")
+            windows, starts, sizes = np.unique(rows["_window"].to_numpy(), return_index=True, return_counts=True)
+            had = np.array([used.get(int(w), 0) for w in windows])
+            place = np.arange(len(rows)) + np.repeat(had - starts, sizes)
+            yield pd.DataFrame({"key": str(group[0]), "window_start": rows["_window"], "at": rows["_at"], "accepted": place < limit})
+            used |= {int(w): int(n) for w, n in zip(windows, had + sizes, strict=True)}
+        now = state.getCurrentWatermarkMs()
+        used = {w: n for w, n in used.items() if (w + 2 * seconds) * 1000 > now}
+        if used:
+            state.update((list(used), list(used.values())))
+            state.setTimeoutTimestamp((min(used) + 2 * seconds) * 1000)
+        elif state.exists:
             state.remove()
-            return
-        used = state.get[0] if state.exists else 0
-        # all that the micro-batch has of the key and window, by time
-        rows = pd.concat(list(batches)).sort_values("_time", kind="stable")
-        yield pd.DataFrame({"key": rows["_key"].astype(str), "window_start": rows["_window"], "at": rows["_at"], "accepted": [used + i < limit for i in range(len(rows))]})
-        used += len(rows)
-        state.update((used,))
-        state.setTimeoutTimestamp((int(group[1]) + 2 * seconds) * 1000 if (int(group[1]) + 2 * seconds) * 1000 > state.getCurrentWatermarkMs() else state.getCurrentWatermarkMs() + 1)
 
     rows = stream.withWatermark(time, f"{seconds} seconds").select(F.col(key).cast("string").alias("_key"), (F.floor(F.unix_timestamp(time) / seconds) * seconds).alias("_window"), F.col(time).alias("_time"), F.col(time).cast("double").alias("_at"))
-    return rows.groupBy("_key", "_window").applyInPandasWithState(run, "key string, window_start long, at double, accepted boolean", "used long", "append", "EventTimeTimeout")
+    return rows.filter("_window is not null").groupBy("_key").applyInPandasWithState(run, "key string, window_start long, at double, accepted boolean", "windows array<long>, used array<long>", "append", "EventTimeTimeout")
 
 
 def claimable(runs: DataFrame, now) -> DataFrame:
