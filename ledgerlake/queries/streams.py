@@ -45,7 +45,7 @@ def st4(spark, sf):
 def st5(spark, sf):
     """Whether a request is granted depends on all before it, which SQL can't say; tests compare with the plain steps."""
     action = F.when(F.col("event_id") % 3 == 0, "release").when(F.col("event_id") % 3 == 1, "acquire").otherwise("renew")
-    return E.drained(S.leases(log(spark, sf).withColumns({"action": action, "worker": F.col("event_id") % 2}), "user_id", "worker", "action", "ts", 86400.0), pages=1000)
+    return E.drained(S.leases(log(spark, sf).withColumns({"action": action, "worker": F.col("event_id") % 2}), "user_id", "worker", "action", "ts", 86400.0))
 
 
 @query("st8_transitions", "SELECT event_id, user_id, event_type AS after, before FROM (SELECT *, lag(event_type) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) WHERE event_type IS DISTINCT FROM before")
@@ -68,14 +68,14 @@ timed = lambda log: log.withColumn("ts", F.col("ts").cast("timestamp"))  # noqa:
 def st6(spark, sf):
     """Leases of every user over the whole log, across a restart; tests compare with the plain steps."""
     with P.rocks_state(spark):
-        return twice(spark, sf, lambda log: P.leases(timed(log).withColumns({"worker": F.expr(WORKER), "action": F.expr(ACTION)}), "user_id", "worker", "action", "ts", 86400.0), pages=1000)
+        return twice(spark, sf, lambda log: P.leases(timed(log).withColumns({"worker": F.expr(WORKER), "action": F.expr(ACTION)}), "user_id", "worker", "action", "ts", 86400.0))
 
 
 @query("st7_run_processor")
 def st7(spark, sf):
     """Runs of every user over the whole log, with a deadline of two days, across a restart; tests compare with the plain steps."""
     with P.rocks_state(spark):
-        return twice(spark, sf, lambda log: P.runs(timed(log).withColumn("wanted", F.expr(WANTED)), "user_id", "wanted", "ts", 172800.0), pages=1000)
+        return twice(spark, sf, lambda log: P.runs(timed(log).withColumn("wanted", F.expr(WANTED)), "user_id", "wanted", "ts", 172800.0))
 
 
 @query("st12_late_rows", """WITH e AS (SELECT event_type, CASE WHEN event_id % 9 = 4 THEN ts - INTERVAL 2 DAY ELSE ts END AS t, event_id // 1000 AS batch, event_id FROM events), m AS (SELECT batch, max(max(t)) OVER (ORDER BY batch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mark FROM e GROUP BY batch)
