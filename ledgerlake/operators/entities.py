@@ -113,20 +113,24 @@ def runs_named(rows: DataFrame, text: str, names: DataFrame, name: str, longest:
     """
     words = F.size(F.split(name, " "))
     head = names.withColumn("_head", F.array_join(F.slice(F.split(name, " "), 1, longest), " "))
-    lengths = sorted(r[0] for r in names.select(F.least(words, F.lit(longest)).alias("n")).distinct().collect())  # at most `longest` numbers
+    found = {r[0] for r in names.select(F.least(words, F.lit(longest + 1)).alias("n")).distinct().collect()}  # at most `longest` + 1 numbers
+    lengths = sorted({min(n, longest) for n in found})
     if not lengths:
         return rows.limit(0).join(head.limit(0).drop("_head"), list(on)) if on else rows.limit(0).crossJoin(head.limit(0).drop("_head"))
     runs = F.array_distinct(F.concat(*[_runs(F.split(text, " "), n) for n in lengths]))
-    met = rows.withColumn("_run", F.explode(runs)).withColumnRenamed("_run", "_head").join(head, ["_head", *on]).drop("_head")
+    told = rows.withColumn("_head", F.explode(runs))
+    if max(found) <= longest:  # no name needs the whole text, which then isn't moved with each of its runs
+        return told.drop(text).join(head, ["_head", *on]).drop("_head")
+    met = told.join(head, ["_head", *on]).drop("_head")
     return met.filter((words <= longest) | F.concat(F.lit(" "), text, F.lit(" ")).contains(F.concat(F.lit(" "), name, F.lit(" ")))).drop(text)
 
 
-def label_matches(queries: DataFrame, labels: DataFrame, key: str, text: str, longest: int = 8) -> DataFrame:
+def label_matches(queries: DataFrame, labels: DataFrame, key: str, text: str, longest: int = 8, fold: Callable[[Column], Column] = fold_label) -> DataFrame:
     """(key, mention, status, company_id, n_companies, match_kind) of the companies that each text names.
 
     `labels` has label, company_id, match_kind; labels of over `longest` words are refused. A label inside a longer
     matched one is dropped. Labels of the same companies count once, the longest first. A label of several companies
-    is ambiguous and has no company_id.
+    is ambiguous and has no company_id. `fold` makes a text's words, joined by one space, alike to those of the labels.
     """
     bounds = labels.agg(F.min(F.size(F.split("label", " "))).alias("a"), F.max(F.size(F.split("label", " "))).alias("b")).first()
     if bounds["b"] is not None and bounds["b"] > longest:
