@@ -177,14 +177,25 @@ def distinct_mentions(mentions: DataFrame, order: str) -> DataFrame:
     return mentions.withColumns(keys).groupBy(*keys).agg(F.min_by(rest, order).alias("_r")).select("_r.*")
 
 
+def _best_two(held: DataFrame, value: str) -> DataFrame:
+    """The two best companies (ticker, score) of each value, ties by ticker; nobody asks for a third."""
+    best = held.groupBy(value, "ticker").agg(F.max("score").alias("score"))
+    place = F.row_number().over(W.partitionBy(value).orderBy(F.desc("score"), "ticker"))
+    return best.withColumn("_place", place).filter("_place <= 2").drop("_place")
+
+
 def _named(asked: DataFrame, labels: DataFrame, value: str, exact: int, prefix: int, kind: str) -> DataFrame:
-    """Companies whose label is the value or begins with it, at a word's end: equality with every leading run of a label's words."""
+    """Companies whose label is the value or begins with it, at a word's end: equality with every leading run of a label's words.
+
+    A run that many companies share has its two best, so pairs grow with the mentions: a mention's best two among all
+    its evidence are among the best two of each kind.
+    """
     heads = labels.withColumn("_heads", let(F.split("label", " "), lambda w: F.transform(F.sequence(F.lit(1), F.size(w)), lambda n: F.array_join(F.slice(w, 1, n), " "))))
     heads = heads.select("ticker", "label", F.explode("_heads").alias("_head"))
     whole = F.col("_head") == F.col("label")
     long_enough = (F.length("_head") >= 4) | F.col("_head").contains(" ")
-    pairs = asked.filter(F.col(value) != "").join(heads, F.col(value) == F.col("_head")).filter(whole | long_enough)
-    return pairs.select("mention_id", "ticker", F.when(whole, exact).otherwise(prefix).alias("score"), F.lit(kind).alias("match_kind"))
+    best = _best_two(heads.filter(whole | long_enough).select("_head", "ticker", F.when(whole, exact).otherwise(prefix).alias("score")), "_head")
+    return asked.filter(F.col(value) != "").join(best, F.col(value) == F.col("_head")).select("mention_id", "ticker", "score", F.lit(kind).alias("match_kind"))
 
 
 def rank_companies(mentions: DataFrame, companies: DataFrame) -> DataFrame:
@@ -205,11 +216,12 @@ def rank_companies(mentions: DataFrame, companies: DataFrame) -> DataFrame:
     }).drop("_listed")
     open_ticker = said.filter(~F.col("_no_ticker"))
     by = lambda rows, mine, theirs, score, kind: rows.join(listed, F.col(mine) == F.col(theirs)).select("mention_id", "ticker", score.alias("score"), F.lit(kind).alias("match_kind"))
+    numbers = _best_two(listed.filter("_cik is not null").select("_cik", "ticker", F.lit(SCORES["cik"]).alias("score")), "_cik")
     names = _named(said.filter(~F.col("_no_name") | F.col("_backed")), labels, "_name", SCORES["name_exact"], SCORES["name_prefix"], "company_name")
     evidence = (
         by(open_ticker, "_hint", "ticker", F.lit(SCORES["ticker"]), "ticker")
         .unionByName(by(open_ticker, "_own", "ticker", F.when(F.col("_said").startswith("$"), SCORES["marked_mention"]).otherwise(SCORES["mention_ticker"]), "mention_ticker"))
-        .unionByName(by(said, "_number", "_cik", F.lit(SCORES["cik"]), "cik"))
+        .unionByName(said.join(numbers, F.col("_number") == F.col("_cik")).select("mention_id", "ticker", "score", F.lit("cik").alias("match_kind")))
         .unionByName(_named(said, labels, "_legal", SCORES["legal_exact"], SCORES["legal_prefix"], "legal_name"))
         .unionByName(names)
     )
