@@ -5,13 +5,18 @@ Parquet has no row updates, so every function returns what a table holds after t
 
 from __future__ import annotations
 
-import pandas as pd
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ledgerlake.functions.udfs import line_spans
 
 # Forms that cover a fiscal year.
 ANNUAL_FORMS = ("10-K", "20-F", "40-F")
+PAGES_AT_ONCE = 256
 
 
 def fiscal_fields(form: Column, report_date: Column) -> dict[str, Column]:
@@ -106,25 +111,53 @@ def check_counts(newest: DataFrame, current_from: str, stale_from: str) -> DataF
     return newest.groupBy(status.alias("status")).agg(F.count(F.lit(1)).alias("n"))
 
 
-def line_blocks(words: DataFrame, gap: float = 3.0) -> DataFrame:
-    """(page_id, line, text, x0, top, x1, bottom): a page's words in lines.
+LINE = "line long, text string, x0 double, top double, x1 double, bottom double"
+
+
+def page_lines(pages: DataFrame, gap: float = 3.0) -> DataFrame:
+    """(page_id, line, text, x0, top, x1, bottom) of pages that hold their `words`: array of (top, x0, text, x1, bottom).
 
     Words are taken by top and left edge; one that lies over `gap` below the first word of a line begins the next. A
-    line depends on where the one before began, so a page, which its paper bounds, is one group.
+    line depends on where the one before began, so a page, which its paper bounds, is read in one piece.
     """
 
-    def run(page: pd.DataFrame) -> pd.DataFrame:
-        page = page.sort_values(["top", "x0", "text"], kind="stable")
-        number, began, numbers = -1, None, []
-        for top in page["top"]:
-            if began is None or abs(top - began) > gap:
-                number, began = number + 1, top
-            numbers.append(number)
-        made = page.assign(line=numbers).groupby("line", as_index=False).agg(text=("text", " ".join), x0=("x0", "min"), top=("top", "min"), x1=("x1", "max"), bottom=("bottom", "max"))
-        return made.assign(page_id=page["page_id"].iloc[0])[["page_id", "line", "text", "x0", "top", "x1", "bottom"]]
+    def lines(batch: pa.RecordBatch) -> pa.RecordBatch:
+        words = batch.column(1)
+        top, x0, x1, bottom = (words.flatten().field(c).to_numpy(zero_copy_only=False) for c in ("top", "x0", "x1", "bottom"))
+        stops = np.cumsum(np.asarray(words.value_lengths())).tolist()
+        starts, page, number, at = [], [], [], 0
+        for row, stop in enumerate(stops):
+            own, first, line = top[at:stop], 0, 0
+            while first < len(own):
+                starts.append(at + first)
+                page.append(row)
+                number.append(line)
+                after = max(first + 1, int(np.searchsorted(own, own[first] + gap, "right")))
+                while after > first + 1 and own[after - 1] - own[first] > gap:  # sums round otherwise than differences
+                    after -= 1
+                while after < len(own) and not own[after] - own[first] > gap:
+                    after += 1
+                first, line = after, line + 1
+            at = stop
+        texts = pa.ListArray.from_arrays(pa.array([*starts, at], pa.int32()), words.flatten().field("text"))
+        of = lambda f, values: pa.array(f.reduceat(values, starts) if starts else np.zeros(0))
+        made = [batch.column(0).take(pa.array(page, pa.int64())), pa.array(number, pa.int64()), pc.binary_join(texts, " "), of(np.fmin, x0), of(np.fmin, top), of(np.fmax, x1), of(np.fmax, bottom)]
+        return pa.RecordBatch.from_arrays(made, names=["page_id", "line", "text", "x0", "top", "x1", "bottom"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, PAGES_AT_ONCE):
+                yield lines(batch.slice(i, PAGES_AT_ONCE))
+
+    number = lambda c: lambda w: F.coalesce(w[c].cast("double"), F.lit(float("nan"))).alias(c)
+    held = F.transform("words", lambda w: F.struct(number("top")(w), number("x0")(w), w["text"].alias("text"), number("x1")(w), number("bottom")(w)))
+    return pages.select("page_id", F.array_sort(held).alias("words")).mapInArrow(run, f"page_id {dict(pages.dtypes)['page_id']}, {LINE}")
+
 
-    kinds = dict(words.dtypes)
-    return words.filter("text is not null").groupBy("page_id").applyInPandas(run, f"page_id {kinds['page_id']}, line long, text string, x0 double, top double, x1 double, bottom double")
+def line_blocks(words: DataFrame, gap: float = 3.0) -> DataFrame:
+    """(page_id, line, text, x0, top, x1, bottom) of words in rows, as `page_lines` makes them of each page's."""
+    own = F.collect_list(F.struct("top", "x0", "text", "x1", "bottom")).alias("words")
+    return page_lines(words.filter("text is not null").groupBy("page_id").agg(own), gap)
 
 
 def spanned_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
@@ -134,8 +167,8 @@ def spanned_lines(lines: DataFrame, pages: DataFrame) -> DataFrame:
     taken in order, so of equal lines each finds its own place; a line that isn't in the text has none.
     """
     full = lines.withColumn("text", F.trim("text")).filter("text <> ''")
-    own = full.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line", "text"))).alias("_l"))
+    rest = [c for c in full.columns if c not in ("page_id", "line", "text")]
+    own = full.groupBy("page_id").agg(F.array_sort(F.collect_list(F.struct("line", "text", *rest))).alias("_l"))
     texts = pages.select(F.col("page_id").alias("_p"), F.col("page_text").alias("_text"))
-    found = own.join(texts, F.col("page_id") == F.col("_p"), "left").select(F.col("page_id").alias("_p"), F.explode(F.arrays_zip(F.col("_l.line").alias("line"), line_spans(F.col("_l.text"), F.col("_text")).alias("span"))).alias("_s"))
-    spans = found.select("_p", F.col("_s.line").alias("_line"), F.col("_s.span.start").alias("char_start"), F.col("_s.span.stop").alias("char_end"))
-    return full.join(spans, (F.col("page_id") == F.col("_p")) & (F.col("line") == F.col("_line"))).drop("_p", "_line")
+    found = own.join(texts, F.col("page_id") == F.col("_p"), "left").select("page_id", F.explode(F.arrays_zip(F.col("_l").alias("l"), line_spans(F.transform("_l", lambda x: x["text"]), F.col("_text")).alias("span"))).alias("_s"))
+    return found.select(*[F.col(c) if c == "page_id" else F.col(f"_s.l.{c}") for c in full.columns], F.col("_s.span.start").alias("char_start"), F.col("_s.span.stop").alias("char_end"))

@@ -1,6 +1,8 @@
 """Work that grows with the input: steps whose rows or groups once grew faster, against plain Python."""
 
-from ledgerlake.operators import entities
+import random
+
+from ledgerlake.operators import entities, stores
 
 
 def test_a_shared_name_gives_two_companies_a_mention(spark):
@@ -15,3 +17,20 @@ def test_a_cik_of_many_symbols(spark):
     mentions = spark.createDataFrame([(1, "some", None, "7", None), (2, "some", "a05", "7", None)], "mention_id long, mention string, ticker string, cik string, legal_name string")
     got = sorted((r.mention_id, r.status, r.ticker, r.runner_up if "runner_up" in r else None) for r in entities.rank_companies(mentions, companies).collect())
     assert got == [(1, "ambiguous", None, None), (2, "ambiguous", None, None)]
+
+
+def test_lines_of_pages_are_read_without_a_group_a_page(spark):
+    rng = random.Random(3)
+    pages = {p: [(round(rng.uniform(0, 40), 1), float(rng.randint(0, 5)), rng.choice("abc")) for _ in range(rng.randint(0, 60))] for p in range(40)}
+    want = []
+    for p, words in pages.items():
+        number, began, lines = -1, None, {}
+        for top, x0, text in sorted(words):
+            if began is None or abs(top - began) > 3.0:
+                number, began = number + 1, top
+            lines.setdefault(number, []).append((top, x0, text))
+        want += [(p, n, " ".join(t for *_, t in w), min(x for _, x, _ in w), w[0][0], max(x for _, x, _ in w) + 1, w[-1][0] + 9) for n, w in lines.items()]
+    rows = spark.createDataFrame([(p, t, x, s, x + 1, t + 9) for p, words in pages.items() for t, x, s in words], "page_id long, top double, x0 double, text string, x1 double, bottom double")
+    got = stores.line_blocks(rows)
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want)
+    assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
