@@ -2,7 +2,7 @@
 
 import random
 
-from ledgerlake.operators import entities, stores
+from ledgerlake.operators import documents, entities, stores
 
 
 def test_a_shared_name_gives_two_companies_a_mention(spark):
@@ -34,3 +34,23 @@ def test_lines_of_pages_are_read_without_a_group_a_page(spark):
     got = stores.line_blocks(rows)
     assert sorted(tuple(r) for r in got.collect()) == sorted(want)
     assert "FlatMapGroupsInPandas" not in got._jdf.queryExecution().toString()
+
+
+def test_near_pairs_whatever_the_counts(spark):
+    """Equal to brute force for a table of counts of any size; sets of shingles never leave their tasks."""
+    rng = random.Random(5)
+    base = [[rng.choice("abcdefghijklmnop") * rng.randint(1, 3) for _ in range(rng.randint(4, 60))] for _ in range(12)]
+    texts = ["", "...", "one two", "one two"] + [" ".join(rng.choice("xyz") if rng.random() < 0.01 else w for w in own) for own in base for _ in range(8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+
+    def brute(text):
+        words = text.split()
+        return {" ".join(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) >= 5 else set(words)
+
+    first = {t: i for i, t in reversed(list(enumerate(texts)))}
+    sets = [(i, s) for t, i in first.items() if (s := brute(t.replace(".", "")))]
+    want = sorted((a, b) for a, x in sets for b, y in sets if a < b and len(x & y) / len(x | y) >= 0.8)
+    assert len(want) > 10
+    for slots in (1, 64, 1 << 18):
+        got = documents.near_pairs(docs, "doc_id", "text", 0.8, slots=slots)
+        assert sorted((r.a, r.b) for r in got.collect()) == want
