@@ -2,10 +2,18 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from hashlib import sha256
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql.types import ArrayType, DoubleType, StructField, StructType
 
 from ledgerlake.functions.text import fingerprint_words, let
 
+ROWS_AT_ONCE = 1024
+
 
 def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: F.coalesce(x * y, F.lit(0.0)).cast("double")), F.lit(0.0), lambda s, v: s + v)
@@ -30,13 +38,28 @@ def token_slot(token: Column, dims: int) -> Column:
 
 
 def hashed_embedding(df: DataFrame, key: str, text: str, dims: int = 384) -> DataFrame:
-    """(key, embedding): signed token counts by slot, at length 1; token sums combine before the shuffle."""
-    tokens = df.select(F.col(key), F.explode(fingerprint_words(text)).alias("token")).groupBy(key, "token").agg(F.count(F.lit(1)).alias("n"))
-    slots = tokens.select(key, token_slot(F.col("token"), dims).alias("s"), "n").groupBy(key, F.col("s.slot").alias("slot")).agg(F.sum(F.col("s.sign") * F.col("n")).alias("w"))
-    whole = slots.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("slot", "w"))).alias("m"), F.sqrt(F.sum(F.col("w") * F.col("w"))).alias("len"))
-    filled = whole.select(F.col(key).alias("_key"), F.transform(F.sequence(F.lit(0), F.lit(dims - 1)), lambda i: F.coalesce(F.try_element_at("m", i), F.lit(0.0)) / F.when(F.col("len") == 0, 1.0).otherwise(F.col("len"))).alias("embedding"))
-    zeros = F.array_repeat(F.lit(0.0), dims)
-    return df.select(key).join(filled, F.col(key).eqNullSafe(F.col("_key")), "left").select(key, F.coalesce("embedding", zeros).alias("embedding"))
+    """(key, embedding) of each row: signed token counts by slot as `token_slot` has them, at length 1.
+
+    A row's vector follows from its own text, so nothing is shuffled; Spark cuts the words, and numpy adds them up a batch of
+    rows at once.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(0, batch.num_rows, ROWS_AT_ONCE):
+                part = batch.slice(i, ROWS_AT_ONCE)
+                words = part.column(1).flatten().dictionary_encode()
+                digests = [sha256(token.encode()).digest() for token in words.dictionary.to_pylist()]
+                slots = np.array([int.from_bytes(d[:8]) % dims for d in digests], np.int64)
+                signs = np.array([1.0 - 2.0 * (d[8] % 2) for d in digests], float)
+                own, row = words.indices.to_numpy(), np.repeat(np.arange(part.num_rows), np.asarray(part.column(1).value_lengths()))
+                sums = np.bincount(row * dims + slots[own], signs[own], part.num_rows * dims).reshape(-1, dims)
+                length = np.sqrt((sums * sums).sum(1, keepdims=True))
+                values = pa.array((sums / np.where(length == 0, 1.0, length) + 0.0).ravel())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(pa.array(np.arange(part.num_rows + 1) * dims, pa.int32()), values)], names=[key, "embedding"])
+
+    words = F.coalesce(fingerprint_words(text), F.array().cast("array<string>"))
+    return df.select(F.col(key), words.alias("words")).mapInArrow(run, StructType([df.select(key).schema[0], StructField("embedding", ArrayType(DoubleType()))]))
 
 
 def lexical_score(text: Column, terms: list[str]) -> Column:

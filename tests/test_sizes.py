@@ -2,6 +2,9 @@
 
 import random
 
+from pyspark.sql import functions as F
+
+from ledgerlake.functions import embed
 from ledgerlake.operators import documents, entities, stores
 
 
@@ -54,3 +57,18 @@ def test_near_pairs_whatever_the_counts(spark):
     for slots in (1, 64, 1 << 18):
         got = documents.near_pairs(docs, "doc_id", "text", 0.8, slots=slots)
         assert sorted((r.a, r.b) for r in got.collect()) == want
+
+
+def test_hashed_vectors_need_no_shuffle(spark):
+    rows = spark.createDataFrame([(1, "a b a, Zebra"), (2, None), (3, ""), (4, "x " * 3000), (None, "a")], "k long, text string")
+    got = embed.hashed_embedding(rows, "k", "text", 16)
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    slot = embed.token_slot(F.col("w"), 16)
+    spots = {r.w: (r.s.slot, r.s.sign) for r in spark.createDataFrame([(w,) for w in ("a", "b", "zebra", "x")], "w string").select("w", slot.alias("s")).collect()}
+    found = {r.k: r.embedding for r in got.collect()}
+    for k, words in ((1, ["a", "b", "a", "zebra"]), (2, []), (3, []), (4, ["x"] * 3000), (None, ["a"])):
+        want = [0.0] * 16
+        for w in words:
+            want[spots[w][0]] += spots[w][1]
+        length = sum(x * x for x in want) ** 0.5 or 1.0
+        assert found[k] == [x / length for x in want]
