@@ -38,14 +38,14 @@ def f29_growth(spark, sf):
     """Growth from each customer's order before, in percent."""
     rows, own = prices(spark, sf)
     both = rows.withColumn("before", F.lag("price").over(own)).filter("before is not null")
-    return both.select("o_orderkey", D.plain(D.growth(D.number(F.col("price")), D.number(F.col("before")))).alias("value"))
+    return both.select("o_orderkey", D.growth_text("price", "before").alias("value"))
 
 
 @query("f29_index", _sql(f"SELECT o_orderkey, {_CENTS} AS a, first({_CENTS}) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS b FROM orders", "o_orderkey", False, 2))
 def f29_index(spark, sf):
     """Each customer's orders as an index of the first, which is 100."""
     rows, own = prices(spark, sf)
-    return rows.withColumn("base", F.first("price").over(own)).select("o_orderkey", D.plain(D.times_ten(D.ratio(D.number(F.col("price")), D.number(F.col("base"))), 2)).alias("value"))
+    return rows.withColumn("base", F.first("price").over(own)).select("o_orderkey", D.percent_text("price", "base").alias("value"))
 
 
 @query("f29_rolling_average", _sql(f"SELECT o_orderkey, sum({_CENTS}) OVER w AS a, CAST(300 AS HUGEINT) AS b FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderkey ROWS 2 PRECEDING) QUALIFY count(*) OVER w = 3", "o_orderkey", False, 0))
@@ -54,7 +54,7 @@ def f29_rolling(spark, sf):
     rows, own = prices(spark, sf)
     three = own.rowsBetween(-2, 0)
     held = rows.withColumns({"total": F.sum("price").over(three), "n": F.count("price").over(three)}).filter("n = 3")
-    return held.select("o_orderkey", D.plain(D.ratio(D.number(F.col("total")), D.number(F.lit(3).cast(PRICE)))).alias("value"))
+    return held.select("o_orderkey", D.ratio_text("total", F.lit(3).cast(PRICE)).alias("value"))
 
 
 @query("f29_margin", _sql("SELECT l_orderkey, l_linenumber, CAST(round(l_extendedprice * (1 - l_discount) * 100) AS HUGEINT) AS a, CAST(round(l_extendedprice * 100) AS HUGEINT) AS b FROM lineitem WHERE round(l_extendedprice * (1 - l_discount) * 100) > 0", "l_orderkey, l_linenumber", False, 2))
@@ -62,7 +62,7 @@ def f29_margin(spark, sf):
     """What is left of each line's price after its discount, in percent; both in cents."""
     cents = lambda x: F.round(x * 100).cast(PRICE)
     rows = table(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", cents(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("a"), cents(F.col("l_extendedprice")).alias("b")).filter("a > 0")
-    return rows.select("l_orderkey", "l_linenumber", D.plain(D.times_ten(D.ratio(D.number(F.col("a")), D.number(F.col("b"))), 2)).alias("value"))
+    return rows.select("l_orderkey", "l_linenumber", D.percent_text("a", "b").alias("value"))
 
 
 @query("f29_cagr")

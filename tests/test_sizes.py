@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from ledgerlake.functions import embed
+from ledgerlake.functions import decimals, embed
 from ledgerlake.operators import documents, entities, stores
 
 
@@ -72,3 +72,13 @@ def test_hashed_vectors_need_no_shuffle(spark):
             want[spots[w][0]] += spots[w][1]
         length = sum(x * x for x in want) ** 0.5 or 1.0
         assert found[k] == [x / length for x in want]
+
+
+def test_shown_quotients_equal_the_expressions(spark):
+    prices = ["0.01", "1", "3", "7.77", "0.000001", "99999999.99", "-5.5", "0", None, "123456789012345678901.123456"]
+    rows = spark.createDataFrame([(a, b) for a in prices for b in prices], "a string, b string").select(*[F.col(c).cast("decimal(28,6)").alias(c) for c in "ab"])
+    a, b = decimals.number(F.col("a")), decimals.number(F.col("b"))
+    want = {"g": decimals.plain(decimals.growth(a, b)), "p": decimals.plain(decimals.times_ten(decimals.ratio(a, b), 2)), "r": decimals.plain(decimals.ratio(a, b))}
+    got = {"g": decimals.growth_text("a", "b"), "p": decimals.percent_text("a", "b"), "r": decimals.ratio_text("a", "b")}
+    for r in rows.filter("a is null or a <> 0").select("a", "b", *[x.alias(f"want_{k}") for k, x in want.items()], *[x.alias(f"got_{k}") for k, x in got.items()]).collect():
+        assert [r[f"got_{k}"] for k in got] == [r[f"want_{k}"] for k in got], (r.a, r.b)
