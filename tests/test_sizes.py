@@ -82,3 +82,31 @@ def test_shown_quotients_equal_the_expressions(spark):
     got = {"g": decimals.growth_text("a", "b"), "p": decimals.percent_text("a", "b"), "r": decimals.ratio_text("a", "b")}
     for r in rows.filter("a is null or a <> 0").select("a", "b", *[x.alias(f"want_{k}") for k, x in want.items()], *[x.alias(f"got_{k}") for k, x in got.items()]).collect():
         assert [r[f"got_{k}"] for k in got] == [r[f"want_{k}"] for k in got], (r.a, r.b)
+
+
+def test_greedy_decisions_without_a_group_a_version(spark):
+    """Groups that span batches and keys that are null or NaN, against a plain pass; rows move once and aren't joined back."""
+    rng = random.Random(7)
+    keys = [None, float("nan"), 0.0, 1.5, 2.5]
+    said = ["", "...", "a b", "safe harbor", None] + [" ".join(rng.choice("abcd") for _ in range(rng.randint(3, 9))) for _ in range(6)]
+    said += [" ".join(f"w{j}{'x' if j == i else ''}" for j in range(60)) for i in (0, 58, 59)]
+    rows = [(key, i, rng.choice(said)) for key in keys for i in range(40)]
+    want = {}
+    for key in keys:
+        kept = []
+        for _, i, text in (r for r in rows if r[0] is key):
+            words = (text or "").split() if text != "..." else []
+            mine = {tuple(words[k : k + 5]) for k in range(len(words) - 4)} if len(words) > 4 else set(words)
+            near = any(mine == s or mine | s and len(mine & s) / len(mine | s) >= 0.9 for s in kept)
+            want[str(key), i] = "boilerplate" if text == "safe harbor" else "near_copy" if near else "kept"
+            kept += [mine] if want[str(key), i] == "kept" else []
+    assert {"kept", "near_copy", "boilerplate"} == set(want.values())
+    frame = spark.createDataFrame(rng.sample(rows, len(rows)), "v double, i long, text string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        got = documents.drop_near_copies(frame, "v", "i", "text")
+        assert {(str(r.v), r.i): r.decision for r in got.collect()} == want and got.columns == ["v", "i", "text", "decision"]
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    plan = got._jdf.queryExecution().toString()
+    assert "FlatMapGroupsInPandas" not in plan and "Join" not in plan
