@@ -63,14 +63,14 @@ def warnings(result: DataFrame) -> DataFrame:
 
 def source_hash(row: dict[str, Column]) -> Column:
     """sha256 of the row as JSON with sorted keys, as json.dumps writes it: spaces after , and :, null for nulls."""
-    quote = lambda c: F.concat(F.lit('"'), F.regexp_replace(F.regexp_replace(c, r"\\", r"\\\\"), '"', r'\\"'), F.lit('"'))
+    quote = lambda c: F.concat(F.lit('"'), F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"'))
     parts = [F.concat(F.lit(f'"{k}": '), F.coalesce(quote(v.cast("string")), F.lit("null"))) for k, v in sorted(row.items())]
     return F.sha2(F.concat(F.lit("{"), F.concat_ws(", ", *parts), F.lit("}")).cast("binary"), 256)
 
 
 def insert_new(stored: DataFrame, batch: DataFrame, key: str = "source_hash") -> tuple[DataFrame, DataFrame]:
     """(rows to append, counts): rows whose key is neither stored nor earlier in the batch."""
-    fresh = batch.dropDuplicates([key]).join(stored.select(key), key, "left_anti")
+    fresh = batch.join(stored.select(key), key, "left_anti").dropDuplicates([key])
     total = batch.agg(F.count(F.lit(1)).alias("seen")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("inserted")))
     return fresh, total.select("inserted", (F.col("seen") - F.col("inserted")).alias("duplicates"))
 

@@ -27,9 +27,9 @@ TABLES = {
 
 
 def object_at(payload: str, path: str) -> Column:
-    """Whether a payload is JSON with an object or array at a path."""
-    kind = F.schema_of_variant(F.try_variant_get(F.try_parse_json(F.col(payload)), path, "variant"))
-    return F.coalesce(kind.startswith("OBJECT") | kind.startswith("ARRAY"), F.lit(False))
+    """Whether a payload is JSON with an object or array at a path; what they hold isn't looked at."""
+    parsed = F.try_parse_json(F.col(payload))
+    return F.try_variant_get(parsed, path, "map<string,variant>").isNotNull() | F.try_variant_get(parsed, path, "array<variant>").isNotNull()
 
 
 def _counters(run: str, source: str, items: DataFrame, failures: DataFrame, seen: DataFrame) -> DataFrame:
@@ -95,12 +95,14 @@ def facts_run(store: Store, run: str, items: DataFrame, mapping: dict) -> None:
         return
     rows = stored(items.withColumn("_ok", object_at("payload", "$.facts")))
     failures = _failed(run, rows.filter("not _ok"), "ticker", "company_facts", F.when(F.col("payload").isNull(), "no payload").otherwise("payload has no facts"))
-    found = stored(P.company_facts(rows.filter("_ok").select("payload"), mapping).filter("metric is not null"))
-    fresh, counts = insert_new(store.table("facts").select("source_hash"), found)
+    held = store.table("facts")
+    found = stored(P.company_facts(rows.filter("_ok").select("payload"), mapping).filter("metric is not null").select(*held.drop("_run").columns))
+    fresh = stored(insert_new(held.select("source_hash"), found)[0])  # counted and published
+    counts = found.agg(F.count(F.lit(1)).alias("rows_seen")).crossJoin(fresh.agg(F.count(F.lit(1)).alias("inserted")))
     one = counts.crossJoin(rows.agg(F.count_if("_ok").alias("items_seen"), F.count_if(~F.col("_ok")).alias("failures")))  # one row each
     zero = F.lit(0).cast("long")
     counters = one.select(
-        F.lit(run).alias("run"), F.lit("facts").alias("source"), F.when(F.col("failures") == 0, "success").otherwise("partial_failed").alias("status"), "items_seen", (F.col("inserted") + F.col("duplicates")).alias("rows_seen"),
-        "inserted", zero.alias("updated"), "duplicates", zero.alias("missing"), "failures",
+        F.lit(run).alias("run"), F.lit("facts").alias("source"), F.when(F.col("failures") == 0, "success").otherwise("partial_failed").alias("status"), "items_seen", "rows_seen",
+        "inserted", zero.alias("updated"), (F.col("rows_seen") - F.col("inserted")).alias("duplicates"), zero.alias("missing"), "failures",
     )
     store.publish(run, {"facts": fresh, "failures": failures, "runs": counters})

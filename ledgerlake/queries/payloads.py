@@ -43,7 +43,8 @@ def facts_payloads(spark, sf):
         F.concat(F.lit("a"), k).alias("accn"), F.year(day).alias("fy"), F.lit("Q1").alias("fp"), F.when(k % 5 == 0, "10-Q/A").otherwise("10-Q").alias("form"), day.cast("string").alias("filed"),
     )
     concept = F.concat(F.lit("C"), k % 3)
-    units = table(spark, sf, "orders").groupBy("o_custkey", concept.alias("concept")).agg(F.collect_list(one).alias("o"))
+    # dealt by company once, for both groupings
+    units = table(spark, sf, "orders").repartition("o_custkey").groupBy("o_custkey", concept.alias("concept")).agg(F.collect_list(one).alias("o"))
     body = F.map_from_entries(F.collect_list(F.struct("concept", F.struct(F.lit("L").alias("label"), F.create_map(F.lit("USD"), F.col("o")).alias("units")))))
     return units.groupBy("o_custkey").agg(body.alias("c")).select(F.to_json(F.struct(F.col("o_custkey").cast("string").alias("cik"), F.lit("E").alias("entityName"), F.create_map(F.lit("us-gaap"), F.col("c")).alias("facts"))).alias("payload"))
 

@@ -1,11 +1,13 @@
 """Work that grows with the input: steps whose rows or groups once grew faster, against plain Python."""
 
+import hashlib
+import json
 import random
 
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import decimals, embed
-from ledgerlake.operators import documents, entities, stores
+from ledgerlake.operators import documents, entities, facts, runs, stores
 
 
 def test_a_shared_name_gives_two_companies_a_mention(spark):
@@ -110,3 +112,19 @@ def test_greedy_decisions_without_a_group_a_version(spark):
         spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
     plan = got._jdf.queryExecution().toString()
     assert "FlatMapGroupsInPandas" not in plan and "Join" not in plan
+
+
+def test_payloads_are_told_apart_by_kind_without_their_schema(spark):
+    kinds = {'{"a":{}}': True, '{"a":[]}': True, '{"a":{"b":[1,null]}}': True, '{"a":[1,{"c":2}]}': True, '{"a":1}': False, '{"a":"{}"}': False, '{"a":null}': False, '{"b":{}}': False, "[1]": False, "{": False, "": False, None: False}
+    got = spark.createDataFrame([(x,) for x in kinds], "payload string").select("payload", runs.object_at("payload", "$.a").alias("ok"))
+    assert {r.payload: r.ok for r in got.collect()} == kinds
+    assert "schema_of_variant" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_source_hashes_need_no_patterns(spark):
+    said = ['a"b\\c\\"d', None, "", '\\\\""', "é$1"]
+    got = spark.createDataFrame([(x, i) for i, x in enumerate(said)], "x string, i int").select("x", "i", facts.source_hash({"x": F.col("x"), "i": F.col("i")}).alias("h"))
+    for r in got.collect():
+        want = json.dumps({"i": str(r.i), "x": r.x}, sort_keys=True, ensure_ascii=False)
+        assert r.h == hashlib.sha256(want.encode()).hexdigest()
+    assert "regexp_replace" not in got._jdf.queryExecution().toString()
