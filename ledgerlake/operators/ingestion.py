@@ -80,8 +80,12 @@ def candidate_diagnostics(decisions: DataFrame, version: str = "version") -> Dat
 
 
 def cleared(outputs: dict[str, DataFrame], versions: DataFrame, key: str = "version_id") -> dict[str, DataFrame]:
-    """What is left of each table of outputs (embeddings, chunks, summaries) once those of the versions are cleared."""
-    gone = versions.select(key).distinct()
+    """What is left of each table of outputs (embeddings, chunks, summaries) once those of the versions are cleared.
+
+    The versions' keys are hashed and outputs stream past them: sorting would hold a partition's outputs, which shrink when
+    they are shuffled, so partitions of a fixed size hold ever more of them.
+    """
+    gone = versions.select(key).distinct().hint("shuffle_hash")
     return {name: rows.join(gone, key, "left_anti") for name, rows in outputs.items()}
 
 

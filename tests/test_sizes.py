@@ -7,7 +7,7 @@ import random
 from pyspark.sql import functions as F
 
 from ledgerlake.functions import decimals, embed
-from ledgerlake.operators import documents, entities, facts, runs, stores
+from ledgerlake.operators import documents, entities, facts, ingestion, runs, stores
 
 
 def test_a_shared_name_gives_two_companies_a_mention(spark):
@@ -128,3 +128,16 @@ def test_source_hashes_need_no_patterns(spark):
         want = json.dumps({"i": str(r.i), "x": r.x}, sort_keys=True, ensure_ascii=False)
         assert r.h == hashlib.sha256(want.encode()).hexdigest()
     assert "regexp_replace" not in got._jdf.queryExecution().toString()
+
+
+def test_outputs_are_cleared_without_sorting_them(spark):
+    versions = spark.createDataFrame([(1,), (1,), (3,), (None,)], "version_id long")
+    rows = spark.createDataFrame([(k, i) for k in (1, 2, 3, 4, None) for i in range(3)], "version_id long, id long")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = ingestion.cleared({"chunks": rows, "summaries": rows.limit(0)}, versions)
+        assert sorted((str(r.version_id), r.id) for r in got["chunks"].collect()) == [(k, i) for k in ("2", "4", "None") for i in range(3)]
+        assert got["summaries"].count() == 0
+        assert "SortMergeJoin" not in got["chunks"]._jdf.queryExecution().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
