@@ -124,9 +124,9 @@ def d7(spark, sf):
 
 @query("s13_s14_html_text")
 def s13(spark, sf):
-    from ledgerlake.functions.udfs import html_text, html_text_all
+    from ledgerlake.functions.udfs import html_texts
 
-    return table(spark, sf, "pages").select("page_id", html_text("html").alias("text"), html_text_all("html").alias("all_text"))
+    return table(spark, sf, "pages").select("page_id", html_texts("html").alias("_t")).select("page_id", "_t.*")
 
 
 @query("s15_sections")

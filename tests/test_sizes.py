@@ -3,10 +3,13 @@
 import hashlib
 import json
 import random
+import re
+import sys
 
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from ledgerlake.functions import decimals, embed
+from ledgerlake.functions import decimals, embed, tables, udfs
 from ledgerlake.operators import documents, entities, facts, ingestion, runs, stores
 
 
@@ -141,3 +144,43 @@ def test_outputs_are_cleared_without_sorting_them(spark):
         assert "SortMergeJoin" not in got["chunks"]._jdf.queryExecution().toString()
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_html_is_parsed_once_and_a_few_rows_at_a_time(spark):
+    pages = [None, "", "<p>a<script>b</script> c</p>", "<svg>x</svg>&amp;<b> y </b>"] * 40
+    got = spark.createDataFrame(list(enumerate(pages)), "k long, html string").coalesce(1).select("k", udfs.html_texts("html").alias("t"), udfs.html_text("html").alias("one"))
+    for r in got.collect():
+        assert (r.t.text, r.t.all_text, r.one) == (udfs.text_of_html(pages[r.k]), udfs.text_of_html(pages[r.k], False), udfs.text_of_html(pages[r.k]))
+    made = udfs.by_rows(lambda a, b: a + b, pa.int64(), pa.array(range(200)), pa.array(range(200)))
+    assert made.to_pylist() == list(range(0, 400, 2)) and udfs.by_rows(str, pa.string(), pa.array([], pa.int64())).to_pylist() == []
+
+
+
+def test_lower_case_keeps_places_for_every_character():
+    """Patterns without case, and patterns in lower case on the lowered text, agree on every character."""
+    ascii_of = [re.compile(c, re.IGNORECASE) for c in "abcdefghijklmnopqrstuvwxyz"]
+    every = "".join(chr(i) for i in range(sys.maxunicode + 1) if not 0xD800 <= i < 0xE000)
+    low = udfs.lower_alike(every)
+    assert len(low) == len(every)
+    for pattern in ascii_of:
+        assert [m.start() for m in pattern.finditer(every)] == [m.start() for m in re.finditer(pattern.pattern, low)]
+    for kind in (r"\w", r"\s", r"[^\n]"):
+        assert [m.start() for m in re.finditer(kind, every)] == [m.start() for m in re.finditer(kind, low)]
+
+
+def test_sections_are_those_of_patterns_without_case():
+    rng = random.Random(11)
+    parts = ["Item 1. Business", "ITEM 1A - RISK FACTORS", "ıtem 7. Management's Discussion and Analysis", "İtem 7a: quantitative and qualitative diſcloſures", "Rısk factors", "Liquidity and capital\n resources", "competition", "Competitions", "STRATEGY", "outlooK", "outlooK", "item 8", "items 1", "ẞ Straße", "x" * 600, " \t ", "\n", "item 3. quantitative and qualitative disclosures", "subitem 2"]
+    for _ in range(300):
+        text = "".join(rng.choice(parts) + rng.choice(["", " ", ". "]) for _ in range(rng.randint(0, 25)))
+        chosen = {}
+        items = [m.start() for m in re.finditer(udfs.NEXT_ITEM, text, re.IGNORECASE)] + [len(text)]
+        for key, (_, pattern) in udfs.SECTIONS.items():
+            spans = [m.span() for m in re.finditer(pattern, text, re.IGNORECASE)]
+            full = [a for a, b in spans if min(i for i in items if i >= b) - a >= udfs.LEAST_BODY]
+            if spans:
+                chosen[(full or [spans[-1][0]])[0]] = key
+        marks = sorted({*items, *chosen})
+        want = [(chosen[a], a, next((m for m in marks if m > a), a)) for a in sorted(chosen)]
+        assert [(s["section_key"], s["start"], s["stop"]) for s in udfs.sections_of(text)] == want
+    assert udfs.single_blanks(" a \t\t b\r\n\n c\v\f") == re.sub(r"[ \t\r\f\v]+", " ", " a \t\t b\r\n\n c\v\f")
