@@ -3,18 +3,17 @@
     register(spark)
     SELECT d.doc_id, c.* FROM documents d, LATERAL chunks(d.text, 320, 40) c
 
-Rows come out of a task in Arrow batches as they are made. A null text is empty: it has no claims or sections, and no chunks.
+Rows come out of a task as they are made, a hundred at a time; by Arrow each input row would be a table of its own, and a batch of ten thousand whole. A null text is empty: it has no claims or sections, and no chunks.
 """
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 
 from pyspark.sql import SparkSession
 from pyspark.sql.functions import udtf
 
-from ledgerlake.functions.udfs import sections_of
+from ledgerlake.functions.udfs import sections_of, single_blanks
 from ledgerlake.operators.claims import claims_of
 from ledgerlake.operators.documents import packed_chunks
 
@@ -33,7 +32,7 @@ class Claims:
 
 class Sections:
     def eval(self, text: str | None) -> Iterator[tuple]:
-        for s in sections_of(re.sub(r"[ \t\r\f\v]+", " ", text)) if text is not None else []:
+        for s in sections_of(single_blanks(text)) if text is not None else []:
             yield s["section_key"], s["title"], s["start"], s["stop"], s["text_hash"]
 
 
@@ -46,4 +45,4 @@ FUNCTIONS = {
 
 def register(spark: SparkSession) -> None:
     for name, (made, schema) in FUNCTIONS.items():
-        spark.udtf.register(name, udtf(made, returnType=schema, useArrow=True))
+        spark.udtf.register(name, udtf(made, returnType=schema, useArrow=False))

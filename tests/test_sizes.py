@@ -184,3 +184,12 @@ def test_sections_are_those_of_patterns_without_case():
         want = [(chosen[a], a, next((m for m in marks if m > a), a)) for a in sorted(chosen)]
         assert [(s["section_key"], s["start"], s["stop"]) for s in udfs.sections_of(text)] == want
     assert udfs.single_blanks(" a \t\t b\r\n\n c\v\f") == re.sub(r"[ \t\r\f\v]+", " ", " a \t\t b\r\n\n c\v\f")
+
+
+def test_table_functions_hand_out_rows_not_tables(spark):
+    tables.register(spark)
+    rows = spark.createDataFrame([(i, None if i % 50 == 0 else f"Item 1. Business {'word ' * 200} competition") for i in range(150)], "k long, text string").coalesce(1)
+    for name, call in (("chunks", "chunks(r.text, 40, 5)"), ("sections", "sections(r.text)"), ("claims", "claims(r.text)")):
+        got = spark.sql(f"SELECT r.k, c.* FROM {{r}} r, LATERAL {call} c", r=rows)
+        assert "ArrowEvalPythonUDTF" not in got._jdf.queryExecution().toString(), name
+        assert {r.k for r in got.collect()} == {i for i in range(150) if i % 50}
