@@ -155,6 +155,14 @@ def test_html_is_parsed_once_and_a_few_rows_at_a_time(spark):
     assert made.to_pylist() == list(range(0, 400, 2)) and udfs.by_rows(str, pa.string(), pa.array([], pa.int64())).to_pylist() == []
 
 
+def test_chunks_leave_a_task_a_few_documents_at_a_time(spark):
+    texts = [None, "", "one\n\ntwo"] + [" ".join(f"w{i}" for i in range(1000))] * 197
+    docs = spark.createDataFrame(list(enumerate(texts)), "k int, text string").coalesce(1)
+    got = documents.chunks(docs, "k", "text")
+    want = [(k, i, *chunk) for k, t in enumerate(texts) for i, chunk in enumerate(documents.packed_chunks(t or "", 320, 40))]
+    assert sorted(tuple(r) for r in got.collect()) == sorted(want) and got.schema["k"].dataType.simpleString() == "int"
+    assert "MapInPandas" not in got._jdf.queryExecution().toString()
+
 
 def test_lower_case_keeps_places_for_every_character():
     """Patterns without case, and patterns in lower case on the lowered text, agree on every character."""
