@@ -64,3 +64,61 @@ def test_runs_equal_the_plain_steps(spark, sf, seconds):
                 path = []
     got = [tuple(r) for r in Q.st7(spark, sf).collect()]
     assert sorted(got, key=str) == sorted(want, key=str) and {g[2] for g in got} >= {"queued", "running", "timed_out"}
+
+
+@pytest.mark.parametrize("name", ["leases", "runs"])
+def test_keys_share_slots(spark, tmp_path, name):
+    """Forty keys in two slots, over three batches: results by key, and state and timers by slot."""
+    from datetime import datetime, timedelta
+
+    from ledgerlake.streaming import processors as P
+
+    start, seconds = datetime(2024, 1, 1), 500.0
+    asks = [("acquire", "renew", "release"), ("queued", "running", "completed")][name == "runs"]
+    rows = [(f"u{k * 7 % 40}", f"w{k // 3 % 2}", asks[k * k % 11 % 3], start + timedelta(seconds=10 * k)) for k in range(600)]
+    log, out = str(tmp_path / "log"), str(tmp_path / "out")
+    schema = "of string, worker string, what string, ts timestamp"
+    for part in (rows[:250], rows[250:300], rows[300:]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(log)
+        stream = spark.readStream.schema(schema).parquet(log)
+        with P.rocks_state(spark):
+            made = P.leases(stream, "of", "worker", "what", "ts", seconds, slots=2) if name == "leases" else P.runs(stream, "of", "what", "ts", seconds, slots=2)
+            run = made.writeStream.format("parquet").option("checkpointLocation", f"{out}-checkpoint").option("path", out).trigger(availableNow=True).start()
+            assert run.awaitTermination(180) and run.exception() is None
+        held = run.lastProgress["stateOperators"][0]
+        assert held["numRowsTotal"] <= 2 * 3  # a value and both sides of a timer
+    zero, want = spark.createDataFrame(rows[:1], schema).selectExpr("cast(ts as double)").first()[0], []
+    for key in sorted({r[0] for r in rows}):
+        state, until, path = None, 0.0, []
+        for k, (of, worker, what, _) in enumerate(rows):
+            if of != key:
+                continue
+            at = zero + 10 * k
+            if name == "leases":
+                state, until, yes = lease_step(*lease_now(state, until, at), worker, what, at, seconds)
+                want.append((key, worker, what, at, yes, state))
+                continue
+            state, until, moves = run_now(state, until, at, seconds)
+            after, accepted = run_step(state, what)
+            for move, when, begins in [*((m, w, False) for m, w in moves), *([(after, at, state is None)] if accepted else [])]:
+                path = [] if begins else path
+                want.append((key, path[-1] if path else None, move, when, ">".join([*path, move])))
+                path.append(move)
+            if accepted:
+                state, until = after, until if state is not None else at + seconds
+        if name == "runs" and state is not None and zero + 5990 - 60 >= until:
+            want += [(key, path[-1], move, when, ">".join([*path, move])) for move, when in run_now(state, until, zero + 5990 - 60, seconds)[2]]
+    assert sorted((tuple(r) for r in spark.read.parquet(out).collect()), key=str) == sorted(want, key=str)
+
+
+def test_state_lies_in_few_partitions(spark):
+    from ledgerlake.streaming.processors import PARTITIONS, rocks_state
+
+    before = spark.conf.get(PARTITIONS)
+    try:
+        spark.conf.set(PARTITIONS, 200)
+        with rocks_state(spark):
+            assert int(spark.conf.get(PARTITIONS)) == max(16, 2 * spark.sparkContext.defaultParallelism)
+        assert spark.conf.get(PARTITIONS) == "200"
+    finally:
+        spark.conf.set(PARTITIONS, before)
